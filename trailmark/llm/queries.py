@@ -4,12 +4,136 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import simhash
+from trailmark.llm import chat, licenses, mixing, sharding, simhash, sql, warc
 from trailmark.llm.common import table
 
+# --- op1 -------------------------------------------------------------------
+
+CRAWL_START = 1_700_000_000
+RECRAWL_AFTER = 30 * 86_400
+
+
+def _header(name: str, value) -> Column:
+    return F.struct(F.lit(name).alias("name"), (F.lit(value) if isinstance(value, str) else value).alias("value"))
+
+
+def crawl_records(pages: DataFrame) -> DataFrame:
+    """Two captures a page: a full response, and a not-modified revisit 30 days later.
+
+    The revisit's validators vary with the page id: most repeat the ETag (weakly), some
+    send a stale one, only a date, or none; a few revisits precede the response.
+    """
+    n, t0 = F.col("page_id"), F.lit(CRAWL_START) + F.col("page_id") * 60
+    tag = F.concat(F.lit('"'), F.substring(F.md5("html"), 1, 16), F.lit('"'))
+    at = F.when(n % 13 == 0, t0 - 1).otherwise(t0 + RECRAWL_AFTER)
+    fresh_tag = F.when(n % 7 == 0, '"stale"').when((n % 5 == 0) | (n % 11 == 0), F.lit(None)).otherwise(F.concat(F.lit("W/"), tag))
+    date = t0.cast("string")
+    full = F.struct(
+        (n * 2).alias("record_id"),
+        t0.alias("ts"),
+        F.lit("response").alias("kind"),
+        tag.alias("etag"),
+        date.alias("last_modified"),
+        F.array(
+            _header("Cache-Control", "max-age=600"),
+            _header("Content-Length", F.octet_length("html").cast("string")),
+            _header("Content-Type", "text/html; charset=utf-8"),
+            _header("Date", date),
+            _header("ETag", tag),
+            _header("Last-Modified", date),
+            _header("Set-Cookie", F.concat(F.lit("sid="), n.cast("string"))),
+        ).alias("headers"),
+        F.sha2("html", 256).alias("payload_digest"),
+    )
+    revisit = F.struct(
+        (n * 2 + 1).alias("record_id"),
+        at.alias("ts"),
+        F.lit("revisit").alias("kind"),
+        fresh_tag.alias("etag"),
+        F.when(n % 11 == 0, F.lit(None)).otherwise(date).alias("last_modified"),
+        F.concat(
+            F.array(
+                _header("Cache-Control", "max-age=60"),
+                _header("Connection", "close"),
+                _header("Date", at.cast("string")),
+                _header("Set-Cookie", "sid=new"),
+            ),
+            F.when(fresh_tag.isNotNull(), F.array(_header("ETag", fresh_tag))).otherwise(F.array().cast("array<struct<name:string,value:string>>")),
+        ).alias("headers"),
+        F.lit(None).cast("string").alias("payload_digest"),
+    )
+    return pages.select("url", F.explode(F.array(full, revisit)).alias("r")).select("url", "r.*")
+
+
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every revisit of the crawl with its outcome, source response and merged headers."""
+    found = warc.resolve_revisits(crawl_records(table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.transform("headers", lambda h: F.concat_ws(": ", h["name"], h["value"])), "\n")
+    return found.withColumn("headers", lines)
+
+
+# --- op4 -------------------------------------------------------------------
+
+
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, and of one that quotes control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(says).alias("text")
+    )
+    return chat.digests(chat.format_chats(turns.unionByName(own)))
+
+
+# --- op5 -------------------------------------------------------------------
+
+SHARDS = 8
+
+
+def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its shard under the law of near-equal bytes."""
+    records = sharding.sized(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "size", "text_crc32", "vslot")
+    slot_map = sharding.store_map(sharding.deal(sharding.slot_bytes(records), SHARDS))
+    placed = sharding.place(records, slot_map.select("vslot", "shard", "rows"), ["doc_id", "text_crc32", "size"])
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot"
+    )
+
+
+# --- op6 -------------------------------------------------------------------
+
+MARGINALS = {
+    "_source": mixing.Marginal(power=0.5),
+    "_lang": mixing.Marginal({"en": 0.45, "de": 0.2, "fr": 0.2, "es": 0.1, "other": 0.05}),
+    "_topic": mixing.Marginal({"legal": 0.05, "tabular": 0.1, "symbols": 0.05, "prose": 0.8}),
+}
+TOPICS = (("legal", r"(?i)licensed under|released under|copyright"), ("tabular", r"\|"), ("symbols", r"[#$%&*]{3}"))
+KEEP = 0.5
+SWEEPS = 25
+SALT = "mix-1"
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its cell's raked weight, its sampling probability and the draw."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "text", MARGINALS, KEEP, TOPICS, sweeps=SWEEPS, salt=SALT)
+    return mixed.select(
+        "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), "n_tokens", F.round("w", 6).alias("weight"), F.round("p", 6).alias("probability"), "kept"
+    )
+
+
+# --- op8 -------------------------------------------------------------------
+
+
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its licences and the licence sentences behind them."""
+    return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+# --- op9 -------------------------------------------------------------------
+
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its fingerprint and the smallest doc_id of its group."""
@@ -18,8 +142,20 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_simhash_near_dedup": op9_simhash_near_dedup}
+    return {
+        "op1_warc_revisits": op1_warc_revisits,
+        "op4_chat_formatting": op4_chat_formatting,
+        "op5_virtual_slots": op5_virtual_slots,
+        "op6_source_mixing": op6_source_mixing,
+        "op8_licence_scan": op8_licence_scan,
+        "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_warc_revisits": sql.op1(CRAWL_START, RECRAWL_AFTER),
+        "op4_chat_formatting": sql.op4(),
+        "op6_source_mixing": sql.op6(MARGINALS, KEEP, TOPICS, "prose", SWEEPS, SALT),
+        "op8_licence_scan": sql.op8(),
+    }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import chat, licenses, mixing, sharding, simhash, sql, warc
+from trailmark.llm import chat, licenses, mixing, sharding, simhash, sql, warc, winnow
 from trailmark.llm.common import table
 
 # --- op1 -------------------------------------------------------------------
@@ -75,6 +75,17 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("headers", lines)
 
 
+# --- op3 -------------------------------------------------------------------
+
+
+def op3_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words inside benchmark windows, and the verdict."""
+    judged = winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return judged.select(
+        F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 # --- op4 -------------------------------------------------------------------
 
 
@@ -144,6 +155,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_revisits": op1_warc_revisits,
+        "op3_winnowing_decontamination": op3_winnowing_decontamination,
         "op4_chat_formatting": op4_chat_formatting,
         "op5_virtual_slots": op5_virtual_slots,
         "op6_source_mixing": op6_source_mixing,
@@ -155,6 +167,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_revisits": sql.op1(CRAWL_START, RECRAWL_AFTER),
+        "op3_winnowing_decontamination": sql.op3(),
         "op4_chat_formatting": sql.op4(),
         "op6_source_mixing": sql.op6(MARGINALS, KEEP, TOPICS, "prose", SWEEPS, SALT),
         "op8_licence_scan": sql.op8(),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from trailmark.llm import chat, licenses, mixing, warc
+from trailmark.llm import chat, licenses, mixing, warc, winnow
 from trailmark.llm.common import UPPER
 
 
@@ -58,6 +58,34 @@ from j
 """
 
 
+def op3(window: int = winnow.WINDOW) -> str:
+    words = f"regexp_extract_all({lower_sql("coalesce(text, '')")}, {quoted(winnow.WORD)})"
+    return f"""
+with d as (
+  select row_number() over () as k, doc_id, {words} as w from documents
+), b as (
+  select item_id::varchar as item, {words} as w from benchmark
+), bw as (
+  select distinct item, n, array_to_string(w[i + 1:i + n], ' ') as win
+  from (select item, w, least(len(w), {window}) as n, unnest(range(0, len(w) - least(len(w), {window}) + 1)) as i from b where len(w) > 0)
+), ns as (
+  select distinct n from bw
+), dw as (
+  select k, i, n, array_to_string(w[i + 1:i + n], ' ') as win
+  from (select k, w, n, unnest(range(0, len(w) - n + 1)) as i from d, ns where len(w) >= n)
+), hit as (
+  select k, i, n, item from dw join bw using (n, win)
+), pos as (
+  select k, count(distinct p) as n_hit from (select k, unnest(range(i, i + n)) as p from hit) group by k
+), it as (
+  select k, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct k, item from hit) group by k
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from d left join pos using (k) left join it using (k)
+"""
+
+
 def op4(t: chat.Template = chat.Template()) -> str:
     def esc(x: str) -> str:
         return rf"regexp_replace({x}, '([<\[\\])', '\1\\', 'g')"

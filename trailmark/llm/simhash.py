@@ -185,7 +185,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str, text_col: str, distance:
     named = distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", root.alias("root"))
     named = written(named, "roots")
     groups = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.join(named.select("fp", "root"), "fp").join(groups, "root").select("id", "fp", "component_id")
+    by_print = named.join(groups, "root").select("fp", "component_id")
+    return marked.join(by_print, "fp").select("id", "fp", "component_id")
 
 
 def hex_of(fp: Column) -> Column:

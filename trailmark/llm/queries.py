@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import chat, licenses, mixing, sharding, simhash, sql, warc, winnow
+from trailmark.llm import chat, language, licenses, mixing, sharding, simhash, sql, warc, winnow
 from trailmark.llm.common import table
 
 # --- op1 -------------------------------------------------------------------
@@ -75,6 +75,18 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("headers", lines)
 
 
+# --- op2 -------------------------------------------------------------------
+
+
+def op2_string_kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the language that the string-kernel classifier predicts for its whole text."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = language.fold_of("doc_id", 5) == 0
+    model = language.fit(docs, "doc_id", "text", "lang", ~held_out)
+    said = language.predict(docs.select("doc_id", "text"), "text", model)
+    return said.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 # --- op3 -------------------------------------------------------------------
 
 
@@ -155,6 +167,7 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_revisits": op1_warc_revisits,
+        "op2_string_kernel_language": op2_string_kernel_language,
         "op3_winnowing_decontamination": op3_winnowing_decontamination,
         "op4_chat_formatting": op4_chat_formatting,
         "op5_virtual_slots": op5_virtual_slots,

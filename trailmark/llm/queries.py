@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import chat, language, licenses, mixing, sharding, simhash, sql, warc, winnow
+from trailmark.llm import chat, embeddings, language, licenses, mixing, sharding, simhash, sql, warc, winnow
 from trailmark.llm.common import table
 
 # --- op1 -------------------------------------------------------------------
@@ -147,6 +147,14 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- op7 -------------------------------------------------------------------
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its direct links, its component and whether it stays."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
 # --- op8 -------------------------------------------------------------------
 
 
@@ -172,6 +180,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_chat_formatting": op4_chat_formatting,
         "op5_virtual_slots": op5_virtual_slots,
         "op6_source_mixing": op6_source_mixing,
+        "op7_embedding_near_dedup": op7_embedding_near_dedup,
         "op8_licence_scan": op8_licence_scan,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }

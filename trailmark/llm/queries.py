@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import chat, embeddings, language, licenses, mixing, sharding, simhash, sql, warc, winnow
+from trailmark.llm import chat, embeddings, language, licenses, mixing, ngrams, sharding, simhash, sql, warc, winnow
 from trailmark.llm.common import table
 
 # --- op1 -------------------------------------------------------------------
@@ -172,6 +172,27 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+# --- op10 ------------------------------------------------------------------
+
+
+def op10_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its log10 probability under the model of the other nine folds."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = language.fold_of("doc_id", 10) == 0
+    model = ngrams.fit(docs.where(~held_out), "text")
+    scored = ngrams.score(docs, "doc_id", "text", model)
+    return scored.select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(language.fold_of("id", 10) == 0, F.lit(False)).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+        ngrams.perplexity(F.col("score"), F.col("n_tokens")).alias("perplexity"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_revisits": op1_warc_revisits,
@@ -183,6 +204,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_embedding_near_dedup": op7_embedding_near_dedup,
         "op8_licence_scan": op8_licence_scan,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op10_kneser_ney_scores": op10_kneser_ney_scores,
     }
 
 

@@ -104,8 +104,9 @@ def hit_windows(texts: DataFrame, windows: DataFrame) -> DataFrame:
     prints = texts.select("digest", F.explode(let(words, marks)).alias("m")).select("digest", "m.len", "m.fp")
     known = _sized(windows.select("len", "fp").distinct())
     struck = prints.join(known, ["len", "fp"], "left_semi").distinct().groupBy("digest").agg(F.collect_set(F.struct("len", "fp")).alias("struck"))
-    # the few texts with a hit meet their words again
-    again = texts.join(written(struck, "struck").hint("shuffle_hash"), "digest").dropDuplicates(["digest"])
+    # the few texts with a hit meet their words again; copies are looked at one by one, which
+    # leaves the join free to split a hot digest, and their equal rows are combined before the next shuffle
+    again = texts.join(written(struck, "struck").hint("shuffle_hash"), "digest")
 
     def spots(tokens: Column) -> Column:
         def of(n: int) -> Column:
@@ -119,7 +120,7 @@ def hit_windows(texts: DataFrame, windows: DataFrame) -> DataFrame:
         return F.concat(*each) if each else F.expr("cast(array() as array<struct<len:int,fp:bigint,start:int,window:string>>)")
 
     found = again.select("digest", F.explode(let(words, spots)).alias("s")).select("digest", "s.*")
-    return found.join(_sized(windows), ["len", "fp", "window"]).select("digest", "start", "len", "items")
+    return found.join(_sized(windows), ["len", "fp", "window"]).select("digest", "start", "len", "items").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
+
+from trailmark.plans.base import QUERIES, SQL
+
+MODULES = ("grid_queries", "spectral_queries", "trajectory_queries", "retrieval_queries", "graph_queries", "stats_queries", "mining_queries", "codec_queries")
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"trailmark.plans.{name}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(SQL)

@@ -1 +1,124 @@
-"""Queries of the trajectory operators."""
+"""Queries of the trajectory operators over the pose view."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trailmark.operators import trajectory as tr
+from trailmark.plans.base import query, r6
+from trailmark.plans.views import POSE_SQL, poses
+
+P = f"{POSE_SQL.replace('v_pose as (', 'v_pose as materialized (', 1)}"
+DIST = "sqrt((p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y) + (p.z - s.z) * (p.z - s.z))"
+TURN = "degrees(acos(least(1, greatest(-1, cos(p.yaw - s.yaw)))))"
+
+
+def _fold_sql(condition: str) -> str:
+    cols = ("ts", "x", "y", "z", "yaw")
+    return f"""with recursive {P}, f as (
+  select seq_id, idx, true as selected, {", ".join(cols)} from v_pose where idx = 0
+  union all
+  select p.seq_id, p.idx, ({condition}) as selected, {", ".join(f"case when {condition} then p.{c} else s.{c} end as {c}" for c in cols)}
+  from f s join v_pose p on p.seq_id = s.seq_id and p.idx = s.idx + 1)"""
+
+
+ANY = f"{DIST} > 2.0 or {TURN} > 15.0 or abs(p.ts - s.ts) > 60.0"
+
+
+@query(f"{_fold_sql(ANY)} select seq_id, idx, selected from f")
+def keyframe_select(spark: SparkSession, sf: str) -> DataFrame:
+    return tr.select_keyframes(poses(spark, sf), 2.0, 15.0, 60.0).select("seq_id", "idx", "selected")
+
+
+@query(f"{_fold_sql(ANY.replace(' or ', ' and '))} select seq_id, idx, selected from f")
+def keyframe_select_and(spark: SparkSession, sf: str) -> DataFrame:
+    return tr.select_keyframes(poses(spark, sf), 2.0, 15.0, 60.0, every=True).select("seq_id", "idx", "selected")
+
+
+@query(f"{_fold_sql(f'{DIST} >= 3.0')} select seq_id, idx, selected from f")
+def keyframe_distance_only(spark: SparkSession, sf: str) -> DataFrame:
+    inf = float("inf")
+    return tr.select_keyframes(poses(spark, sf), 3.0, inf, inf, inclusive=True).select("seq_id", "idx", "selected")
+
+
+@query(
+    f"""{_fold_sql(ANY)} select p.seq_id, count(*) as scans, sum(selected::int)::bigint as keyframes, round(count(*) / greatest(sum(selected::int), 1), 6) as compression,
+round(sum(selected::int) / (max(p.ts) - min(p.ts)), 6) as rate from f join v_pose p using (seq_id, idx) group by p.seq_id"""
+)
+def keyframe_stats(spark: SparkSession, sf: str) -> DataFrame:
+    made = tr.keyframe_statistics(tr.select_keyframes(poses(spark, sf), 2.0, 15.0, 60.0))
+    return made.withColumns({"compression": r6("compression"), "rate": r6("rate")})
+
+
+@query(
+    f"""with {P}, d as (select seq_id, sqrt(pow(x - lag(x) over w, 2) + pow(y - lag(y) over w, 2) + pow(z - lag(z) over w, 2)) as d, ts - lag(ts) over w as dt from v_pose window w as (partition by seq_id order by idx))
+select seq_id, round(avg(d), 6) as mean_d, round(max(d), 6) as max_d, round(avg(dt), 6) as mean_dt from d group by seq_id"""
+)
+def keyframe_spacing(spark: SparkSession, sf: str) -> DataFrame:
+    return tr.spacing(poses(spark, sf)).groupBy("seq_id").agg(r6(F.avg("d")).alias("mean_d"), r6(F.max("d")).alias("max_d"), r6(F.avg("dt")).alias("mean_dt"))
+
+
+@query(f"with {P}, w as (select *, row_number() over (partition by seq_id order by idx desc) > 100 as frozen from v_pose) select seq_id, idx, frozen, row_number() over (partition by seq_id, frozen order by idx) - 1 as place from w")
+def active_window(spark: SparkSession, sf: str) -> DataFrame:
+    return tr.retain_last(poses(spark, sf), 100).select("seq_id", "idx", "frozen", F.col("place").cast("long").alias("place"))
+
+
+NEAR = "sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z))"
+
+
+@query(f"with {P} select a.seq_id, a.idx as i, min(b.idx) as match from v_pose a join v_pose b on a.seq_id = b.seq_id and b.idx <= a.idx - 30 and {NEAR} < 5.0 group by all")
+def revisit_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return tr.revisit_queries(poses(spark, sf))
+
+
+@query(f"with {P} select a.seq_id, a.idx as i, count(*) as n, min(b.idx) as first_j, max(b.idx) as last_j from v_pose a join v_pose b on a.seq_id = b.seq_id and abs(a.idx - b.idx) >= 30 and {NEAR} <= 5.0 group by all")
+def positive_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return tr.positives(poses(spark, sf)).groupBy("seq_id", "i").agg(F.count(F.lit(1)).alias("n"), F.min("j").alias("first_j"), F.max("j").alias("last_j"))
+
+
+@query(f"with {P} select a.seq_id, a.idx, count(b.idx) as negatives from v_pose a left join v_pose b on a.seq_id = b.seq_id and abs(a.idx - b.idx) >= 30 and {NEAR} >= 10.0 group by all")
+def negative_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tr.negative_counts(poses(spark, sf))
+
+
+@query(
+    f"""with {P}, l as (select idx, ts from v_pose where seq_id = 1), r as (select idx, ts from v_pose where seq_id = 2),
+b as (select l.idx, l.ts, r.idx as bi, r.ts as bt from l asof left join r on l.ts >= r.ts), a as (select l.idx, r.idx as ai, r.ts as at_ from l asof left join r on l.ts <= r.ts)
+select idx, case when bi is not null and (ai is null or ts - bt < at_ - ts) then bi else ai end as match from b join a using (idx)"""
+)
+def nearest_timestamp(spark: SparkSession, sf: str) -> DataFrame:
+    p = poses(spark, sf)
+    left = p.where("seq_id = 1").select(F.lit(0).alias("key"), "idx", "ts")
+    right = p.where("seq_id = 2").select(F.lit(0).alias("key"), F.col("idx").alias("gt"), "ts")
+    return tr.nearest_in_time(left, right, "key", "ts", "gt").select("idx", "match")
+
+
+def _edges_sql(low: int, high: int) -> str:
+    return f"with {P} select a.seq_id, b.idx as src, a.idx as dst from v_pose a join v_pose b on a.seq_id = b.seq_id and b.idx - a.idx between {low} and {high} and a.idx <> b.idx"
+
+
+@query(_edges_sql(-3, 3))
+def temporal_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return tr.temporal_edges(poses(spark, sf), 3)
+
+
+@query(_edges_sql(-3, -1))
+def causal_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return tr.temporal_edges(poses(spark, sf), 3, "past")
+
+
+@query(
+    f"""with {P} select a.seq_id, a.idx, round(degrees(atan2(sin(b.yaw - a.yaw), cos(b.yaw - a.yaw))), 6) + 0.0 as turn
+from v_pose a join v_pose b on a.seq_id = b.seq_id and b.idx = a.idx + 17"""
+)
+def yaw_difference(spark: SparkSession, sf: str) -> DataFrame:
+    p = poses(spark, sf)
+    later = p.select("seq_id", (F.col("idx") - 17).alias("idx"), F.col("yaw").alias("later"))
+    return p.join(later, ["seq_id", "idx"]).select("seq_id", "idx", r6(tr.wrapped_degrees(F.col("yaw"), F.col("later"))).alias("turn"))
+
+
+@query(f"with {P} select seq_id, idx from v_pose where idx % 10 = 0 and idx > 0")
+def query_trigger(spark: SparkSession, sf: str) -> DataFrame:
+    """W-15: every tenth scan asks a query, never the first."""
+    return poses(spark, sf).where("idx % 10 = 0 and idx > 0").select("seq_id", "idx")

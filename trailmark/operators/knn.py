@@ -34,15 +34,16 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine",
     both = sizes.join(bases, "seq_id")  # a row a sequence
     q = queries.select("seq_id", "idx", "v").join(both, "seq_id").withColumn("qb", F.pmod(F.xxhash64("idx"), F.col("nq")).cast("int"))
     b = base.select("seq_id", "idx", "v").join(both, "seq_id").withColumn("bb", F.pmod(F.xxhash64("idx"), F.col("nb")).cast("int"))
-    q = q.select("seq_id", "qb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bb"), "idx", "v")
-    b = b.select("seq_id", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), "bb", "idx", "v")
+    # both sides get names of their own, since the tables may be one and the same
+    q = q.select(F.col("seq_id").alias("qs"), F.col("qb").alias("q1"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("q2"), F.col("idx").alias("qi"), F.col("v").alias("qv"))
+    b = b.select(F.col("seq_id").alias("bs"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("b1"), F.col("bb").alias("b2"), F.col("idx").alias("bi"), F.col("v").alias("bv"))
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"seq_id": [], "q": [], "c": [], "score": []}).astype({"seq_id": "int64", "q": "int64", "c": "int64", "score": "float64"})
-        right = right.sort_values("idx")
-        i, j = left["idx"].to_numpy(), right["idx"].to_numpy()
-        s = np.round(_scores(np.stack(left["v"]), np.stack(right["v"]), metric), 9)
+        right = right.sort_values("bi")
+        i, j = left["qi"].to_numpy(), right["bi"].to_numpy()
+        s = np.round(_scores(np.stack(left["qv"]), np.stack(right["bv"]), metric), 9)
         apart = i[:, None] - j[None, :]
         away = apart if past_only else np.abs(apart)
         limit = 1 if gap is None else gap
@@ -51,9 +52,9 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine",
         rows = np.repeat(np.arange(len(i)), order.shape[1])
         cols = order.ravel()
         good = np.isfinite(s[rows, cols])
-        return pd.DataFrame({"seq_id": left["seq_id"].iloc[0], "q": i[rows[good]], "c": j[cols[good]], "score": s[rows[good], cols[good]]})
+        return pd.DataFrame({"seq_id": left["qs"].iloc[0], "q": i[rows[good]], "c": j[cols[good]], "score": s[rows[good], cols[good]]})
 
-    found = q.groupBy("seq_id", "qb", "bb").cogroup(b.groupBy("seq_id", "qb", "bb")).applyInPandas(best, "seq_id long, q long, c long, score double")
+    found = q.groupBy("qs", "q1", "q2").cogroup(b.groupBy("bs", "b1", "b2")).applyInPandas(best, "seq_id long, q long, c long, score double")
     rank = F.row_number().over(Window.partitionBy("seq_id", "q").orderBy(F.desc("score"), "c"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -151,7 +151,7 @@ def minmax_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""{D}, {CAND_SQL} select q, c, rank, round(f, 6) as fused from (select *, row_number() over (partition by q order by f, rank0) as rank from (
-  select *, row_number() over (partition by q order by lay, rank0) - 1 + 0.5 * (rank0 - 1) as f from cand)) where rank <= 5"""
+  select *, row_number() over (partition by q order by lay, rank0) - 1 + 0.5::double * (rank0 - 1) as f from cand)) where rank <= 5"""
 )
 def rank_fusion(spark: SparkSession, sf: str) -> DataFrame:
     return _fused(rt.fuse_ranks(_candidates(_base(spark, sf)), "lay", 0.5))

@@ -23,11 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import let, words_of, written
+from trailmark.llm.common import let, lower_ascii, written
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lower-casing, for counting them.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between words, in lower-cased texts and in others.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
 #: A benchmark with so few distinct fingerprints or windows is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 500_000
@@ -63,6 +64,15 @@ def fingerprints(words: Column, window: int) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
+def words_in(text: Column) -> Column:
+    """The words of the lower-cased text; cutting at what lies between them is several times faster than matching them."""
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), BETWEEN), "")
+
+
+def count_words(text: Column) -> Column:
+    return F.coalesce(F.size(F.array_remove(F.split(text, BETWEEN_ANY_CASE), "")), F.lit(0)).cast("long")
+
+
 def _text_at(words: Column, start: Column, window: int) -> Column:
     return F.array_join(F.slice(words, start + 1, window), " ")
 
@@ -73,7 +83,7 @@ def _sized(df: DataFrame) -> DataFrame:
 
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """Distinct windows ``len, fp, window, items``; ``len`` is the window's number of words."""
-    words = benchmark.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col), WORD).alias("words")).where(F.size("words") > 0)
+    words = benchmark.select(F.col(id_col).cast("string").alias("item"), words_in(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     parts = []
     for n in range(1, window + 1):
         of = words.where(F.size("words") == n if n < window else F.size("words") >= window)
@@ -92,7 +102,7 @@ def hit_windows(texts: DataFrame, windows: DataFrame) -> DataFrame:
     """
     lengths = sorted(r["len"] for r in windows.select("len").distinct().collect())  # 13 at most
     none = "array<struct<len:int,fp:bigint>>"
-    words = words_of(F.col("text"), WORD)
+    words = words_in(F.col("text"))
 
     def marks(tokens: Column) -> Column:
         def of(n: int) -> Column:
@@ -144,7 +154,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     counted = docs.select(
         F.col(id_col).alias("id"),
         F.sha2(text_col, 256).alias("digest"),
-        F.coalesce(F.regexp_count(text_col, F.lit(WORD_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"),
+        count_words(F.col(text_col)).alias("n_words"),
     )
     joined = counted.join(summed, "digest", "left")
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))

@@ -6,8 +6,10 @@ ends lie within chord ``r`` of each other.  If their homes ``a`` and ``b`` diffe
 two centres separates them, and one of the two is within ``r / 2`` of it: that one also
 visits the other's cell.  So each link is met where one end is at home, and none is missed.
 
-A cell's members are cut into blocks by hash, and each task multiplies one pair of blocks, so
-memory is two blocks whatever a cell's size.  Tasks return link counts per class and a spanning forest of
+Vectors travel in packed pieces of one cell, which are dealt to blocks of about ``block_rows``, those at
+home and visitors apart, and each task multiplies one pair of blocks, so memory is two blocks whatever a
+cell's size.  Products are taken in single precision first; those that rounding could put on the wrong side
+of the threshold are taken again in double.  Tasks return link counts per class and a spanning forest of
 the links instead of pairs.  One vector per component is kept.
 
 Defined cases: a vector that is null, empty, zero, of another length than most, or holds a null
@@ -19,6 +21,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -68,96 +71,105 @@ def visits(x: np.ndarray, centres: np.ndarray, chord: float) -> tuple[np.ndarray
     return home, seen
 
 
-def _place(shared, chord: float):
+def _place(shared, chord: float, piece_rows: int):
+    """Pieces of one cell's rows, at home or visiting: ids, counts, homes, visited cells as bits, and unit vectors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
+            ids, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             x = unit(np.stack(batch.column(2).to_numpy(zero_copy_only=False)))
             home, seen = visits(x, centres, chord)
-            row, cell = np.nonzero(seen)
-            take = np.concatenate([np.arange(len(x)), row])
-            cells = np.concatenate([home, cell])
-            others = pa.array([np.flatnonzero(s).tolist() for s in seen], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(cells.astype(np.int32)),
-                    pa.array(home[take].astype(np.int32)),
-                    others.take(pa.array(take)),
-                    batch.column(0).take(pa.array(take)),
-                    batch.column(1).take(pa.array(take)),
-                    pa.array(list(x[take]), pa.list_(pa.float64())),
-                ],
-                names=["cell", "home", "others", "class", "n", "v"],
-            )
+            bits = np.packbits(seen, axis=1)
+            for cell in range(len(centres)):
+                for visitor, members in ((False, np.flatnonzero(home == cell)), (True, np.flatnonzero(seen[:, cell]))):
+                    for at in range(0, len(members), piece_rows):
+                        own = members[at : at + piece_rows]
+                        yield pa.RecordBatch.from_pylist(
+                            [{"cell": cell, "visitor": visitor, "rows": len(own), "class": ids[own], "n": n[own], "home": home[own], "others": bits[own].tobytes(), "v": x[own].tobytes()}],
+                            schema=pa.schema([("cell", pa.int32()), ("visitor", pa.bool_()), ("rows", pa.int32()), ("class", pa.list_(pa.int64())), ("n", pa.list_(pa.int64())), ("home", pa.list_(pa.int32())), ("others", pa.binary()), ("v", pa.binary())]),
+                        )
 
     return run
 
 
-def _multiply(threshold: float, rows_at_once: int = 512):
-    """Links between the block ``i`` (at home in the cell) and the block ``j`` of a cell."""
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        cell, i, j = (int(k) for k in key)
-        left = pdf[(pdf["block"] == i) & (pdf["home"] == cell)]
-        right = pdf[pdf["block"] == j]
-        if j == i:
-            right = pdf[pdf["block"] == i]
-        out = {"class": [], "links": [], "u": [], "v": []}
-        if len(left) and len(right):
-            a, b = np.stack(left["v"]), np.stack(right["v"])
-            ca, cb = left["class"].to_numpy(), right["class"].to_numpy()
-            na, nb = left["n"].to_numpy(), right["n"].to_numpy()
-            home_b = right["home"].to_numpy()
-            at_home = home_b == cell
-            homes = np.unique(home_b)
-            column = np.searchsorted(homes, home_b)
-            # a pair with homes p < q that both cells meet counts in cell p
-            visited = np.stack([np.isin(homes, o) for o in left["others"]])
-            twice = (visited & (homes < cell))[:, column]
-            rank_b = np.where(at_home, j, -1)
-            parent = {}
-
-            def find(x):
-                while parent.setdefault(x, x) != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            for s in range(0, len(a), rows_at_once):
-                e = min(s + rows_at_once, len(a))
-                hit = (a[s:e] @ b.T >= threshold) & ~twice[s:e]
-                # of two at home each pair is met once: in order within a block, by block order between blocks
-                if i == j:
-                    hit &= ~at_home[None, :] | (ca[s:e, None] < cb[None, :])
-                else:
-                    hit &= ~at_home[None, :] | (rank_b[None, :] > i)
-                x, y = np.nonzero(hit)
-                if not len(x):
-                    continue
-                out["class"] += [ca[s:e][x], cb[y]]
-                out["links"] += [nb[y], na[s:e][x]]
-                for row in np.unique(x):
-                    mates = cb[y[x == row]].tolist()
-                    root = find(int(ca[s + row]))
-                    for m in mates:
-                        other = find(m)
-                        if other != root:
-                            parent[other] = root
-            edges = [(x, find(x)) for x in parent if find(x) != x]
-            if out["class"]:
-                got = pd.DataFrame({"class": np.concatenate(out["class"]), "links": np.concatenate(out["links"])}).groupby("class", as_index=False)["links"].sum()
-                counts = pd.DataFrame({"class": got["class"], "links": got["links"], "root": pd.array([None] * len(got), "Int64")})
-                trees = pd.DataFrame({"class": [u for u, _ in edges], "links": 0, "root": pd.array([v for _, v in edges], "Int64")})
-                return pd.concat([counts, trees], ignore_index=True)
-        return pd.DataFrame({"class": pd.Series([], dtype="int64"), "links": pd.Series([], dtype="int64"), "root": pd.Series([], dtype="Int64")})
+PIECE = "cell int, visitor boolean, rows int, class array<long>, n array<long>, home array<int>, others binary, v binary"
+
+
+class Block:
+    """The rows of a block's pieces."""
+
+    def __init__(self, pieces: pd.DataFrame, cells: int):
+        self.ids, self.n, self.home = (np.concatenate(pieces[c].tolist()) for c in ("class", "n", "home"))
+        bits = np.frombuffer(b"".join(pieces["others"]), np.uint8).reshape(len(self.ids), -1)
+        self.others = np.unpackbits(bits, axis=1, count=cells).astype(bool)
+        self.x = np.frombuffer(b"".join(pieces["v"]), np.float64).reshape(len(self.ids), -1)
+        self.x32 = self.x.astype(np.float32)
+
+
+def merge(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
+    """Join the groups of ``u`` and ``v`` in ``root``, which holds each node's group: its least node."""
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def linked(a: Block, b: Block, start: int, end: int, threshold: float, at_once: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of ``a`` from ``start`` to ``end``, row of ``b``) with cosine >= ``threshold``."""
+    near = a.x32[start:end] @ b.x32.T
+    doubt = (a.x.shape[1] + 2) * 2.0**-22  # above the rounding of unit vectors and their products
+    x, y = np.nonzero(near >= threshold - doubt)
+    unsure = np.flatnonzero(near[x, y] < threshold + doubt)
+    x += start
+    holds = np.ones(len(x), bool)
+    for k in range(0, len(unsure), at_once):
+        own = unsure[k : k + at_once]
+        holds[own] = np.einsum("ij,ij->i", a.x[x[own]], b.x[y[own]]) >= threshold
+    return x[holds], y[holds]
+
+
+def _multiply(threshold: float, cells: int, rows_at_once: int = 256):
+    """Link counts and a spanning forest of one pair of a cell's blocks: at home, and at home or visiting."""
+
+    def run(key: tuple[Any, ...], pieces: pd.DataFrame) -> pd.DataFrame:
+        cell, i, j, visiting = (int(k) for k in key)
+        first = ~pieces["visitor"] & (pieces["block"] == i)
+        second = (pieces["visitor"] == bool(visiting)) & (pieces["block"] == j)
+        if not first.any() or not second.any():
+            return pd.DataFrame({"class": pd.Series([], dtype="int64"), "links": pd.Series([], dtype="int64"), "root": pd.Series([], dtype="int64")})
+        a, b = Block(pieces[first], cells), Block(pieces[second], cells)
+        nodes, place = np.unique(np.concatenate((a.ids, b.ids)), return_inverse=True)
+        of_a, of_b = place[: len(a.ids)], place[len(a.ids) :]
+        links, root = np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+        for s in range(0, len(a.ids), rows_at_once):
+            x, y = linked(a, b, s, min(s + rows_at_once, len(a.ids)), threshold)
+            if visiting:  # a pair whose ends visit each other's cell counts in the lesser cell
+                once = ~(a.others[x, b.home[y]] & (b.home[y] < cell))
+            elif i == j:
+                once = a.ids[x] < b.ids[y]
+            else:
+                once = np.ones(len(x), bool)
+            x, y = x[once], y[once]
+            if len(x):
+                np.add.at(links, of_a[x], b.n[y])
+                np.add.at(links, of_b[y], a.n[x])
+                merge(root, of_a[x], of_b[y])
+        met = np.flatnonzero(links)
+        return pd.DataFrame({"class": nodes[met], "links": links[met], "root": nodes[root[met]]})
 
     return run
 
 
 def near_duplicates(
-    vectors: DataFrame, id_col: str, vector_col: str, threshold: float = 0.95, sample_rows: int = 20_000, rows_per_cell: int = 1_500, max_cells: int = 1_024, block_rows: int = 4_096
+    vectors: DataFrame, id_col: str, vector_col: str, threshold: float = 0.95, sample_rows: int = 20_000, rows_per_cell: int = 4_096, max_cells: int = 1_024, block_rows: int = 8_192
 ) -> DataFrame:
     """One row a vector: ``id, n_links, component_id, kept``.
 
@@ -177,19 +189,32 @@ def near_duplicates(
         sample = unit(np.array([r["v"] for r in picked.select("v").collect()]))
         centres = fit_centres(sample, max(1, min(max_cells, sizes["count"] // rows_per_cell)))
         chord = float(np.sqrt(2 - 2 * threshold))
-        placed = written(classes.select("class", "n", "v").mapInArrow(_place(spark.sparkContext.broadcast(centres), chord), "cell int, home int, others array<int>, class long, n long, v array<double>"), "placed")
-        # blocks of a cell, from its counted members; a row a cell
-        blocks = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("blocks"))
-        sized = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-        b, every = F.col("block"), F.sequence(F.lit(0), F.col("blocks") - 1)
-        as_left = F.transform(every, lambda j: F.struct(b.alias("i"), j.alias("j")))
-        as_right = F.transform(F.filter(every, lambda i: i != b), lambda i: F.struct(i.alias("i"), b.alias("j")))
-        # between two blocks those at home are met once, the visitors of either by the other's
-        tasks = F.when(F.col("home") == F.col("cell"), F.array_union(as_left, as_right)).otherwise(F.transform(every, lambda i: F.struct(i.alias("i"), b.alias("j"))))
-        dealt = sized.withColumn("t", F.explode(tasks)).select("cell", "t.i", "t.j", "block", "home", "others", "class", "n", "v")
-        found = written(dealt.groupBy("cell", "i", "j").applyInPandas(_multiply(threshold), "class long, links long, root long"), "links")
+        shared, piece_rows = spark.sparkContext.broadcast(centres), max(1, min(1_024, block_rows // 4))
+        placed = written(classes.select("class", "n", "v").mapInArrow(_place(shared, chord, piece_rows), PIECE), "placed")
+
+        def blocks(rows: Column) -> Column:
+            return F.ceil(F.coalesce(F.sum(rows), F.lit(0)) / F.lit(block_rows)).cast("int")
+
+        # a row a cell, of which there are max_cells at most
+        counted = placed.groupBy("cell").agg(blocks(F.when(~F.col("visitor"), F.col("rows"))).alias("homes"), blocks(F.when(F.col("visitor"), F.col("rows"))).alias("visits"))
+        block = F.pmod(F.xxhash64(F.get("class", F.lit(0))), F.when(F.col("visitor"), F.col("visits")).otherwise(F.col("homes"))).cast("int")
+        sized = placed.join(F.broadcast(counted), "cell").withColumn("block", block)
+
+        def numbers(n: str) -> Column:
+            return F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+
+        def task(i: Column, j: Column, visiting: bool) -> Column:
+            return F.struct(i.alias("i"), j.alias("j"), F.lit(visiting).alias("visiting"))
+
+        b = F.col("block")
+        at_home = F.transform(numbers("homes"), lambda k: task(F.least(b, k), F.greatest(b, k), False))
+        hosting = F.transform(numbers("visits"), lambda k: task(b, k, True))
+        tasks = F.when(F.col("visitor"), F.transform(numbers("homes"), lambda k: task(k, b, True))).otherwise(F.concat(at_home, hosting))
+        dealt = sized.withColumn("t", F.explode(tasks)).select("cell", "t.i", "t.j", "t.visiting", "block", "visitor", "class", "n", "home", "others", "v")
+        work = _multiply(threshold, len(centres))
+        found = written(dealt.groupBy("cell", "i", "j", "visiting").applyInPandas(work, "class long, links long, root long"), "links")
         links = found.groupBy("class").agg(F.sum("links").alias("links"))
-        joined = connected_components(found.where("root is not null").select(F.col("class").alias("u"), F.col("root").alias("v")))
+        joined = connected_components(found.where("root <> class").select(F.col("class").alias("u"), F.col("root").alias("v")))
         labels = classes.join(links, "class", "left").join(joined.withColumnRenamed("node", "class"), "class", "left")
         facts = labels.select("v", F.col("n"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "class").alias("component"))
     else:

@@ -140,3 +140,9 @@ def test_graph_on_a_stream(spark):
     got = [tuple(r) for r in spark.table("graph_events").collect()]
     assert sorted(r[2] for r in got if r[1] == "frozen") == [0, 1]
     assert {(r[2], r[3]) for r in got if r[1] == "edge"} == {(i, j) for i in range(5) for j in range(5) if 0 < abs(i - j) <= 2}
+
+
+def test_matrix_of_results(spark):
+    rows = spark.createDataFrame([("m", "a", 0.9), ("m", "b", 0.5), ("n", "a", 0.8), ("n", "b", 0.5)], "method string, dataset string, recall_at_1 double")
+    got = {r["method"]: (r["a"], r["b"], r["mean_rank"]) for r in results.matrix(rows).collect()}
+    assert got == {"m": (0.9, 0.5, 1.0), "n": (0.8, 0.5, 1.5)}

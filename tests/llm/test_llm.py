@@ -1,6 +1,7 @@
 """The ten operators and the pipeline: SQL, brute force, round trips, held-out accuracy and edge cases."""
 
 import math
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -211,3 +212,36 @@ def test_pipeline_stages_take_effect(spark):
     out = stages["sharding"](spark, mixed, SMALL).toPandas()
     assert sorted(out["doc_id"]) == sorted(r["doc_id"] for r in mixed.collect())
     assert all(sorted(x["slot"]) == list(range(len(x))) for _, x in out.groupby("shard"))
+
+
+MIT = ["MIT License", "Copyright (c) 2020 A. Person", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.']
+APACHE = ["Copyright 2020 A. Person", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', "http://www.apache.org/licenses/LICENSE-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.']
+BSD2 = ["Copyright (c) 2020, A. Person", "All rights reserved.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED.']
+BSD3 = [*BSD2[:5], "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", BSD2[5]]
+BSD4 = [*BSD2[:5], "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by A. Person.", "4. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", BSD2[5]]
+HOPE = ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.", "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."]
+GPL3PLUS = ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", *HOPE]
+GPL2PLUS = [GPL3PLUS[0].replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2"), *HOPE]
+GPL2ONLY = ["This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.", *HOPE]
+LESSER = [x.replace("GNU General", "GNU Lesser General") for x in GPL3PLUS]
+MPL = ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."]
+GAPPED = [*MIT[:3], MIT[3] + " Some further permission that nobody knows.", MIT[4]]
+FULL = {"MIT": [MIT, GAPPED], "Apache-2.0": [APACHE], "BSD-2-Clause": [BSD2], "BSD-3-Clause": [BSD3], "BSD-4-Clause": [BSD4], "GPL-3.0-or-later": [GPL3PLUS], "GPL-2.0-or-later": [GPL2PLUS], "GPL-2.0": [GPL2ONLY], "LGPL": [LESSER], "MPL-2.0": [MPL]}
+
+
+def laid_out(paragraphs):
+    """A text in the ways it stands in files: one line, a line a paragraph, and wrapped with several comment marks."""
+    yield " ".join(x if x.endswith((".", ":")) else f"{x}\n" for x in paragraphs)
+    yield "\n".join(paragraphs)
+    for width in (50, 66, 78):
+        lines = "\n\n".join(textwrap.fill(p, width) for p in paragraphs).split("\n")
+        for head, mark, foot in (("", "", ""), ("/*\n", " * ", "\n */"), ("", "# ", ""), ("", "// ", ""), ("<!--\n", "", "\n-->"), ("", ";; ", ""), ("#!/bin/sh\n", "#  ", "\nset -e"), ("tool.c does a thing\r\n", "-- ", "\r\nint main")):
+            yield head + "\n".join((mark + x).rstrip() for x in lines) + foot
+        yield "\r\n".join(lines)
+
+
+def test_standard_licence_texts(spark):
+    rows = [(name, text) for name, texts in FULL.items() for t in texts for text in laid_out(t)]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id long, text string"), "doc_id", "text").orderBy("id").collect()
+    wrong = [(name, r["licences"], r["sentence_ids"], text) for (name, text), r in zip(rows, got, strict=True) if r["licences"] != name]
+    assert not wrong, (len(wrong), len(rows), wrong[:3])

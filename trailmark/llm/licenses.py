@@ -16,28 +16,54 @@ rule matches; repeated rows are scanned one by one; an empty table gives no rows
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import let, lower_ascii
 
+#: An item number that may stand before a clause, and the ways to say "or later".
+ITEM = r"(\(?[0-9a-z]{1,2}\) ?)?"
+LATER = r"or \(?(at your option,?\)? )?any later version"
+
 #: Identifier, and the normalised sentence as a whole-sentence pattern.
 SENTENCES: tuple[tuple[str, str], ...] = (
-    ("ApacheV2", r"(this \S+ is )?licensed under the apache license,? version 2( 0)?( the license)?"),
-    ("ApacheSee", r"you may obtain a copy of the license at( http)?.*apache org.*"),
-    ("ApacheUse", r"you may not use this file except in compliance with the license"),
+    ("ApacheV2", r"(this \S+ is )?licensed under the apache license,? version 2( 0)?( \(?the license\)?)?( you may not use this \S+ except in compliance with the license)?"),
+    ("ApacheSee", r"you may obtain a copy of the license at( .*apache org.*)?"),
+    ("ApacheURL", r"https? (www )?apache org licenses license-2 0( txt| html)?"),
+    ("ApacheUse", r"you may not use this \S+ except in compliance with the license"),
+    ("ApacheLaw", r"(https? (www )?apache org licenses license-2 0 )?unless required by applicable law or agreed to in writing,? software distributed under the license is distributed on an as is basis.*"),
+    ("ApacheTerms", r"see the license for the specific language governing permissions and limitations( under the license)?"),
     ("MITname", r"(this \S+ is )?(released|licensed|distributed) under the (terms of the )?mit licen[sc]e"),
+    ("MITtitle", r"(the )?mit license( \(mit\))?"),
     ("MITperm", r"permission is hereby granted,? free of charge,? to any person obtaining a copy.*"),
-    ("MITnotice", r"the above copyright notice and this permission notice shall be included in all copies.*"),
+    ("MITnotice", r"the above copyright notice and this permission notice( \(.*\))? shall be included in all copies.*"),
     ("AsIs", r"the software is provided as is,? without warranty of any kind.*"),
+    ("GPL3later", r"(.* )?under the (terms of the )?gnu general public license as published by the free software foundation,? either version 3 of the license,? " + LATER),
+    ("GPL2later", r"(.* )?under the (terms of the )?gnu general public license as published by the free software foundation,? either version 2 of the license,? " + LATER),
+    ("GPL3later", r"(this \S+ is )?(released|licensed|distributed) under the (terms of the )?gnu general public license,?( version| v)? ?3( 0)?,? (or later|" + LATER + ")"),
+    ("GPL2later", r"(this \S+ is )?(released|licensed|distributed) under the (terms of the )?gnu general public license,?( version| v)? ?2( 0)?,? (or later|" + LATER + ")"),
     ("GPL3", r"(this \S+ is )?licensed under the gnu general public license,?( version| v)? ?3( 0)?"),
     ("GPL2", r"(this \S+ is )?licensed under the gnu general public license,?( version| v)? ?2( 0)?"),
+    ("GPL3", r"(.* )?under the (terms of the )?gnu general public license,? (version 3,? as published by the free software foundation|as published by the free software foundation,? version 3( of the license)?)"),
+    ("GPL2", r"(.* )?under the (terms of the )?gnu general public license,? (version 2,? as published by the free software foundation|as published by the free software foundation,? version 2( of the license)?)"),
+    ("AGPL", r".*under the (terms of the )?gnu affero general public license.*"),
+    ("LGPL", r".*under the (terms of the )?gnu (lesser|library) general public license.*"),
     ("GPLfree", r"this program is free software.*"),
-    ("LaterVersion", r".*either version \d of the license,? or (at your option )?any later version"),
-    ("LGPL", r".*under the (terms of the )?gnu lesser general public license.*"),
+    ("GPLhope", r".* is distributed in the hope that it will be useful,? but without any warranty.*"),
+    ("GPLsee", r"see the gnu (lesser |library |affero )?general public license for more details"),
+    ("GPLcopy", r"you should have received a copy of the gnu (lesser |library |affero )?general public license.*"),
+    ("GPLurl", r"if not,? (see .*gnu org licenses.*|write to the free software foundation.*)"),
+    ("LaterVersion", r".*either version \d of the license,? " + LATER),
     ("BSDredist", r"redistribution and use in source and binary forms.*are permitted.*"),
+    ("BSDsource", ITEM + r"redistributions of source code must retain .*copyright notice.*"),
+    ("BSDbinary", ITEM + r"redistributions in binary form must reproduce .*copyright notice.*"),
+    ("BSDadvert", ITEM + r"all advertising materials mentioning features or use of this software must display.*"),
+    ("BSDdisclaim", r"this software is provided (by .* )?as is,? and (without )?any express(ed)? or implied warrant.*"),
+    ("Liable", r"in no event shall .* be liable.*"),
     ("BSDname", r"(this \S+ is )?(released|licensed) under the (new |modified |simplified |3-clause |2-clause )?bsd licen[sc]e"),
-    ("BSDendorse", r"neither the name of .* may be used to endorse.*"),
+    ("BSDendorse", ITEM + r"(neither )?the names? .*(may|must)( not)? be used to endorse.*"),
     ("MPL2", r".*subject to the terms of the mozilla public license,? v(ersion)? ?2( 0)?"),
     ("CCBYNC", r"(this \S+ is )?licensed under (a )?(cc by-nc|creative commons attribution-?noncommercial)( \d)?( \d)?.*"),
     ("CCBYSA", r"(this \S+ is )?licensed under (a )?(cc by-sa|creative commons attribution-?sharealike)( \d)?( \d)?.*"),
@@ -47,19 +73,29 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("Copyright", r"(copyright|\(c\)|©).*"),
 )
 
+#: The clauses that tell the BSD licences apart, the longest first.
+BSD_CLAUSES = (
+    ("BSD-4-Clause", ("BSDredist", "BSDadvert", "BSDendorse")),
+    ("BSD-3-Clause", ("BSDredist", "BSDendorse")),
+    ("BSD-2-Clause", ("BSDredist",)),
+)
+
 #: Ordered rules; a rule is the identifier sequence that it takes out.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Apache-2.0", ("ApacheV2", "ApacheUse", "ApacheSee")),
     ("Apache-2.0", ("ApacheV2",)),
+    ("MIT", ("AllRights", "MITperm", "MITnotice", "AsIs")),
     ("MIT", ("MITperm", "MITnotice", "AsIs")),
     ("MIT", ("MITname",)),
+    ("GPL-3.0-or-later", ("GPL3later",)),
+    ("GPL-2.0-or-later", ("GPL2later",)),
     ("GPL-3.0-or-later", ("GPL3", "LaterVersion")),
     ("GPL-2.0-or-later", ("GPL2", "LaterVersion")),
     ("GPL-3.0", ("GPL3",)),
     ("GPL-2.0", ("GPL2",)),
+    ("AGPL", ("AGPL",)),
     ("LGPL", ("LGPL",)),
-    ("BSD-3-Clause", ("BSDredist", "BSDendorse", "AsIs")),
-    ("BSD-2-Clause", ("BSDredist", "AsIs")),
+    *[(name, (*first, *clauses, last)) for name, clauses in BSD_CLAUSES for first in (("AllRights",), ()) for last in ("AsIs", "BSDdisclaim")],
     ("BSD", ("BSDname",)),
     ("MPL-2.0", ("MPL2",)),
     ("CC-BY-NC", ("CCBYNC",)),
@@ -69,18 +105,69 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Proprietary", ("AllRights",)),
 )
 
+#: Identifiers that may stand between those of a rule: unknown sentences, notices, and clauses that all variants have.
+BETWEEN = ("?", "Copyright", "AllRights", "BSDsource", "BSDbinary")
+
 #: What normalising drops, turns into one space, and drops at the head.
-MARKS = r"[\"'`*#;|<>{}\[\]$%&]+"
+MARKS = r"[\"'`*#;|<>{}\[\]$%&“”‘’]+"
 GAPS = r"[\s./:_]+"
 HEAD = r"^[^a-z0-9(©]+"
 
 #: A sentence without any of these can't be a licence sentence.
-HINT = r"licen[sc]|copyright|\(c\)|©|permission|warranty|all rights reserved|redistribution|free software|public domain|cc0|endorse|any later version"
+HINT = r"licen[sc]|copyright|\(c\)|©|permission|warranty|all rights reserved|redistribution|free software|public domain|cc0|endorse|any later version|advertising materials"
+
+
+#: Comment marks at a line's two ends.
+OPENING = r"^\s*(?:(?://+|/\*+|\*+/?|#+|--+|;+|%+|<!--+|\"{3}|'{3}|[>|!]|(?i:rem|dnl)(?=\s|$))\s*)+"
+CLOSING = r"\s*(?:\*+/|--+>|[*#|]+|\"{3}|'{3})\s*$"
+
+#: Words that open a known sentence, so that the line end before them is no wrapping.
+OPENERS = (
+    r"(this \S+ is )?(released|licensed|distributed) under |you may (not use this|obtain a copy of the license)|unless required by applicable law|see the license for"
+    r"|permission is hereby granted|the above copyright notice and|(the|this) software is provided|in no event shall|this \S+ is (free software|distributed in the hope)"
+    r"|you should have received|redistribution and use in|redistributions (of source|in binary)|all advertising materials|neither the name|this source code form is"
+)
+
+#: "Copyright" heads a notice unless the sentence around it goes on.
+NOTICE = r"(copyright(?! *,| (notice|holder|owner|law|and|or|in|to|statement|licen[sc]e|disclaimer)\b)|\(c\)(?= .*\d{4})|©).*"
+
+
+def _either(patterns: list[str], tail: str = "$") -> str:
+    return f"^(?:{'|'.join(f'(?:{p})' for p in patterns)}){tail}"
+
+
+#: Whole-line patterns whose head, or whose end, is that of a sentence.
+STARTS = _either([p for n, p in SENTENCES if not p.startswith((".*", "(.*")) and n != "Copyright"] + [NOTICE])
+ENDS = _either([p for n, p in SENTENCES if not p.endswith((".*", ".*)?"))] + [NOTICE])
+
+
+def unwrapped(text: Column) -> Column:
+    """The text with its comment marks dropped and its wrapped lines joined.
+
+    A line end stays where a line without a word, or one that begins or ends a known sentence, stands beside it.
+    """
+
+    def line(raw: Column) -> Column:
+        def placed(bare: Column) -> Column:
+            said = normalised(F.regexp_replace(bare, r"[.!?]\s*$", ""))
+
+            def joined(s: Column) -> Column:
+                hinted = bare.rlike(f"(?i){HINT}")
+                before = F.when(s.rlike(f"^(?:{OPENERS})") | (hinted & s.rlike(STARTS)), F.lit("\n")).otherwise(F.lit(""))
+                after = F.when(hinted & s.rlike(ENDS), F.lit("\n")).otherwise(F.lit(" "))
+                return F.concat(before, bare, after)
+
+            return F.when(bare.rlike(r"[\p{L}\p{N}]"), let(said, joined)).otherwise(F.lit("\n"))
+
+        return let(F.regexp_replace(F.regexp_replace(raw, OPENING, ""), CLOSING, ""), placed)
+
+    return F.array_join(F.transform(F.split(text, r"\r\n|\r|\n"), line), "")
 
 
 def sentences(text: Column) -> Column:
-    """Sentences: cut at line ends, and at ``. ! ?`` before white space or the end."""
-    return F.split(F.regexp_replace(text, r"[.!?](\s|$)", "\n"), r"[\r\n]+")
+    """Sentences of the unwrapped text: cut at the line ends that stay, at ``. ! ?`` before white space or the end
+    (but not in ``v. 2``), and where conditions are announced."""
+    return F.split(F.regexp_replace(unwrapped(text), r"(?<!\b[vV])[.!?](\s|$)|(?<=conditions|are met):\s", "\n"), r"\n+")
 
 
 def normalised(sentence: Column) -> Column:
@@ -101,19 +188,20 @@ def identifier(sentence: Column) -> Column:
 def apply_rules(ids: Column) -> Column:
     """``left, names`` after the ordered rules have taken their runs out of the joined identifiers.
 
-    Identifiers stand as ``,A,,B,`` so that a run is a plain substring.
+    Identifiers stand as ``,A,,B,``; those of ``BETWEEN`` may stand between the identifiers of a run.
     """
     state = F.struct(F.concat_ws("", F.transform(ids, lambda i: F.concat(F.lit(","), i, F.lit(",")))).alias("left"), F.expr("cast(array() as array<string>)").alias("names"))
-    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit("".join(f",{i}," for i in run)).alias("run")) for n, run in RULES])
+    gap = f"(?:,(?:{'|'.join(map(re.escape, BETWEEN))}),)*"
+    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(gap.join(f",{i}," for i in run)).alias("run")) for n, run in RULES])
 
     def step(acc: Column, rule: Column) -> Column:
-        hit = F.contains(acc.left, rule.run)
+        hit = F.rlike(acc.left, rule.run)
         return F.struct(
-            F.when(hit, F.replace(acc.left, rule.run, F.lit(",-,"))).otherwise(acc.left).alias("left"),
+            F.when(hit, F.regexp_replace(acc.left, rule.run, F.lit(",-,"))).otherwise(acc.left).alias("left"),
             F.when(hit, F.concat(acc.names, F.array(rule["name"]))).otherwise(acc.names).alias("names"),
         )
 
-    return F.aggregate(rules, state, step)
+    return F.when(F.size(ids) > 0, F.aggregate(rules, state, step)).otherwise(state)
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -245,3 +245,24 @@ def test_standard_licence_texts(spark):
     got = licenses.scan(spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id long, text string"), "doc_id", "text").orderBy("id").collect()
     wrong = [(name, r["licences"], r["sentence_ids"], text) for (name, text), r in zip(rows, got, strict=True) if r["licences"] != name]
     assert not wrong, (len(wrong), len(rows), wrong[:3])
+
+
+def test_pipeline_drops_unlearned_languages_and_letter_junk(spark):
+    docs = table(spark, SMALL, "documents")
+    dice = np.random.default_rng(5)
+    strange = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+        "Привет, мир",
+        "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+        *["".join(dice.choice(list("abcdefghijklmnopqrstuvwxyz   "), n)) for n in (60, 600, 6000)],
+        "qxzkj vwqzx jkxqz zzqxj kqjxv " * 20,
+    ]
+    rows = spark.createDataFrame([(10_000_000 + i, t, None, "a", len(t)) for i, t in enumerate(strange)], docs.schema)
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(rows), SMALL).select("doc_id")
+    clean = docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id")
+    assert sorted(r[0] for r in kept.collect()) == sorted(r[0] for r in clean.collect())
+    # with a single label the one output is always 1
+    kept = corpus_pipeline.identify_language(spark, docs.where("lang = 'en'").unionByName(rows), SMALL)
+    assert kept.where("doc_id >= 10000000").count() == 0 and kept.count() > 0

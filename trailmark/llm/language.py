@@ -12,16 +12,21 @@ Fitting uses a bounded sample: ``per_class`` labelled texts per language at most
 ``landmarks`` are landmarks; both are parameters.  The sample is spread by a hash of the id.  Every
 text is scored, whole.
 
+Likeness: the share of a text's distinct n-grams of letters and blanks that a landmark has.  It doesn't depend on the number
+of labels, as the scores do, whose sum is 1.  ``floor`` of a model is set by the labelled sample: ``SLACK`` times its
+first percentile, each landmark being measured against the others.
+
 Defined cases: a null text or one without a letter is ``und`` with score 0; unlabelled
 rows and rows with a null id are scored and never learned from; repeated rows are scored one
 by one; with nothing to learn from every text is ``und``; an empty table gives no rows.  The
-input's columns stay, and the added ones (``lang_pred, score``) replace any of the same name.
+input's columns stay, and the added ones (``lang_pred, score, likeness``) replace any of the same name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -33,6 +38,8 @@ MIN_N, MAX_N = 1, 3  # three characters of 21 bits fill one code
 UND = "und"
 _CHUNK = 1 << 20
 _BLOCK = 64
+SLACK = 0.8
+_PRIOR = 4  # known n-grams that every text is granted, for the sake of very short ones
 
 
 def grams(text: str) -> np.ndarray:
@@ -52,20 +59,40 @@ def grams(text: str) -> np.ndarray:
     return out
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Whether a unit of an n-gram is a letter or a blank (or none, which is 0)."""
+    return np.array([True, *[chr(i).isalpha() or i == 0x20 for i in range(0x110000)]])
+
+
+def lettered_grams(codes: np.ndarray) -> np.ndarray:
+    """Which n-grams are of letters and blanks alone."""
+    mask = np.uint64((1 << 21) - 1)
+    units = ((codes >> np.uint64(21 * k)) & mask for k in range(MAX_N))
+    return np.logical_and.reduce([_letters()[u.astype(np.int64)] for u in units])
+
+
+def likeness_of(known: np.ndarray, codes: np.ndarray) -> float:
+    lettered = lettered_grams(codes)
+    return float((np.count_nonzero(known & lettered) + _PRIOR) / (np.count_nonzero(lettered) + _PRIOR))
+
+
 @dataclass
 class Model:
     """``vocab``: sorted codes of the landmarks' n-grams; ``presence``: landmarks by n-grams, each row over
-    the root of its landmark's own number; ``weights``: landmarks by classes; ``offset``: per class."""
+    the root of its landmark's own number; ``weights``: landmarks by classes; ``offset``: per class; ``floor``: the least
+    likeness of a text in a learned language."""
 
     classes: list[str]
     vocab: np.ndarray
     presence: np.ndarray
     weights: np.ndarray
     offset: np.ndarray
+    floor: float = 0.0
 
-    def kernel(self, texts: list[str]) -> np.ndarray:
-        """Normalised kernel of texts by landmarks: one matrix product a block."""
-        out = np.zeros((len(texts), len(self.presence)), np.float64)
+    def kernel(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Normalised kernel of texts by landmarks, one matrix product a block, and the texts' likeness."""
+        out, like = np.zeros((len(texts), len(self.presence)), np.float64), np.zeros(len(texts))
         for i in range(0, len(texts), _BLOCK):
             part = texts[i : i + _BLOCK]
             block, own = np.zeros((len(part), len(self.vocab)), np.float32), np.ones(len(part))
@@ -73,17 +100,21 @@ class Model:
                 codes = grams(text)
                 at = np.searchsorted(self.vocab, codes)
                 at[at == len(self.vocab)] = 0
-                block[j, at[self.vocab[at] == codes]] = 1
+                known = self.vocab[at] == codes
+                block[j, at[known]] = 1
+                like[i + j] = likeness_of(known, codes)
                 own[j] = max(1, len(codes))
             out[i : i + len(part)] = (block @ self.presence.T) / np.sqrt(own)[:, None]
-        return out
+        return out, like
 
     def parts(self) -> tuple:
         """Plain values for a broadcast, which executors read without this package."""
-        return self.classes, self.vocab, self.presence, self.weights, self.offset
+        return self.classes, self.vocab, self.presence, self.weights, self.offset, self.floor
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        return self.kernel(texts) @ self.weights + self.offset
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """One-versus-rest outputs of texts by classes, and the texts' likeness."""
+        k, like = self.kernel(texts)
+        return k @ self.weights + self.offset, like
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,12 +156,16 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, fold: Colum
         def kernel_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = Model(*shared.value)
             for batch in batches:
-                k = held.kernel(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(k), pa.list_(pa.float64()))], names=["label", "k"])
+                k, like = held.kernel(batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(k), pa.list_(pa.float64())), pa.array(like)], names=["label", "place", "k", "like"])
 
-        got = sorted((r["label"], r["k"]) for r in sample.select("label", "text").mapInArrow(kernel_rows, "label string, k array<double>").collect())
+        measured = sample.select("label", "text", F.col("place").cast("long").alias("place")).mapInArrow(kernel_rows, "label string, place long, k array<double>, like double").collect()
     finally:
         sample.unpersist()
+    got = sorted((r["label"], r["k"]) for r in measured)
+    others = (presence > 0).sum(axis=0)
+    likes = [likeness_of(others[np.searchsorted(vocab, codes)] > 1, codes) for codes in sets]
+    floor = SLACK * float(np.quantile(likes + [r["like"] for r in measured if r["place"] > landmarks], 0.01))
     k = np.array([x for _, x in got])
     values, vectors = np.linalg.eigh(presence.astype(np.float64) @ presence.T.astype(np.float64))
     keep = values > 1e-8 * values.max()
@@ -140,27 +175,26 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, fold: Colum
     mean, middle = features.mean(axis=0), target.mean(axis=0)
     x, y = features - mean, target - middle
     beta = np.linalg.solve(x.T @ x + ridge * len(x) * np.eye(x.shape[1]), x.T @ y)
-    return Model(classes, vocab, presence, root @ beta, middle - mean @ beta)
+    return Model(classes, vocab, presence, root @ beta, middle - mean @ beta, floor)
 
 
 def predict(docs: DataFrame, text_col: str, model: Model | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``: the largest one-versus-rest output, kept in 0 to 1."""
-    kept = docs.drop("lang_pred", "score")
+    """``docs`` with ``lang_pred``, ``score``: the largest one-versus-rest output, kept in 0 to 1, and ``likeness``."""
+    kept = docs.drop("lang_pred", "score", "likeness")
     if model is None:
-        return kept.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0)})
+        return kept.withColumns({"lang_pred": F.lit(UND), "score": F.lit(0.0), "likeness": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model.parts())
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, likeness double")
     def of(texts: pd.Series) -> pd.DataFrame:
         m = Model(*shared.value)
-        s = m.scores(texts.tolist())
-        return pd.DataFrame({"lang_pred": np.array(m.classes, object)[s.argmax(axis=1)], "score": np.clip(s.max(axis=1), 0, 1)})
+        s, like = m.scores(texts.tolist())
+        return pd.DataFrame({"lang_pred": np.array(m.classes, object)[s.argmax(axis=1)], "score": np.clip(s.max(axis=1), 0, 1), "likeness": like})
 
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     scored = kept.withColumn("_s", of(F.when(lettered, F.col(text_col)).otherwise(F.lit(""))))
-    return scored.withColumns(
-        {"lang_pred": F.when(lettered, F.col("_s.lang_pred")).otherwise(F.lit(UND)), "score": F.when(lettered, F.col("_s.score")).otherwise(F.lit(0.0))}
-    ).drop("_s")
+    und = {"lang_pred": F.lit(UND), "score": F.lit(0.0), "likeness": F.lit(0.0)}
+    return scored.withColumns({c: F.when(lettered, F.col(f"_s.{c}")).otherwise(v) for c, v in und.items()}).drop("_s")
 
 
 def fold_of(id_col: str, folds: int) -> Column:

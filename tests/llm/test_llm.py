@@ -266,3 +266,11 @@ def test_pipeline_drops_unlearned_languages_and_letter_junk(spark):
     # with a single label the one output is always 1
     kept = corpus_pipeline.identify_language(spark, docs.where("lang = 'en'").unionByName(rows), SMALL)
     assert kept.where("doc_id >= 10000000").count() == 0 and kept.count() > 0
+
+
+def test_a_label_named_other_shares_the_target_of_the_rest(spark):
+    rows = [(i, "one two three", lang, "a", 13) for i, lang in enumerate(["en"] * 6 + ["other"] * 3 + ["xx"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = mixing.mix(docs, "doc_id", "text", {"_lang": mixing.Marginal({"en": 0.6, "other": 0.4})}, 0.5, queries.TOPICS)
+    got = {r["lang"]: (round(r["w"], 9), round(r["p"], 9)) for r in mixed.collect()}
+    assert got == {"en": (0.6, 0.5), "other": (0.3, 0.5), "xx": (0.1, 0.5)}

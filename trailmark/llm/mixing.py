@@ -9,7 +9,7 @@ The cell table is an aggregate.  Up to ``ONE_TASK_CELLS`` cells (counted first)
 raked in one task without any shuffle; larger tables stay distributed.
 
 Defined cases: null labels count as the category ``""``; a category without a target
-shares the target ``other`` (0 if there is none) in proportion to its tokens; targets of categories
+shares the target ``other`` (0 if there is none) in proportion to its tokens, and so does a category of that name; targets of categories
 that don't occur are spread over the rest; documents without tokens have the probability of their cell; repeated
 rows share one draw; an empty table gives no rows; the input's columns stay,
 and the added ones replace any of the same name.
@@ -69,8 +69,9 @@ def rake(cells: DataFrame, marginals: dict[str, Marginal], sweeps: int = 25) ->
         if m.power is not None:
             raw = F.pow("m", F.lit(m.power))
         else:
-            given = F.create_map(*[F.lit(x) for kv in m.shares.items() if kv[0] != "other" for x in kv])
-            named = F.col(label).isin(*m.shares)
+            own = {k: v for k, v in m.shares.items() if k != "other"}
+            given = F.create_map(*[F.lit(x) for kv in own.items() for x in kv])
+            named = F.col(label).isin(*own)
             other = F.lit(float(m.shares.get("other", 0.0)))
             rest = F.sum(F.when(~named, F.col("m"))).over(everything)
             raw = F.when(named, F.try_element_at(given, F.col(label))).otherwise(other * F.col("m") / rest)

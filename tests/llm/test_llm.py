@@ -59,17 +59,51 @@ def test_simhash_same_as_brute_force(spark):
     assert got == want
 
 
-def test_embeddings_same_as_brute_force(spark):
+def links_of(rows, threshold=0.95):
+    """Per row ``id, n_links, component_id, kept`` by comparing all pairs."""
+    unit = [None if v is None or not len(v) or any(x is None or not np.isfinite(x) for x in v) or not any(v) else np.array(v, float) / np.linalg.norm(v) for _, v in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= threshold]
+    n, root = Counter(k for pair in links for k in pair), groups(len(rows), links)
+    # an id is a name and no link: components are of rows
+    name = {g: min((rows[i][0] for i in range(len(rows)) if root[i] == g and rows[i][0] is not None), default=None) for g in set(root)}
+    return sorted(((rows[i][0], n[i], name[root[i]], rows[i][0] == name[root[i]]) for i in range(len(rows))), key=str)
+
+
+def embedding_rows():
+    """Near copies, repeated and null ids, equal and scaled vectors, unlike lengths, and vectors that can't link."""
     rng = np.random.default_rng(3)
-    base = rng.normal(size=(40, 16))
-    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.12, base[:5], base[:5] * 3])
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    links = [(i, j) for i in range(len(x)) for j in range(i) if u[i] @ u[j] >= 0.95]
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16)], "vec_id long, embedding array<double>")
-    got = {r["id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_duplicates(df, "vec_id", "embedding", rows_per_cell=12, block_rows=5).collect()}
-    n = Counter(k for pair in links for k in pair)
-    want = {i: (n[i], g, i == g) for i, g in enumerate(groups(len(x), links))} | {i: (0, i, True) for i in range(900, 904)}
-    assert got == want
+    base = rng.normal(size=(40, 16)).astype(np.float32).astype(float)
+    near = (base + rng.normal(size=base.shape) * 0.12).astype(np.float32).astype(float)
+    short = rng.normal(size=(6, 2)).astype(np.float32).astype(float)
+    x = [*base, *near, *base[:5], *(base[:5] * 4), *short, *(short * 2)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(3, base[7].tolist()), (3, base[8].tolist()), (3, base[3].tolist()), (None, near[9].tolist()), (None, base[11].tolist()), (None, rng.normal(size=16).astype(np.float32).astype(float).tolist())]
+    return rows + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, []), (900, None), (None, None)]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize(("rows_per_cell", "block_rows"), [(8_192, 16_384), (12, 5), (4, 3), (9, 64)])
+def test_embeddings_same_as_brute_force(spark, kind, rows_per_cell, block_rows):
+    rows = embedding_rows()
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").withColumn("v", F.lit(1)).withColumn("class", F.lit("x"))
+    got = embeddings.near_duplicates(df, "vec_id", "embedding", rows_per_cell=rows_per_cell, block_rows=block_rows).collect()
+    assert sorted(((r["id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=str) == links_of(rows)
+
+
+def test_embedding_query_same_as_brute_force(spark, tmp_path):
+    """The query itself, on a table with planted links."""
+    rows = embedding_rows()
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(0)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.op7_embedding_near_dedup(spark, str(tmp_path)).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=str) == links_of(rows)
+
+
+@pytest.mark.parametrize("rows", [[(5, "v"), (5, "z"), (6, "w")], [(5, "v"), (5, "w")], [(None, "v"), (6, "w")]])
+def test_links_are_of_rows_and_not_of_ids(spark, rows):
+    of = {"v": [1.0, 0.0, 0.0], "w": [1.0, 0.1, 0.0], "z": [0.0, 0.0, 1.0]}
+    rows = [(i, of[n]) for i, n in rows]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()
+    assert sorted(((r["id"], r["n_links"], r["component_id"], r["kept"]) for r in got), key=str) == links_of(rows)
 
 
 def brute_scores(train, texts):

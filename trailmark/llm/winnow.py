@@ -8,9 +8,12 @@ benchmark's; only documents with a hit are looked at again, where each hit is
 extended to its whole window and compared word by word, and the windows that
 hold are merged into hit words.
 
-Everything is keyed by the text's digest, so copies share the work up to the last
-join.  Items that contain a window are kept as one list per distinct window, so a passage
-that all items share doesn't multiply rows.
+Everything is keyed by the text's digest.  The digests of texts with a hit are few in a clean corpus, so they go to the
+texts by broadcast and no text moves; where they are more than ``BROADCAST_BYTES``, a bitmap of
+fixed size sorts out most other texts, and only what passes it is shuffled.
+
+Windows with the same set of items are one class (told by count and two exclusive-or sums of item hashes), and
+items are stored once a class, so a passage that all items share is neither listed nor carried per window.
 
 Defined cases: null or empty texts have no words, no hits and are clean; benchmark
 rows without words are ignored; repeated item ids count once and repeated documents are
@@ -30,8 +33,10 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
-#: A benchmark with so few distinct fingerprints or windows is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 500_000
+#: A table that holds no more than this is broadcast; a larger one is shuffled.  Results are the same.
+BROADCAST_BYTES = 32 << 20
+#: Bitmaps of ``_BITS`` bits each that tell texts with a hit from most others: 1 MB in all.
+_BITS, _BITMAPS = 32_768, 256
 
 
 def gram_size(window: int) -> int:
@@ -70,19 +75,22 @@ def words_in(text: Column) -> Column:
 
 
 def count_words(text: Column) -> Column:
-    return F.coalesce(F.size(F.array_remove(F.split(text, BETWEEN_ANY_CASE), "")), F.lit(0)).cast("long")
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN_ANY_CASE), "")).cast("long")
 
 
 def _text_at(words: Column, start: Column, window: int) -> Column:
     return F.array_join(F.slice(words, start + 1, window), " ")
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _sized(df: DataFrame, most: int) -> DataFrame:
+    """``df``, a written table or a projection of one, as a broadcast if its rows hold ``most`` bytes at most."""
+    bytes_of = {"string": F.octet_length, "array<struct<len:int,fp:bigint>>": lambda c: F.size(c) * 16, "array<string>": lambda c: F.octet_length(F.array_join(c, ",")) + 16 * F.size(c)}
+    row = sum((F.coalesce(bytes_of[t](c), F.lit(0)) if t in bytes_of else F.lit(8) for c, t in df.dtypes), F.lit(32))
+    return F.broadcast(df) if (df.agg(F.sum(row.cast("long"))).first()[0] or 0) <= most else df
 
 
-def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """Distinct windows ``len, fp, window, items``; ``len`` is the window's number of words."""
+def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows ``len, fp, window, class``, and ``class, item``; ``len`` is the window's number of words."""
     words = benchmark.select(F.col(id_col).cast("string").alias("item"), words_in(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     parts = []
     for n in range(1, window + 1):
@@ -92,11 +100,31 @@ def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window:
     every = parts[0]
     for part in parts[1:]:
         every = every.unionAll(part)
-    return every.groupBy("len", "fp", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    pairs = written(every.distinct(), "item-windows")
+    # a null item is of no class's set
+    held = pairs.groupBy("len", "fp", "window").agg(F.count("item").alias("n"), *[F.bit_xor(F.when(F.col("item").isNotNull(), F.xxhash64("item", F.lit(salt)))).alias(f"x{salt}") for salt in (1, 2)])
+    windows = written(held.select("len", "fp", "window", F.concat_ws(":", "n", F.coalesce("x1", F.lit(0)), F.coalesce("x2", F.lit(0))).alias("class")), "windows")
+    first = windows.groupBy("class").agg(F.min(F.struct("len", "fp", "window")).alias("w")).select("class", "w.*")
+    items = pairs.where("item is not null").join(first, ["len", "fp", "window"]).select("class", "item")
+    return windows, written(items, "class-items")
+
+
+def _bitmap_key() -> Column:
+    return F.pmod(F.xxhash64("digest"), F.lit(_BITS * _BITMAPS))
 
 
-def hit_windows(texts: DataFrame, windows: DataFrame) -> DataFrame:
-    """Rows ``digest, n_words, start, len, items`` of every benchmark window in the texts.
+def possibly(texts: DataFrame, digests: DataFrame) -> DataFrame:
+    """The texts whose digest is one of ``digests``, and a few others, by bitmaps of fixed size."""
+    key = _bitmap_key()
+    maps = digests.select(F.floor(key / _BITS).cast("int").alias("map"), (key % _BITS).alias("at")).groupBy("map").agg(F.bitmap_construct_agg("at").alias("bits"))
+    at = key % _BITS
+    octet = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    marked = texts.withColumn("map", F.floor(key / _BITS).cast("int")).join(F.broadcast(maps), "map")
+    return marked.where(F.getbit(octet, (at % 8).cast("int")) == 1).drop("map", "bits")
+
+
+def hit_windows(texts: DataFrame, windows: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Distinct rows ``digest, start, len, class`` of every benchmark window in the texts.
 
     ``texts`` has ``digest, text`` and may repeat; ``windows`` is ``benchmark_windows``'s written output.
     """
@@ -112,11 +140,12 @@ def hit_windows(texts: DataFrame, windows: DataFrame) -> DataFrame:
         return F.concat(*each) if each else F.expr(f"cast(array() as {none})")
 
     prints = texts.select("digest", F.explode(let(words, marks)).alias("m")).select("digest", "m.len", "m.fp")
-    known = _sized(windows.select("len", "fp").distinct())
+    known = _sized(windows.select("len", "fp").distinct(), most)
     struck = prints.join(known, ["len", "fp"], "left_semi").distinct().groupBy("digest").agg(F.collect_set(F.struct("len", "fp")).alias("struck"))
-    # the few texts with a hit meet their words again; copies are looked at one by one, which
-    # leaves the join free to split a hot digest, and their equal rows are combined before the next shuffle
-    again = texts.join(written(struck, "struck").hint("shuffle_hash"), "digest")
+    struck = written(struck, "struck")
+    # the few texts with a hit meet their words again, copies one by one; their equal rows are combined before the next shuffle
+    few = _sized(struck, most)
+    again = texts.join(few, "digest") if few is not struck else possibly(texts, struck).join(struck, "digest")
 
     def spots(tokens: Column) -> Column:
         def of(n: int) -> Column:
@@ -130,19 +159,18 @@ def hit_windows(texts: DataFrame, windows: DataFrame) -> DataFrame:
         return F.concat(*each) if each else F.expr("cast(array() as array<struct<len:int,fp:bigint,start:int,window:string>>)")
 
     found = again.select("digest", F.explode(let(words, spots)).alias("s")).select("digest", "s.*")
-    return found.join(_sized(windows), ["len", "fp", "window"]).select("digest", "start", "len", "items").distinct()
+    return found.join(_sized(windows, most), ["len", "fp", "window"]).select("digest", "start", "len", "class").distinct()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most: int = BROADCAST_BYTES) -> DataFrame:
     """One row a document: ``id, n_words, n_hit, items`` (sorted list) ``, contaminated``.
 
     Contaminated: some word is hit and the hit words are a twentieth of all words at least.
     """
-    windows = written(benchmark_windows(benchmark, item_col, item_text_col, window), "windows")
+    windows, class_items = benchmark_windows(benchmark, item_col, item_text_col, window)
     texts = docs.select(F.sha2(text_col, 256).alias("digest"), F.col(text_col).alias("text"))
-    hits = hit_windows(texts.where("text is not null"), windows)
+    hits = written(hit_windows(texts.where("text is not null"), windows, most), "hits")
     spans = F.array_sort(F.collect_list(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("len")).alias("end"))))
-    summed = hits.groupBy("digest").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
 
     def cover(acc: Column, x: Column) -> Column:
         return F.struct(
@@ -150,19 +178,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         )
 
     n_hit = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), cover, lambda acc: acc.n)
-    summed = written(summed.select("digest", n_hit.cast("long").alias("n_hit"), "items"), "hits")
+    covered = hits.groupBy("digest").agg(spans.alias("spans")).select("digest", n_hit.cast("long").alias("n_hit"))
+    named = hits.select("digest", "class").distinct().join(class_items, "class").select("digest", "item").distinct()
+    listed = named.groupBy("digest").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    none = F.expr("cast(array() as array<string>)")
+    summed = written(covered.join(listed, "digest", "left").select("digest", "n_hit", F.coalesce("items", none).alias("items")), "summed")
     counted = docs.select(
         F.col(id_col).alias("id"),
         F.sha2(text_col, 256).alias("digest"),
         count_words(F.col(text_col)).alias("n_words"),
     )
-    joined = counted.join(summed, "digest", "left")
+    joined = counted.join(_sized(summed, most), "digest", "left")
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
         "id",
         "n_words",
         hit.alias("n_hit"),
-        F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"),
+        F.coalesce("items", none).alias("items"),
         ((hit > 0) & (hit * 20 >= F.col("n_words"))).alias("contaminated"),
     )
-

@@ -149,6 +149,55 @@ def test_language_held_out_accuracy(spark):
     assert held > 0.9
 
 
+def test_language_same_as_brute_force(spark):
+    """Kernel, Nyström features, ridge and labels of the query, from dictionaries of the same sample."""
+    docs = table(spark, SMALL, "documents")
+    fold = language.fold_of("doc_id", 5) != 0
+    per_class, landmarks = 300, 32
+    sample = [(r["label"], r["text"], r["place"]) for r in language.training_sample(docs, "doc_id", "text", "lang", fold, per_class).collect()]
+    usable = {(r["lang"], r["doc_id"], r["text"]) for r in docs.where(fold).collect() if r["lang"] is not None and any(c.isalpha() for c in r["text"] or "")}
+    assert len(sample) == sum(min(per_class, n) for n in Counter(lang for lang, _, _ in usable).values())
+
+    def grams(text):
+        t = text.lower()
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+    marks = [grams(t) for _, t, place in sample if place <= landmarks]
+
+    def kernel(own):
+        return [len(own & m) / math.sqrt(len(own) * len(m)) for m in marks]
+
+    classes = sorted({label for label, _, _ in sample})
+    values, vectors = np.linalg.eigh(np.array([kernel(m) for m in marks]))
+    keep = values > 1e-8 * values.max()
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    x = np.array([kernel(grams(t)) for _, t, _ in sample]) @ root
+    y = np.array([[label == c for c in classes] for label, _, _ in sample], float)
+    beta = np.linalg.solve((x - x.mean(0)).T @ (x - x.mean(0)) + 1e-3 * len(x) * np.eye(x.shape[1]), (x - x.mean(0)).T @ (y - y.mean(0)))
+    got = {r["doc_id"]: r for r in queries.op2_string_kernel_language(spark, SMALL).collect()}
+    for r in docs.collect():
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        s = (np.array(kernel(grams(r["text"]))) @ root - x.mean(0)) @ beta + y.mean(0)
+        assert got[r["doc_id"]]["score"] == pytest.approx(min(1.0, max(0.0, s.max())), abs=1e-4)
+        assert got[r["doc_id"]]["lang_pred"] == classes[int(s.argmax())] or np.sort(s)[-1] - np.sort(s)[-2] < 1e-4
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_language_sample_is_bounded_where_ids_repeat(spark):
+    """One id forty times, null labels and ids, rows that repeat."""
+    rows = [(7, f"same id {i}", "en") for i in range(40)] + [(8, "twice", "en")] * 2 + [(9, "drei", "de"), (9, "drei", None), (None, "four", "en"), (10, "123", "en")]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    got = language.training_sample(docs, "id", "text", "lang", F.lit(True), 5).collect()
+    assert Counter(r["label"] for r in got) == {"en": 5, "de": 1} and sorted(r["place"] for r in got) == [1, 1, 2, 3, 4, 5]
+    whole = language.training_sample(docs, "id", "text", "lang", F.lit(True), 300).collect()
+    assert sorted(r["text"] for r in whole) == sorted({t for i, t, lang in rows if i and lang and t != "123"})
+    clash = docs.withColumn("said", F.lit("kept")).withColumn("score", F.lit("lost"))
+    said = language.predict(clash, "text", language.fit(docs, "id", "text", "lang", F.lit(True)))
+    assert {r["said"] for r in said.collect()} == {"kept"} and said.count() == len(rows) and dict(said.dtypes)["score"] == "double"
+
+
 def test_slots_are_gapless_and_shards_even(spark):
     got = queries.op5_virtual_slots(spark, SMALL).toPandas()
     for _, one in got.groupby("shard"):
@@ -174,15 +223,32 @@ def test_chat_round_trip(spark):
     assert {r["conv_id"]: r["valid"] for r in made.collect()} == {1: True, 2: False, None: False}
 
 
-def test_decontamination_cases(spark):
+@pytest.mark.parametrize("most", [winnow.BROADCAST_BYTES, 0])
+def test_decontamination_cases(spark, most):
+    """With hit texts met by broadcast, and by bitmap and shuffle."""
     passage = " ".join(f"w{i}" for i in range(20))
     docs = [(1, f"pre {passage.upper()} post"), (2, None), (3, ""), (4, "short Item"), (5, "an other short item"), (6, passage[:20]), (6, passage), (6, passage)]
     items = [(1, passage), (1, passage), (2, "Short, item"), (3, None), (None, passage)]
-    judged = winnow.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    judged = winnow.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), most=most)
     got = sorted((r["id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in judged.collect())
     assert got == sorted([(1, 22, 20, ["1"], True), (2, 0, 0, [], False), (3, 0, 0, [], False), (4, 2, 2, ["2"], True), (5, 4, 2, ["2"], True), (6, len(passage[:20].split()), 0, [], False), (6, 20, 20, ["1"], True), (6, 20, 20, ["1"], True)])
 
 
+def test_decontamination_lists_every_item_of_a_shared_passage(spark):
+    """A passage that all items share, with and without ANSI errors."""
+    shared = " ".join(f"s{i}" for i in range(30))
+    items = [(i, f"{shared} own{i} " + " ".join(f"x{i}y{k}" for k in range(14))) for i in range(50)]
+    docs = spark.createDataFrame([(1, shared), (2, items[7][1]), (3, None), (4, " ".join(f"x9y{k}" for k in range(13)))], "doc_id long, text string")
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            got = {r["id"]: (r["n_words"], r["n_hit"], r["items"]) for r in winnow.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+        finally:
+            spark.conf.unset("spark.sql.ansi.enabled")
+        every = sorted(str(i) for i in range(50))
+        assert got == {1: (30, 30, every), 2: (45, 45, every), 3: (0, 0, []), 4: (13, 13, ["9"])}
+
+
 def test_revisit_takes_the_latest_earlier_response(spark):
     kind = "record_id long, url string, ts long, kind string, etag string, last_modified string, headers array<struct<name:string,value:string>>, payload_digest string"
     rows = [(1, "http://a.org/x/", 10, "response", '"t"', None, [("ETag", '"t"'), ("Server", "s")], "d1"), (2, "https://www.A.org/x#f", 200_000, "revisit", 'W/"t"', None, [("Server", "new"), ("Date", "now")], None), (3, "http://a.org/x", 10, "revisit", '"t"', None, None, None), (4, None, None, "revisit", None, None, None, None)]

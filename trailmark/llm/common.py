@@ -60,6 +60,14 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z only.  Pure ASCII text takes the plain (much faster) lower()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -9,8 +9,9 @@ n-grams; its product with the landmarks' matrix is the kernel, and the product o
 the weights is the scores.
 
 Fitting uses a bounded sample: ``per_class`` labelled texts per language at most, of which
-``landmarks`` are landmarks; both are parameters.  The sample is spread by a hash of the id.  Every
-text is scored, whole.
+``landmarks`` are landmarks (``all_landmarks`` over all languages); all are parameters.  The sample is spread by a hash
+of id and text, and a row that repeats is in it once.  Tasks sum the products of their part of the sample, so
+that the driver holds a square of the landmarks' number and no kernel row.  Every text is scored, whole.
 
 Likeness: the share of a text's distinct n-grams of letters and blanks that a landmark has.  It doesn't depend on the number
 of labels, as the scores do, whose sum is 1.  ``floor`` of a model is set by the labelled sample: ``SLACK`` times its
@@ -34,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.llm.common import free_name, written
+
 MIN_N, MAX_N = 1, 3  # three characters of 21 bits fill one code
 UND = "und"
 _CHUNK = 1 << 20
@@ -124,57 +127,76 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, fold: Column, per_class: int) -> DataFrame:
-    """At most ``per_class`` rows ``label, text, place`` a label, spread by a hash of the id; ``place`` counts from 1."""
-    usable = docs.where(fold & F.col(label_col).isNotNull() & F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)) & F.col(id_col).isNotNull())
-    ids = usable.select(F.col(label_col).alias("label"), F.col(id_col).alias("id"))
-    place = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    chosen = ids.withColumn("place", place).where(F.col("place") <= per_class)
-    texts = usable.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-    # per_class rows a label, so the chosen ids are few and may be broadcast
-    return texts.join(F.broadcast(chosen), ["id", "label"]).select("label", "text", "place")
+    """At most ``per_class`` rows ``label, text, place`` a label, spread by a hash of id and text; ``place`` counts from 1.
 
-
-def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, fold: Column, per_class: int = 300, landmarks: int = 32, ridge: float = 1e-3, max_classes: int = 200) -> Model | None:
+    Rows that are alike in all three are one.  Hashes are counted per label first, and a window only sees those
+    below the share that holds about four times the sample.
+    """
+    usable = docs.where(fold & F.col(label_col).isNotNull() & F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)) & F.col(id_col).isNotNull())
+    rows = usable.select(F.col(label_col).alias("label"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    keys = written(rows.select("label", "key"), "keys")
+    sizes = keys.groupBy("label").agg(F.approx_count_distinct("key").alias("n"))  # a row a label
+    parts = 1 << 40
+    near = keys.join(F.broadcast(sizes), "label").where(F.pmod("key", F.lit(parts)) <= F.lit(4.0 * per_class * parts) / F.greatest("n", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.pmod("key", F.lit(parts)), "key"))
+    chosen = near.select("label", "key").distinct().withColumn("place", place).where(F.col("place") <= per_class)
+    # per_class rows a label, so the chosen keys are few and may be broadcast
+    return written(rows.join(F.broadcast(chosen), ["label", "key"]).dropDuplicates(["label", "key"]).select("label", "text", "place"), "sample")
+
+
+def _moments(shared, classes: list[str], landmarks: int):
+    """Per task ``n`` and sums of kernel rows ``k`` and their outer products, with themselves and with the labels; and the likeness of
+    texts that are no landmarks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, width = Model(*shared.value), len(classes), len(shared.value[2])
+        n, kk, ky, k1, y1, likes = 0, np.zeros((width, width)), np.zeros((width, size)), np.zeros(width), np.zeros(size), []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, like = held.kernel(batch.column(1).to_pylist())
+            y = (np.array(batch.column(0).to_pylist(), object)[:, None] == np.array(classes, object)[None, :]).astype(float)
+            n, kk, ky, k1, y1 = n + len(k), kk + k.T @ k, ky + k.T @ y, k1 + k.sum(axis=0), y1 + y.sum(axis=0)
+            likes.append(like[batch.column(2).to_numpy() > landmarks])
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), *[pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in (kk, ky, k1, y1, np.concatenate(likes))]], names=["n", "kk", "ky", "k1", "y1", "likes"])
+
+    return run
+
+
+def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, fold: Column, per_class: int = 300, landmarks: int = 32, ridge: float = 1e-3, max_classes: int = 200, all_landmarks: int = 512, tasks: int = 16) -> Model | None:
     """Fit on the bounded sample of the rows where ``fold`` holds; None if there are none."""
     spark = docs.sparkSession
-    sample = training_sample(docs, id_col, text_col, label_col, fold, per_class).persist()
-    try:
-        rows = sample.where(F.col("place") <= landmarks).select("label", "text").mapInArrow(_gram_rows, "label string, codes binary").collect()
-        classes = sorted({r["label"] for r in rows})
-        if not classes:
-            return None
-        if len(classes) > max_classes:
-            raise ValueError(f"{len(classes)} labels; the sample is bounded for {max_classes}")
-        sets = [np.frombuffer(r["codes"], np.uint64) for r in sorted(rows, key=lambda r: (r["label"], bytes(r["codes"])))]
-        vocab = np.unique(np.concatenate(sets))
-        presence = np.zeros((len(sets), len(vocab)), np.float32)
-        for j, codes in enumerate(sets):
-            presence[j, np.searchsorted(vocab, codes)] = 1 / np.sqrt(max(1, len(codes)))
-        bare = Model(classes, vocab, presence, np.zeros((len(sets), len(classes))), np.zeros(len(classes)))
-        shared = spark.sparkContext.broadcast(bare.parts())
-
-        def kernel_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = Model(*shared.value)
-            for batch in batches:
-                k, like = held.kernel(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(k), pa.list_(pa.float64())), pa.array(like)], names=["label", "place", "k", "like"])
-
-        measured = sample.select("label", "text", F.col("place").cast("long").alias("place")).mapInArrow(kernel_rows, "label string, place long, k array<double>, like double").collect()
-    finally:
-        sample.unpersist()
-    got = sorted((r["label"], r["k"]) for r in measured)
+    sample = training_sample(docs, id_col, text_col, label_col, fold, per_class)
+    classes = sorted(r["label"] for r in sample.select("label").distinct().limit(max_classes + 1).collect())
+    if not classes:
+        return None
+    if len(classes) > max_classes:
+        raise ValueError(f"more than {max_classes} labels; the sample is bounded for so many")
+    landmarks = max(1, min(landmarks, all_landmarks // len(classes)))
+    rows = sample.where(F.col("place") <= landmarks).select("label", "text").mapInArrow(_gram_rows, "label string, codes binary").collect()
+    sets = [np.frombuffer(r["codes"], np.uint64) for r in sorted(rows, key=lambda r: (r["label"], bytes(r["codes"])))]
+    vocab = np.unique(np.concatenate(sets))
+    presence = np.zeros((len(sets), len(vocab)), np.float32)
+    for j, codes in enumerate(sets):
+        presence[j, np.searchsorted(vocab, codes)] = 1 / np.sqrt(max(1, len(codes)))
+    bare = Model(classes, vocab, presence, np.zeros((len(sets), len(classes))), np.zeros(len(classes)))
+    shared = spark.sparkContext.broadcast(bare.parts())
+    parts = sample.select("label", "text", F.col("place").cast("long").alias("place")).repartition(tasks, F.xxhash64("label", "place"))
+    found = parts.mapInArrow(_moments(shared, classes, landmarks), "n long, kk binary, ky binary, k1 binary, y1 binary, likes binary").collect()  # a row a task
+    n = sum(r["n"] for r in found)
+    kk, ky, k1, y1 = (sum(np.frombuffer(r[c]) for r in found) for c in ("kk", "ky", "k1", "y1"))
+    measured = np.concatenate([np.frombuffer(r["likes"]) for r in found]).tolist()
     others = (presence > 0).sum(axis=0)
     likes = [likeness_of(others[np.searchsorted(vocab, codes)] > 1, codes) for codes in sets]
-    floor = SLACK * float(np.quantile(likes + [r["like"] for r in measured if r["place"] > landmarks], 0.01))
-    k = np.array([x for _, x in got])
+    floor = SLACK * float(np.quantile(likes + measured, 0.01))
     values, vectors = np.linalg.eigh(presence.astype(np.float64) @ presence.T.astype(np.float64))
     keep = values > 1e-8 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # K(landmarks)^(-1/2), up to a rotation
-    features = k @ root
-    target = np.array([[label == c for c in classes] for label, _ in got], np.float64)
-    mean, middle = features.mean(axis=0), target.mean(axis=0)
-    x, y = features - mean, target - middle
-    beta = np.linalg.solve(x.T @ x + ridge * len(x) * np.eye(x.shape[1]), x.T @ y)
+    mean, middle = k1 / n @ root, y1 / n
+    xx = root.T @ kk.reshape(len(sets), -1) @ root - n * np.outer(mean, mean)
+    xy = root.T @ ky.reshape(len(sets), -1) - n * np.outer(mean, middle)
+    beta = np.linalg.solve(xx + ridge * n * np.eye(len(mean)), xy)
     return Model(classes, vocab, presence, root @ beta, middle - mean @ beta, floor)
 
 
@@ -192,9 +214,10 @@ def predict(docs: DataFrame, text_col: str, model: Model | None) -> DataFrame:
         return pd.DataFrame({"lang_pred": np.array(m.classes, object)[s.argmax(axis=1)], "score": np.clip(s.max(axis=1), 0, 1), "likeness": like})
 
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    scored = kept.withColumn("_s", of(F.when(lettered, F.col(text_col)).otherwise(F.lit(""))))
+    said = free_name(kept, "said")
+    scored = kept.withColumn(said, of(F.when(lettered, F.col(text_col)).otherwise(F.lit(""))))
     und = {"lang_pred": F.lit(UND), "score": F.lit(0.0), "likeness": F.lit(0.0)}
-    return scored.withColumns({c: F.when(lettered, F.col(f"_s.{c}")).otherwise(v) for c, v in und.items()}).drop("_s")
+    return scored.withColumns({c: F.when(lettered, F.col(said)[c]).otherwise(v) for c, v in und.items()}).drop(said)
 
 
 def fold_of(id_col: str, folds: int) -> Column:

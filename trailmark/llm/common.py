@@ -57,7 +57,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row and bound to a lambda variable."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -9,8 +9,11 @@ of the moved slots move.
 The slot table has ``slots`` rows whatever the input, so it may be gathered into
 one row for dealing and broadcast for the lookup.
 
+Copies of a text hash by their own ids, so a text with a third of all rows spreads over all slots and the bytes of shards
+stay even; slots hold records and not groups of equal texts.
+
 Defined cases: a null text has size 1 and a null CRC; a null id hashes by its text
-alone; repeated rows are placed one by one; an empty table gives an empty
+alone; repeated rows are placed one by one (rows alike in id and text share a slot); an empty table gives an empty
 assignment of every slot; the input's columns stay, and the added ones
 (``vslot, size, text_crc32, shard, slot``) replace any of the same name.
 """
@@ -20,14 +23,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailmark.llm.common import new_path
+from trailmark.llm.common import free_name, new_path
 
 SLOTS = 4096
 
 
 def slot_of(id_col: str, text_col: str, slots: int = SLOTS) -> Column:
-    """The virtual slot of a record; the text's hash splits repeated and null ids."""
-    return F.pmod(F.xxhash64(F.col(id_col), F.crc32(F.col(text_col))), F.lit(slots)).cast("int")
+    """The virtual slot of a record, by a hash that other engines have too; the text's CRC splits repeated and null ids."""
+    digest = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.crc32(F.col(text_col)).cast("string")))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % slots).cast("int")
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, slots: int = SLOTS) -> DataFrame:
@@ -94,9 +98,9 @@ def place(records: DataFrame, slot_map: DataFrame, order_by: list[str]) -> DataF
     A position is the count of the shard's earlier virtual slots plus the
     position within the virtual slot, so no window ever spans a shard.
     """
-    before = F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1))
-    starts = slot_map.select("vslot", "shard", F.coalesce(before, F.lit(0)).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("vslot").orderBy(*order_by))
     kept = records.select(*[c for c in records.columns if c not in ("shard", "slot")])
-    numbered = kept.withColumn("_inside", inside)
-    return numbered.join(F.broadcast(starts), "vslot").withColumn("slot", F.col("_start") + F.col("_inside") - 1).drop("_start", "_inside")
+    start, inside = free_name(kept, "start"), free_name(kept, "inside")
+    before = F.sum("rows").over(Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1))
+    starts = slot_map.select("vslot", "shard", F.coalesce(before, F.lit(0)).alias(start))
+    numbered = kept.withColumn(inside, F.row_number().over(Window.partitionBy("vslot").orderBy(*order_by)))
+    return numbered.join(F.broadcast(starts), "vslot").withColumn("slot", F.col(start) + F.col(inside) - 1).drop(start, inside)

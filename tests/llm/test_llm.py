@@ -208,11 +208,31 @@ def test_slots_are_gapless_and_shards_even(spark):
     assert all(text[r.doc_id] is None or zlib.crc32(text[r.doc_id].encode()) == r.text_crc32 for r in got.itertuples())
 
 
-def test_growing_moves_slots_into_the_new_shard_only(spark):
+def test_growing_moves_slots_into_the_new_shard_only(spark, tmp_path):
+    """Version 2 is stored beside version 1 and read back; records of slots that stay don't move."""
     records = sharding.sized(table(spark, SMALL, "documents"), "doc_id", "text")
-    first = sharding.store_map(sharding.deal(sharding.slot_bytes(records), 4))
-    moved = first.join(sharding.grow(first, 4).select("vslot", F.col("shard").alias("to")), "vslot").where("shard <> to")
-    assert {r["to"] for r in moved.select("to").distinct().collect()} == {4}
+    path = f"{tmp_path}/map"
+    first = sharding.store_map(sharding.deal(sharding.slot_bytes(records), 4), path)
+    both = sharding.store_map(sharding.grow(first, 4), path)
+    assert {(r["version"], r["n"]) for r in both.groupBy("version").agg(F.count(F.lit(1)).alias("n")).collect()} == {(1, 4096), (2, 4096)}
+    old, new = (sharding.place(records, both.where(f"version = {v}").select("vslot", "shard", "rows"), ["doc_id", "text_crc32", "size"]).toPandas() for v in (1, 2))
+    met = old.merge(new, on=["doc_id", "text_crc32"], suffixes=("", "_new"))
+    assert (met["shard_new"][met["shard"] != met["shard_new"]] == 4).all() and (met["shard"] != met["shard_new"]).any()
+    for _, one in new.groupby("shard"):
+        assert sorted(one["slot"]) == list(range(len(one)))
+    loads = new.groupby("shard")["size"].sum()
+    assert len(loads) == 5 and loads[4] >= 0.1 * loads.sum()
+
+
+def test_sharding_of_empty_and_odd_tables(spark):
+    """Clashing columns stay; null ids and texts, repeated rows and an empty table."""
+    clash = odd(spark).withColumns({"start": F.lit("s"), "inside": F.lit("i"), "shard": F.lit(99)})
+    for docs, n in ((clash, len(ODD)), (clash.limit(0), 0)):
+        records = sharding.sized(docs, "doc_id", "text")
+        placed = sharding.place(records, sharding.deal(sharding.slot_bytes(records), 3).select("vslot", "shard", "rows"), ["doc_id", "size"])
+        rows = placed.collect()
+        assert len(rows) == n and all((r["start"], r["inside"]) == ("s", "i") and r["shard"] < 3 for r in rows)
+        assert Counter((r["shard"], r["slot"]) for r in rows) == Counter((s, k) for s in range(3) for k in range(sum(r["shard"] == s for r in rows)))
 
 
 def test_chat_round_trip(spark):
@@ -374,3 +394,58 @@ def test_a_label_named_other_shares_the_target_of_the_rest(spark):
     mixed = mixing.mix(docs, "doc_id", "text", {"_lang": mixing.Marginal({"en": 0.6, "other": 0.4})}, 0.5, queries.TOPICS)
     got = {r["lang"]: (round(r["w"], 9), round(r["p"], 9)) for r in mixed.collect()}
     assert got == {"en": (0.6, 0.5), "other": (0.3, 0.5), "xx": (0.1, 0.5)}
+
+
+def raked(spark, rows, marginals, **kw):
+    cells = spark.createDataFrame(rows, "p string, q string, n double")
+    return {(r["p"], r["q"]): (r["w"], r["residual"]) for r in mixing.rake(cells, marginals, **kw).collect()}
+
+
+@pytest.mark.parametrize("one_task", [mixing.ONE_TASK_CELLS, 0])
+def test_raking_meets_its_marginals(spark, one_task):
+    """As one array and as a loop over tables; against plain loops."""
+    dice = np.random.default_rng(2)
+    n = {(p, q): float(dice.integers(1, 100)) for p in "abc" for q in "xyzu"} | {("d", "x"): 0.0}
+    shares = {"p": {"a": 0.5, "b": 0.2, "c": 0.3}, "q": {"x": 0.4, "y": 0.1, "z": 0.2, "other": 0.3}}
+    got = raked(spark, [(*k, v) for k, v in n.items()], {k: mixing.Marginal(v) for k, v in shares.items()}, one_task=one_task)
+    w = {k: v for k, v in n.items() if v}
+    for _ in range(40):
+        for at, label in enumerate("pq"):
+            for c in {k[at] for k in w}:
+                own = [k for k in w if k[at] == c]
+                total = sum(w[k] for k in own)
+                for k in own:
+                    w[k] *= shares[label].get(c, 0.3) / total
+    assert {k: v for k, (v, _) in got.items()} == pytest.approx(w, abs=1e-7)
+    assert max(r for _, r in got.values()) <= 1e-9
+    for at, label in enumerate("pq"):
+        for c in {k[at] for k in w}:
+            assert sum(v for k, (v, _) in got.items() if k[at] == c) == pytest.approx(shares[label].get(c, 0.3), abs=1e-8)
+
+
+@pytest.mark.parametrize("one_task", [mixing.ONE_TASK_CELLS, 0])
+def test_targets_that_no_weights_meet_show_in_the_residual(spark, one_task):
+    contrary = {"p": mixing.Marginal({"a": 0.9, "b": 0.1}), "q": mixing.Marginal({"x": 0.2, "y": 0.8})}
+    got = raked(spark, [("a", "x", 5.0), ("b", "y", 5.0)], contrary, one_task=one_task, sweeps=4)
+    assert got == {("a", "x"): (pytest.approx(0.2), pytest.approx(0.7)), ("b", "y"): (pytest.approx(0.8), pytest.approx(0.7))}
+
+
+def test_calibration_keeps_the_budget(spark):
+    """Against bisection, with cells that must be kept whole."""
+    rows = [(i, float(n), w) for i, (n, w) in enumerate([(100, 0.5), (1000, 0.2), (10, 0.2), (5000, 0.1), (50, 0.0)])]
+    cells = spark.createDataFrame(rows, "c long, n double, w double")
+    for keep in (0.01, 0.3, 0.9, 1.0):
+        got = {r["c"]: r["p"] for r in mixing.calibrate(cells, keep).collect()}
+        low, high = 0.0, 1e9
+        for _ in range(200):
+            f = (low + high) / 2
+            low, high = (f, high) if sum(n * min(1.0, f * w / n) for _, n, w in rows) < keep * 6160 else (low, f)
+        assert got == pytest.approx({c: min(1.0, high * w / n) for c, n, w in rows}, abs=1e-6)
+
+
+def test_mixing_odd_rows(spark):
+    """Null labels and ids, texts without tokens, clashing columns and an empty table."""
+    docs = odd(spark).withColumns({"p": F.lit("x"), "residual": F.lit("y"), "n_tokens": F.lit("z")})
+    rows = mixing.mix(docs, "doc_id", "text", queries.MARGINALS, 1.0, queries.TOPICS).collect()
+    assert len(rows) == len(ODD) and all(0 <= r["p"] <= 1 and isinstance(r["kept"], bool) and isinstance(r["n_tokens"], int) for r in rows)
+    assert mixing.mix(docs.limit(0), "doc_id", "text", queries.MARGINALS, 1.0, queries.TOPICS).count() == 0

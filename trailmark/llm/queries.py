@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm import chat, embeddings, language, licenses, mixing, ngrams, sharding, simhash, sql, warc, winnow
-from trailmark.llm.common import table
+from trailmark.llm.common import table, written
 
 # --- op1 -------------------------------------------------------------------
 
@@ -141,9 +141,12 @@ SALT = "mix-1"
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its cell's raked weight, its sampling probability and the draw."""
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), "doc_id", "text", MARGINALS, KEEP, TOPICS, sweeps=SWEEPS, salt=SALT)
+    docs = mixing.labelled(table(spark, sf_dir, "documents"), "text", TOPICS, "prose")
+    # texts are read once; what is left of them is small
+    features = written(docs.select("doc_id", *mixing.LABELS, mixing.n_tokens(F.col("text")).alias("n_tokens")), "features")
+    mixed = mixing.draw(features, mixing.chances(features, MARGINALS, KEEP, SWEEPS), "doc_id", SALT)
     return mixed.select(
-        "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), "n_tokens", F.round("w", 6).alias("weight"), F.round("p", 6).alias("probability"), "kept"
+        "doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), "n_tokens", F.round("w", 6).alias("weight"), F.round("p", 6).alias("probability"), "kept", F.round("residual", 6).alias("residual")
     )
 
 
@@ -213,6 +216,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc_revisits": sql.op1(CRAWL_START, RECRAWL_AFTER),
         "op3_winnowing_decontamination": sql.op3(),
         "op4_chat_formatting": sql.op4(),
+        "op5_virtual_slots": sql.op5(SHARDS, sharding.SLOTS),
         "op6_source_mixing": sql.op6(MARGINALS, KEEP, TOPICS, "prose", SWEEPS, SALT),
         "op8_licence_scan": sql.op8(),
     }

@@ -117,6 +117,46 @@ from g
 """
 
 
+def crc32_sql(octets: str) -> str:
+    """CRC-32 of a list of octets, four bits at a time; the table follows from the polynomial."""
+    rest = list(range(16))
+    for _ in range(4):
+        rest = [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in rest]
+    held = "[" + ", ".join(f"{c}::bigint" for c in rest) + "]"
+
+    def step(c: str, x: str) -> str:
+        return f"xor({c} >> 4, {held}[(xor({c}, {x}) & 15) + 1])"
+
+    return f"xor(list_reduce({octets}, lambda a, x: {step(step('a', 'x'), '(x >> 4)')}, 4294967295::bigint), 4294967295::bigint)"
+
+
+def op5(shards: int, slots: int) -> str:
+    """Slots largest first, each to the least loaded shard: a recursion with one step a slot."""
+    crc = crc32_sql("list_transform(regexp_extract_all(hex(text), '..'), lambda h: ('0x' || h)::bigint)")
+    return f"""
+with recursive c as materialized (
+  select doc_id, coalesce(strlen(text), 0)::bigint + 1 as size, {crc} as crc from documents
+), d as materialized (
+  select *, (('0x' || substr(md5(concat_ws(':', doc_id::varchar, crc::varchar)), 1, 8))::bigint % {slots})::int as vslot from c
+), s as materialized (
+  select v::int as vslot, coalesce(sum(size), 0)::bigint as bytes, count(size) as n, row_number() over (order by coalesce(sum(size), 0) desc, v) as k
+  from range({slots}) t(v) left join d on d.vslot = t.v group by v
+), g as (
+  select 0::bigint as k, 0 as at, list_transform(range({shards}), lambda i: 0::bigint) as loads
+  union all
+  select s.k, list_position(g.loads, list_min(g.loads))::int - 1,
+         list_transform(g.loads, lambda v, i: case when i = list_position(g.loads, list_min(g.loads)) then v + s.bytes else v end)
+  from g join s on s.k = g.k + 1
+), m as (
+  select s.vslot, g.at as shard, coalesce(sum(s.n) over (partition by g.at order by s.vslot rows between unbounded preceding and 1 preceding), 0) as start
+  from g join s using (k)
+)
+select doc_id, size, crc as text_crc32, 'bytes' as law, shard,
+       (start + row_number() over (partition by vslot order by doc_id nulls first, crc nulls first, size) - 1)::bigint as slot, null::int as grown_shard, vslot
+from d join m using (vslot)
+"""
+
+
 def op6(marginals: dict[str, mixing.Marginal], keep: float, rules, default: str, sweeps: int, salt: str) -> str:
     topic = " ".join(f"when regexp_matches(text, {quoted(p)}) then {quoted(n)}" for n, p in rules)
     out = [
@@ -131,7 +171,7 @@ def op6(marginals: dict[str, mixing.Marginal], keep: float, rules, default: str,
             raw = f"pow(m, {m.power!r})"
         else:
             case = " ".join(f"when {quoted(k)} then {v!r}::double" for k, v in m.shares.items() if k != "other")
-            names = ", ".join(quoted(k) for k in m.shares)
+            names = ", ".join(quoted(k) for k in m.shares if k != "other")
             other = float(m.shares.get("other", 0.0))
             raw = f"coalesce(case when {label} in ({names}) then case {label} {case} end else {other!r} * m / sum(case when {label} not in ({names}) then m end) over () end, 0.0)"
         out.append(f"t{label} as (select {label}, raw / sum(raw) over () as t from (select {label}, {raw} as raw from (select {label}, sum(n) as m from c0 group by {label})))")
@@ -142,15 +182,16 @@ def op6(marginals: dict[str, mixing.Marginal], keep: float, rules, default: str,
             out.append(f"w{k + 1} as materialized (select _source, _lang, _topic, n, case when s > 0 then w * t / s else 0.0 end as w from (select w{k}.*, sum(w) over (partition by {label}) as s from w{k}) x join t{label} using ({label}))")
             k += 1
     out += [
+        "gap as (select max(abs(s - t)) as residual from (" + " union all ".join(f"select sum(w) as s, any_value(t) as t from w{k} join t{label} using ({label}) group by {label}" for label in marginals) + "))",
         f"r as (select *, w / n as r from w{k})",
         f"f as (select *, ({keep!r} * sum(n) over () - coalesce(sum(n) over q, 0)) / nullif(case when sum(w) over () - coalesce(sum(w) over q, 0) > 1e-15 then sum(w) over () - coalesce(sum(w) over q, 0) else 0 end, 0) as f from r window q as (order by r desc, _lang, _source, _topic rows between unbounded preceding and 1 preceding))",
         "g as (select arg_min(f, -r) filter (where f * r <= 1.0) as factor from f)",
         "ch as (select _source, _lang, _topic, w, case when factor is null then case when w > 0 then 1.0 else 0.0 end else least(1.0, greatest(0.0, factor * r)) end as p from f, g)",
     ]
-    draw = f"(('0x' || substr(md5(concat_ws(':', doc_id::varchar, {quoted(salt)})), 1, 12))::bigint::double / {float(16**12)!r})"
+    draw = f"(('0x' || substr(md5(concat_ws(':', coalesce(doc_id::varchar, ''), {quoted(salt)})), 1, 12))::bigint::double / {float(16**12)!r})"
     return (
         "with " + ",\n".join(out) + f"\nselect doc_id, _source as source, _lang as lang, _topic as topic, n_tokens, "
-        f"round(coalesce(w, 0.0), 6) as weight, round(coalesce(p, 0.0), 6) as probability, {draw} < coalesce(p, 0.0) as kept "
+        f"round(coalesce(w, 0.0), 6) as weight, round(coalesce(p, 0.0), 6) as probability, {draw} < coalesce(p, 0.0) as kept, case when w is not null then round((select residual from gap), 6) end as residual "
         "from d left join ch using (_source, _lang, _topic)"
     )
 

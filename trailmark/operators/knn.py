@@ -1,64 +1,155 @@
-"""Exact k-nearest-neighbour joins in blocks.
+"""Exact nearest-neighbour joins in blocks.
 
-Queries and base rows are cut into blocks by hash; each task multiplies one pair of blocks and
-returns the best ``k`` of each query there; a window over ``k`` rows a block settles the rest.  Memory
-is two blocks whatever the tables' size.
+Queries and base rows are cut into blocks by hash; each task compares one pair of blocks, a strip of queries at a
+time, so that its memory is two blocks and one strip whatever the tables' size.  Tasks return the best ``k`` of each query, the pairs
+above a floor, or sums over the pairs; a window over ``k`` rows a block settles the first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+STRIP = 1 << 21  # pairs that are compared at once
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-8)
+
 
 def _scores(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """The cosine, or minus the Euclidean (``l2``) or the absolute (``l1``) distance; of rows that are unit vectors already for the cosine."""
     if metric == "cosine":
-        q = q / np.maximum(np.sqrt((q * q).sum(axis=1, keepdims=True)), 1e-8)
-        b = b / np.maximum(np.sqrt((b * b).sum(axis=1, keepdims=True)), 1e-8)
         return q @ b.T
+    if metric == "l1":
+        out = np.zeros((len(q), len(b)))
+        for x, y in zip(q.T, b.T, strict=True):
+            out -= np.abs(x[:, None] - y[None, :])
+        return out
     squares = (q * q).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * q @ b.T
     return -np.sqrt(np.maximum(squares, 0))
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", gap: int | None = None, past_only: bool = False, exclusive: bool = False, query_block: int = 2048, base_block: int = 16384) -> DataFrame:
-    """The best ``k`` base rows of each query: ``seq_id, q, c, score, rank`` (from 1; ties by the smaller ``c``).
+class Strip:
+    """Some queries against a block of base rows: ``score`` (minus infinity where the two mustn't meet), rounded to 9 places."""
+
+    def __init__(self, i: np.ndarray, j: np.ndarray, score: np.ndarray, left: dict[str, np.ndarray], right: dict[str, np.ndarray]):
+        self.i, self.j, self.score, self.left, self.right = i, j, score, left, right
+
+    def distance(self) -> np.ndarray:
+        """Euclidean distance of the positions ``x, y, z``."""
+        return np.sqrt(sum((self.left[c][:, None] - self.right[c][None, :]) ** 2 for c in "xyz"))
+
+
+def blocked(
+    queries: DataFrame, base: DataFrame, work: Callable[[Strip], pd.DataFrame], schema: str, metric: str = "cosine", gap: int | None = None, past_only: bool = False, exclusive: bool = False, extra: tuple[str, ...] = (), query_block: int = 2048, base_block: int = 16384
+) -> DataFrame:
+    """``seq_id`` and what ``work`` makes of each strip; both tables have ``seq_id, idx, v`` and the ``extra`` columns.
 
-    Both tables have ``seq_id, idx, v``; only rows of one sequence meet.  ``gap`` drops rows fewer than
-    ``gap`` apart (``exclusive``: up to ``gap`` apart); without it only the row itself is dropped.  ``past_only`` keeps
-    earlier rows.  ``score`` is the cosine, or minus the Euclidean distance.  Scores are compared after rounding to 9 places.
+    Only rows of one sequence meet.  ``gap`` drops rows fewer than ``gap`` apart (``exclusive``: up to ``gap`` apart);
+    without it only the row itself is dropped.  ``past_only`` keeps earlier rows.
     """
     sizes = queries.groupBy("seq_id").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("nq"))
     bases = base.groupBy("seq_id").agg(F.ceil(F.count(F.lit(1)) / base_block).cast("int").alias("nb"))
     both = sizes.join(bases, "seq_id")  # a row a sequence
-    q = queries.select("seq_id", "idx", "v").join(both, "seq_id").withColumn("qb", F.pmod(F.xxhash64("idx"), F.col("nq")).cast("int"))
-    b = base.select("seq_id", "idx", "v").join(both, "seq_id").withColumn("bb", F.pmod(F.xxhash64("idx"), F.col("nb")).cast("int"))
+    q = queries.select("seq_id", "idx", "v", *extra).join(both, "seq_id").withColumn("qb", F.pmod(F.xxhash64("idx"), F.col("nq")).cast("int"))
+    b = base.select("seq_id", "idx", "v", *extra).join(both, "seq_id").withColumn("bb", F.pmod(F.xxhash64("idx"), F.col("nb")).cast("int"))
     # both sides get names of their own, since the tables may be one and the same
-    q = q.select(F.col("seq_id").alias("qs"), F.col("qb").alias("q1"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("q2"), F.col("idx").alias("qi"), F.col("v").alias("qv"))
-    b = b.select(F.col("seq_id").alias("bs"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("b1"), F.col("bb").alias("b2"), F.col("idx").alias("bi"), F.col("v").alias("bv"))
+    q = q.select(F.col("seq_id").alias("qs"), F.col("qb").alias("q1"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("q2"), F.col("idx").alias("qi"), F.col("v").alias("qv"), *[F.col(c).alias(f"q_{c}") for c in extra])
+    b = b.select(F.col("seq_id").alias("bs"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("b1"), F.col("bb").alias("b2"), F.col("idx").alias("bi"), F.col("v").alias("bv"), *[F.col(c).alias(f"b_{c}") for c in extra])
+    kind = queries.schema["seq_id"].dataType.simpleString()
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"seq_id": [], "q": [], "c": [], "score": []}).astype({"seq_id": "int64", "q": "int64", "c": "int64", "score": "float64"})
+    def strips(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[pd.DataFrame]:
         right = right.sort_values("bi")
-        i, j = left["qi"].to_numpy(), right["bi"].to_numpy()
-        s = np.round(_scores(np.stack(left["qv"]), np.stack(right["bv"]), metric), 9)
-        apart = i[:, None] - j[None, :]
-        away = apart if past_only else np.abs(apart)
-        limit = 1 if gap is None else gap
-        s[away <= limit if exclusive else away < limit] = -np.inf
-        order = np.argsort(-s, axis=1, kind="stable")[:, :k]
-        rows = np.repeat(np.arange(len(i)), order.shape[1])
-        cols = order.ravel()
-        good = np.isfinite(s[rows, cols])
-        return pd.DataFrame({"seq_id": left["qs"].iloc[0], "q": i[rows[good]], "c": j[cols[good]], "score": s[rows[good], cols[good]]})
-
-    found = q.groupBy("qs", "q1", "q2").cogroup(b.groupBy("bs", "b1", "b2")).applyInPandas(best, "seq_id long, q long, c long, score double")
+        i, j, p, r = left["qi"].to_numpy(), right["bi"].to_numpy(), np.stack(left["qv"]), np.stack(right["bv"])
+        if metric == "cosine":
+            p, r = _unit(p), _unit(r)
+        mine, theirs = ({c: t[f"{side}_{c}"].to_numpy() for c in extra} for side, t in (("q", left), ("b", right)))
+        step, limit = max(1, STRIP // len(j)), 1 if gap is None else gap
+        for s in range(0, len(i), step):
+            score = np.round(_scores(p[s : s + step], r, metric), 9)
+            apart = i[s : s + step, None] - j[None, :]
+            away = apart if past_only else np.abs(apart)
+            score[away <= limit if exclusive else away < limit] = -np.inf
+            yield work(Strip(i[s : s + step], j, score, {c: x[s : s + step] for c, x in mine.items()}, theirs))
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"seq_id": [], **{n: [] for n in names}})
+        made = pd.concat(list(strips(left, right)))
+        made.insert(0, "seq_id", left["qs"].iloc[0])
+        return made
+
+    return q.groupBy("qs", "q1", "q2").cogroup(b.groupBy("bs", "b1", "b2")).applyInPandas(run, f"seq_id {kind}, {schema}")
+
+
+PAIR = "q long, c long, score double"
+
+
+def _pairs(s: Strip, rows: np.ndarray, cols: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"q": s.i[rows], "c": s.j[cols], "score": s.score[rows, cols]})
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", gap: int | None = None, past_only: bool = False, exclusive: bool = False, at_least: float | None = None, query_block: int = 2048, base_block: int = 16384) -> DataFrame:
+    """The best ``k`` base rows of each query: ``seq_id, q, c, score, rank`` (from 1; ties by the smaller ``c``).
+
+    ``at_least`` keeps base rows whose positions ``x, y, z`` are so far away or farther.
+    """
+
+    def best(s: Strip) -> pd.DataFrame:
+        if at_least is not None:
+            s.score[s.distance() < at_least] = -np.inf
+        cut = min(k, len(s.j)) - 1
+        bound = -np.partition(-s.score, cut, axis=1)[:, cut : cut + 1]
+        rows, cols = np.nonzero((s.score >= bound) & np.isfinite(s.score))
+        order = np.lexsort((s.j[cols], -s.score[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        first = np.searchsorted(rows, rows)  # where the query's run begins
+        kept = np.arange(len(rows)) - first < k
+        return _pairs(s, rows[kept], cols[kept])
+
+    found = blocked(queries, base, best, PAIR, metric, gap, past_only, exclusive, () if at_least is None else ("x", "y", "z"), query_block, base_block)
     rank = F.row_number().over(Window.partitionBy("seq_id", "q").orderBy(F.desc("score"), "c"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def above(queries: DataFrame, base: DataFrame, floor: float, metric: str = "cosine", gap: int | None = None, past_only: bool = False) -> DataFrame:
+    """All pairs with a score of ``floor`` or more: ``seq_id, q, c, score``."""
+    return blocked(queries, base, lambda s: _pairs(s, *np.nonzero(s.score >= floor)), PAIR, metric, gap, past_only)
+
+
+def level_counts(nodes: DataFrame, levels: list[float], radius: float, gap: int | None = None, past_only: bool = False) -> DataFrame:
+    """Per level how many pairs score as much or more, and how many of those lie within ``radius``: ``threshold, n, good``.
+
+    Nodes have positions; pairs are counted and never listed.
+    """
+
+    def count(s: Strip) -> pd.DataFrame:
+        near = s.distance() < radius
+        seen = [s.score >= level for level in levels]
+        return pd.DataFrame({"threshold": levels, "n": [int(x.sum()) for x in seen], "good": [int((x & near).sum()) for x in seen]})
+
+    made = blocked(nodes, nodes, count, "threshold double, n long, good long", "cosine", gap, past_only, extra=("x", "y", "z"))
+    return made.groupBy("threshold").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+
+
+def distance_summary(nodes: DataFrame, metric: str, gap: int | None = None, past_only: bool = False) -> DataFrame:
+    """A-14: per query the number, least, largest and mean distance to all rows that it may meet: ``seq_id, q, n, least, most, mean``."""
+
+    def facts(s: Strip) -> pd.DataFrame:
+        d, met = -s.score, np.isfinite(s.score)
+        inside = np.where(met, d, 0.0)
+        return pd.DataFrame({"q": s.i, "n": met.sum(axis=1), "least": np.where(met, d, np.inf).min(axis=1), "most": np.where(met, d, -np.inf).max(axis=1), "total": inside.sum(axis=1)})
+
+    made = blocked(nodes, nodes, facts, "q long, n long, least double, most double, total double", metric, gap, past_only).where("n > 0")
+    return made.groupBy("seq_id", "q").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), (F.sum("total") / F.sum("n")).alias("mean"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

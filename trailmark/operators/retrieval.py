@@ -73,6 +73,14 @@ def wasserstein(p: Column, q: Column) -> Column:
     return F.aggregate(F.zip_with(share(p), share(q), lambda a, b: a - b), start, step, lambda acc: acc["t"])
 
 
+def running_shares(histogram: Column) -> Column:
+    """W-11: running sums of a histogram over its sum; the absolute distance of two such arrays is R-01."""
+    total = F.aggregate(histogram, F.lit(0.0), lambda a, x: a + x)
+    shares = F.element_at(F.transform(F.array(total), lambda t: F.transform(histogram, lambda x: F.when(t > 0, x / t).otherwise(0.0))), 1)
+    start = F.struct(F.lit(0.0).alias("d"), F.expr("cast(array() as array<double>)").alias("out"))
+    return F.aggregate(shares, start, lambda acc, x: F.struct((acc["d"] + x).alias("d"), F.array_append(acc["out"], acc["d"] + x).alias("out")), lambda acc: acc["out"])
+
+
 def rotation_hamming(a: Column, b: Column, bits: int, most: int) -> Column:
     """R-12: least number of differing bits over cyclic shifts of up to ``most`` either way, for ``bits`` bits in a long."""
     mask = (1 << bits) - 1

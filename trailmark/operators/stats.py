@@ -104,14 +104,19 @@ def entropy_prior(rows: DataFrame, signal: str, base: float = 0.01, beta: float
 
 
 def sample_pairs(nodes: DataFrame, n_pairs: int) -> DataFrame:
-    """J-13: fixed pairs of places ``0..n-1``: ``k, i, j``; pairs of a place with itself are dropped.
+    """J-13: fixed pairs of rows of one sequence, with replacement: ``k, i, j``; pairs of a row with itself are dropped.
 
-    The places come from the pair's number alone, so that any engine draws the same pairs.
+    Sequences take turns; the places come from the pair's number alone, so that any engine draws the same pairs.  Rows of a
+    sequence are numbered without gaps.
     """
-    n = nodes.agg(F.count(F.lit(1))).scalar()
+    sizes = nodes.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"))
+    every = sizes.agg(F.count(F.lit(1))).scalar()
+    # a row a sequence
+    placed = sizes.withColumn("place", F.row_number().over(Window.orderBy("seq_id")).cast("long") - 1)
     k = F.col("id")
-    made = nodes.sparkSession.range(n_pairs).withColumn("n", n)
-    return made.select(k.alias("k"), ((k * 7919 + 13) % F.col("n")).alias("i"), ((k * 104729 + F.floor(k / 97) * 31 + 7) % F.col("n")).alias("j")).where("i <> j")
+    made = nodes.sparkSession.range(n_pairs).withColumn("place", F.col("id") % every).join(placed, "place")
+    n, first = F.col("n"), F.col("first")
+    return made.select(k.alias("k"), (first + (k * 7919 + 13) % n).alias("i"), (first + (k * 104729 + F.floor(k / 97) * 31 + 7) % n).alias("j")).where("i <> j")
 
 
 def with_ends(pairs: DataFrame, nodes: DataFrame, *cols: str) -> DataFrame:
@@ -182,15 +187,19 @@ def sweep(scored: DataFrame, truths: DataFrame, thresholds: list[float]) -> Data
     grid = F.array(*[F.lit(t) for t in levels])
     step = F.size(F.filter(grid, lambda t: F.col("score") >= t))
     counts = scored.select(step.alias("step"), F.col("hit")).groupBy("step").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("hit"), 1)).alias("good"))
-    total = truths.agg(F.count(F.lit(1))).scalar()
     reached = counts.select(F.explode(F.slice(grid, F.lit(1), F.col("step"))).alias("threshold"), "n", "good")
     every = scored.sparkSession.range(1).select(F.explode(grid).alias("threshold"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("good"))
-    summed = reached.unionByName(every).groupBy("threshold").agg(F.sum("n").alias("n_edges"), F.sum("good").alias("n_true")).withColumn("total", total)
+    return rated(reached.unionByName(every).groupBy("threshold").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), truths)
+
+
+def rated(counts: DataFrame, truths: DataFrame) -> DataFrame:
+    """A-21: precision, recall and F1 of ``threshold, n, good`` against the number of ``truths``."""
+    total = truths.agg(F.count(F.lit(1))).scalar()
+    summed = counts.select("threshold", F.col("n").alias("n_edges"), F.col("good").alias("n_true")).withColumn("total", total)
     p = F.when(F.col("n_edges") > 0, F.col("n_true") / F.col("n_edges")).otherwise(0.0)
     r = F.when(F.col("total") > 0, F.col("n_true") / F.col("total")).otherwise(0.0)
-    rated = summed.withColumns({"precision": p, "recall": r})
     both = F.col("precision") + F.col("recall")
-    return rated.withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0)).drop("total")
+    return summed.withColumns({"precision": p, "recall": r}).withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0)).drop("total")
 
 
 def bootstrap_interval(values: DataFrame, value: str, order: str, resamples: int = 10_000, level: float = 0.95) -> DataFrame:

@@ -85,10 +85,36 @@ def near_pairs(a: DataFrame, b: DataFrame, radius: float, dims: tuple[str, ...]
     return met.where(F.col("d") <= radius if closed else F.col("d") < radius).select("seq_id", "i", "j", "d")
 
 
-def revisit_queries(poses: DataFrame, radius: float = 5.0, skip: int = 30) -> DataFrame:
-    """J-02: poses that come within ``radius`` of one at least ``skip`` rows earlier, with the first such row."""
-    met = near_pairs(poses, poses, radius).where(F.col("j") <= F.col("i") - skip)
-    return met.groupBy("seq_id", "i").agg(F.min("j").alias("match"))
+def revisit_queries(poses: DataFrame, radius: float = 5.0, skip: int = 30, parts: int = 8) -> DataFrame:
+    """J-02: poses that come within ``radius`` of one at least ``skip`` rows earlier, with the first such row.
+
+    Poses are gathered by small cells (``parts`` to a radius).  Two cells whose boxes lie wholly within the radius
+    offer the least row of the one to all rows of the other at once; only pairs of cells that the radius cuts are
+    looked at pose by pose, and there only rows before the one on offer, so that laps over the same ground don't
+    multiply pairs.
+    """
+    cells = [F.floor(F.col(c) / (radius / parts)).cast("long").alias(f"c{c}") for c in "xyz"]
+    own = poses.select("seq_id", "idx", *"xyz", *cells)
+    keys = ["cx", "cy", "cz"]
+    boxes = own.groupBy("seq_id", *keys).agg(F.min("idx").alias("first"), *[f(c).alias(f"{n}{c}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    boxes = boxes.withColumns({f"b{c}": F.floor(F.col(f"c{c}") / parts) for c in "xyz"})
+    shifts = F.array(*[F.struct(*[F.lit(o).cast("long").alias(f"s{c}") for o, c in zip(offs, "xyz", strict=True)]) for offs in product((-1, 0, 1), repeat=3)])
+    around = boxes.withColumn("s", F.explode(shifts)).select("seq_id", *[(F.col(f"b{c}") + F.col(f"s.s{c}")).alias(f"b{c}") for c in "xyz"], *[F.col(k).alias(f"o_{k}") for k in (*keys, "first", "lox", "hix", "loy", "hiy", "loz", "hiz")])
+    met = boxes.join(around, ["seq_id", "bx", "by", "bz"])
+    least = F.sqrt(sum((F.greatest(F.col(f"lo{c}") - F.col(f"o_hi{c}"), F.col(f"o_lo{c}") - F.col(f"hi{c}"), F.lit(0.0)) ** 2 for c in "xyz"), F.lit(0.0)))
+    most = F.sqrt(sum((F.greatest(F.col(f"hi{c}") - F.col(f"o_lo{c}"), F.col(f"o_hi{c}") - F.col(f"lo{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+    met = met.withColumns({"least": least, "most": most}).where(F.col("least") < radius)
+    inside = F.col("most") < radius
+    offers = met.where(inside).groupBy("seq_id", *keys).agg(F.min("o_first").alias("offer"))
+    cut = met.where(~inside).join(offers, ["seq_id", *keys], "left").where(F.col("offer").isNull() | (F.col("o_first") < F.col("offer")))
+    i = own.select("seq_id", *keys, F.col("idx").alias("i"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    j = own.select("seq_id", *[F.col(k).alias(f"o_{k}") for k in keys], F.col("idx").alias("j"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
+    # the earlier side first: few of its rows come before an offer
+    early = cut.select("seq_id", *keys, *[f"o_{k}" for k in keys], "offer").join(j, ["seq_id", *[f"o_{k}" for k in keys]]).where(F.col("offer").isNull() | (F.col("j") < F.col("offer")))
+    d = F.sqrt(sum(((F.col(f"p{c}") - F.col(f"q{c}")) ** 2 for c in "xyz"), F.lit(0.0)))
+    exact = early.join(i, ["seq_id", *keys]).where((F.col("j") <= F.col("i") - skip) & (d < radius)).select("seq_id", "i", F.col("j").alias("match"))
+    offered = i.join(offers, ["seq_id", *keys]).where(F.col("offer") <= F.col("i") - skip).select("seq_id", "i", F.col("offer").alias("match"))
+    return exact.unionByName(offered).groupBy("seq_id", "i").agg(F.min("match").alias("match"))
 
 
 def positives(poses: DataFrame, radius: float = 5.0, gap: int = 30) -> DataFrame:
@@ -107,18 +133,24 @@ def negative_counts(poses: DataFrame, radius: float = 10.0, gap: int = 30) -> Da
     return poses.select("seq_id", "idx").join(size, "seq_id").join(near, ["seq_id", "idx"], "left").select("seq_id", "idx", (apart - F.coalesce("near", F.lit(0))).alias("negatives"))
 
 
-def nearest_in_time(left: DataFrame, right: DataFrame, key: str, ts: str, payload: str) -> DataFrame:
+def nearest_in_time(left: DataFrame, right: DataFrame, key: str, ts: str, payload: str, bucket: float = 3_600.0) -> DataFrame:
     """J-01: for each left row the right row nearest in time; of two as near, the later.  Adds ``match, match_ts``.
 
-    One sorted pass a key over both sides together; keys may be split by time buckets upstream.
+    Both sides meet in buckets of time, and the last and first right row of each bucket (a row a bucket) are carried
+    to the buckets after and before it, so that no window spans a key.
     """
     tagged = left.select(*left.columns, F.lit(None).cast(right.schema[payload].dataType).alias("_p"), F.lit(None).cast("double").alias("_t"), F.lit(1).alias("_left"))
     other = right.select(*[(F.col(c) if c in (key, ts) else F.lit(None)).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.col(payload).alias("_p"), F.col(ts).cast("double").alias("_t"), F.lit(0).alias("_left"))
-    both = tagged.unionAll(other)
+    both = tagged.unionAll(other).withColumn("_bucket", F.floor(F.col(ts) / bucket))
     seen = F.when(F.col("_left") == 0, F.struct("_t", "_p"))
-    back = Window.partitionBy(key).orderBy(F.col(ts), F.col("_left")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(key).orderBy(F.col(ts), F.col("_left").desc()).rowsBetween(0, Window.unboundedFollowing)
+    ends = both.groupBy(key, "_bucket").agg(F.min(seen).alias("first"), F.max(seen).alias("last"))
+    w = Window.partitionBy(key).orderBy("_bucket")
+    ends = ends.select(key, "_bucket", F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    inner = Window.partitionBy(key, "_bucket")
+    back = inner.orderBy(F.col(ts), F.col("_left"), "_p").rowsBetween(Window.unboundedPreceding, 0)
+    ahead = inner.orderBy(F.col(ts), F.col("_left").desc(), "_p").rowsBetween(0, Window.unboundedFollowing)
     found = both.withColumns({"_b": F.last(seen, True).over(back), "_a": F.first(seen, True).over(ahead)}).where("_left = 1")
+    found = found.join(ends, [key, "_bucket"], "left").withColumns({"_b": F.coalesce("_b", "_before"), "_a": F.coalesce("_a", "_after")})
     earlier = F.col("_b").isNotNull() & (F.col("_a").isNull() | (F.col(ts) - F.col("_b._t") < F.col("_a._t") - F.col(ts)))
     pick = F.when(earlier, F.col("_b")).otherwise(F.col("_a"))
     return found.withColumn("_m", pick).select(*left.columns, F.col("_m._p").alias("match"), F.col("_m._t").alias("match_ts"))
@@ -127,8 +159,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, key: str, ts: str, payloa
 def temporal_edges(nodes: DataFrame, half: int, mode: str = "both") -> DataFrame:
     """W-04: edges ``src -> dst`` to the ``half`` neighbours before and after; ``past`` or ``future`` sources only."""
     lows, highs = {"both": (-half, half), "past": (-half, -1), "future": (1, half)}[mode]
-    size = nodes.groupBy("seq_id").agg(F.max("idx").alias("last"))
+    size = nodes.groupBy("seq_id").agg(F.min("idx").alias("first"), F.max("idx").alias("last"))
     steps = F.filter(F.sequence(F.lit(lows), F.lit(highs)), lambda o: o != 0)
     made = nodes.select("seq_id", F.col("idx").alias("dst"), F.explode(steps).alias("o")).join(size, "seq_id")
     src = F.col("dst") + F.col("o")
-    return made.where((src >= 0) & (src <= F.col("last"))).select("seq_id", src.alias("src"), "dst")
+    return made.where((src >= F.col("first")) & (src <= F.col("last"))).select("seq_id", src.alias("src"), "dst")

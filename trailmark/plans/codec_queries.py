@@ -25,9 +25,9 @@ def quantize_u16(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("idx", F.col("bin").cast("long").alias("bin"), "q")
 
 
-@query(f"with {POSE_SQL} select seq_id, idx, round(x, 6) + 0.0 as x, round(y, 6) + 0.0 as y, round(cos(atan2(sin(yaw), cos(yaw)) / 2), 6) + 0.0 as qw, round(abs(sin(atan2(sin(yaw), cos(yaw)) / 2)), 6) as qz from v_pose where idx % 10 = 3")
+@query(f"with {POSE_SQL} select seq_id, idx, round(x, 6) + 0.0 as x, round(y, 6) + 0.0 as y, round(cos(atan2(sin(yaw), cos(yaw)) / 2), 6) + 0.0 as qw, round(abs(sin(atan2(sin(yaw), cos(yaw)) / 2)), 6) as qz from v_pose")
 def pose_7dof(spark: SparkSession, sf: str) -> DataFrame:
-    p = poses(spark, sf).where("idx % 10 = 3")
+    p = poses(spark, sf)
     made = p.select("seq_id", "idx", codec.seven(F.col("x"), F.col("y"), F.col("z"), F.col("yaw")).alias("s"))
     return made.select("seq_id", "idx", r6(F.get("s", F.lit(0))).alias("x"), r6(F.get("s", F.lit(1))).alias("y"), r6(F.get("s", F.lit(3))).alias("qw"), r6(F.abs(F.get("s", F.lit(6)))).alias("qz"))
 

@@ -1,4 +1,4 @@
-"""Queries of the graph operators over the posed descriptors of sequence 0."""
+"""Queries of the graph operators over the posed descriptors of all sequences."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trailmark.operators import graph, trajectory as tr
 from trailmark.plans.base import query, r6
 from trailmark.plans.retrieval_queries import COS, NEAR, D, _top_sql
-from trailmark.plans.views import posed
+from trailmark.plans.views import APART, posed
 
 HALF, MAX_K, MIN_K, THRESHOLD = 3, 6, 3, 0.3
 CHANNELS = [(0, 16), (16, 40), (40, 64)]
@@ -35,7 +35,7 @@ def _accept_sql(strict: str, name: str = "kept") -> str:
   from (select *, {strict} as strict from cand)) where (strict and r <= {MAX_K}) or (not strict and r <= {MIN_K} - least(ns, {MAX_K})))"""
 
 
-TEMPORAL_SQL = f"te as (select b.idx as src, a.idx as dst from v_posed a join v_posed b on b.idx - a.idx between -{HALF} and {HALF} and a.idx <> b.idx)"
+TEMPORAL_SQL = f"te as (select b.idx as src, a.idx as dst from v_posed a join v_posed b on a.seq_id = b.seq_id and b.idx - a.idx between -{HALF} and {HALF} and a.idx <> b.idx)"
 FETCH_SQL = f"{_top_sql(COS, max(MAX_K, 4 * MIN_K) + 2 * HALF, 'a.idx <> b.idx', 'fetched')}, cand as (select * from fetched where abs(q - c) > {HALF})"
 COSINE_SQL = f"{FETCH_SQL}, {_accept_sql(f'score >= {THRESHOLD}')}, se as (select q as src, c as dst, score from kept)"
 
@@ -92,7 +92,7 @@ def multiscale_consistency(spark: SparkSession, sf: str) -> DataFrame:
 
 
 POSE_EDGE_SQL = f"""pe as (select q as src, c as dst from (select a.idx as q, b.idx as c, row_number() over (partition by a.idx order by round({NEAR}, 9), b.idx) as r
-  from v_posed a join v_posed b on abs(a.idx - b.idx) >= 30 and {NEAR} <= 5.0) where r <= 4)"""
+  from v_posed a join v_posed b on a.seq_id = b.seq_id and abs(a.idx - b.idx) >= 30 and {NEAR} <= 5.0) where r <= 4)"""
 
 
 @query(f"{D}, {POSE_EDGE_SQL} select src, dst, round({COS_FULL}, 6) + 0.0 as cos, round({DIFF}, 6) as l2, 1.0::double as post from pe {ENDS}")
@@ -102,8 +102,8 @@ def pose_gt_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 PHASE_SQL = f"""ph as (select idx, generate_subscripts(v, 1) as j, unnest(list_transform(v, lambda x: sign(x) * ln(1 + abs(x)))) as x from v_posed),
 pz as (select idx, j, (x - avg(x) over w) / greatest(stddev_pop(x) over w, 1e-6) as x from ph window w as (partition by j)),
-pv as (select idx, list(x order by j) as v from pz group by idx),
-fetched as (select * from (select q, c, score, row_number() over (partition by q order by score desc, c) as rank from (select a.idx as q, b.idx as c, {COS} as score from pv a join pv b on a.idx <> b.idx)) where rank <= {5 * 8 + 30}),
+pv as materialized (select idx // {APART} as seq_id, idx, list(x order by j) as v from pz group by idx),
+fetched as (select * from (select q, c, score, row_number() over (partition by q order by score desc, c) as rank from (select a.idx as q, b.idx as c, {COS} as score from pv a join pv b on a.seq_id = b.seq_id and a.idx <> b.idx)) where rank <= {5 * 8 + 30}),
 fresh as (select *, row_number() over (partition by q order by rank) as place from fetched f where abs(q - c) > 30 and score >= 0.0 and not exists (select 1 from te where src = q and dst = c))"""
 
 
@@ -118,7 +118,7 @@ def _graph(nodes: DataFrame) -> DataFrame:
     return _temporal(nodes).unionByName(graph.cosine_edges(nodes, THRESHOLD, MAX_K, MIN_K, HALF))
 
 
-GRAPH_SQL = f"{TEMPORAL_SQL}, {COSINE_SQL}, ge as (select src, dst, 0 as etype, 0.0 as cos from te union all select src, dst, 1, score from se)"
+GRAPH_SQL = f"{TEMPORAL_SQL}, {COSINE_SQL}, ge as materialized (select src, dst, 0 as etype, 0.0 as cos from te union all select src, dst, 1, score from se)"
 
 
 @query(
@@ -135,18 +135,18 @@ def edge_labels(spark: SparkSession, sf: str) -> DataFrame:
 
 START = "idx % 200 = 7"
 HOP_SQL = f"""{GRAPH_SQL}, h0 as (select idx, 0 as hop from v_posed where {START}),
-h1 as (select distinct dst as idx, 1 as hop from h0 join ge on src = idx where dst not in (select idx from h0)),
-h01 as (select * from h0 union all select * from h1),
-hops as (select * from h01 union all select distinct dst, 2 from h1 join ge on src = idx where dst not in (select idx from h01))"""
+h1 as materialized (select distinct dst as idx, 1 as hop from h0 join ge on src = idx where dst not in (select idx from h0)),
+h01 as materialized (select * from h0 union all select * from h1),
+hops as materialized (select * from h01 union all select distinct dst, 2 from h1 join ge on src = idx where dst not in (select idx from h01))"""
 
 
-@query(f"{D}, {HOP_SQL.replace('ge as (', 'ge as materialized (')} select idx, hop::int as hop from hops")
+@query(f"{D}, {HOP_SQL} select idx, hop::int as hop from hops")
 def k_hop(spark: SparkSession, sf: str) -> DataFrame:
     nodes = _nodes(spark, sf)
     return graph.k_hop(_graph(nodes), nodes.where(START), 2).select("idx", "hop")
 
 
-@query(f"{D}, {HOP_SQL.replace('ge as (', 'ge as materialized (')}, m as (select idx, row_number() over (order by idx) - 1 as new from hops) select src, dst, etype::int as etype, s.new as src_new, d.new as dst_new from ge join m s on s.idx = src join m d on d.idx = dst")
+@query(f"{D}, {HOP_SQL}, m as materialized (select idx, row_number() over (partition by idx // {APART} order by idx) - 1 as new from hops) select src, dst, etype::int as etype, s.new as src_new, d.new as dst_new from ge join m s on s.idx = src join m d on d.idx = dst")
 def local_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     nodes = _nodes(spark, sf)
     edges = _graph(nodes)
@@ -154,7 +154,8 @@ def local_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     return graph.subgraph(edges, members).select("src", "dst", "etype", "src_new", "dst_new")
 
 
-@query(f"{D}, {GRAPH_SQL} select 0::bigint as seq_id, (select count(*) from v_posed) as nodes, count(*) filter (where etype = 0) as temporal, count(*) filter (where etype = 1) as similarity, round(count(*) / (select count(*) from v_posed), 6) as degree from ge")
+@query(f"""{D}, {GRAPH_SQL} select seq_id, nodes, temporal, similarity, round((temporal + similarity) / nodes, 6) as degree from (select seq_id, count(*) as nodes from v_posed group by seq_id)
+join (select src // {APART} as seq_id, count(*) filter (where etype = 0) as temporal, count(*) filter (where etype = 1) as similarity from ge group by 1) using (seq_id)""")
 def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
     nodes = _nodes(spark, sf)
     return graph.graph_statistics(nodes, _graph(nodes)).withColumn("degree", r6("degree"))

@@ -1,4 +1,4 @@
-"""Queries of retrieval, fusion and recall over the posed descriptors of sequence 0."""
+"""Queries of retrieval, fusion and recall over the posed descriptors of all sequences."""
 
 from __future__ import annotations
 
@@ -18,11 +18,11 @@ GAP, RADIUS = 30, 5.0
 
 def _top_sql(score: str, k: int, where: str, name: str = "top") -> str:
     return f"""{name} as (select * from (select q, c, score, row_number() over (partition by q order by score desc, c) as rank
-  from (select a.idx as q, b.idx as c, {score} as score from v_posed a join v_posed b on {where})) where rank <= {k})"""
+  from (select a.idx as q, b.idx as c, {score} as score from v_posed a join v_posed b on a.seq_id = b.seq_id and {where})) where rank <= {k})"""
 
 
 TOP_SQL = _top_sql(COS, 20, f"b.idx <= a.idx - {GAP}")
-QUERY_SQL = f"qs as (select a.idx as q, min(b.idx) as match from v_posed a join v_posed b on b.idx <= a.idx - {GAP} and {NEAR} < {RADIUS} group by a.idx)"
+QUERY_SQL = f"qs as (select a.idx as q, min(b.idx) as match from v_posed a join v_posed b on a.seq_id = b.seq_id and b.idx <= a.idx - {GAP} and {NEAR} < {RADIUS} group by a.idx)"
 HIT_SQL = f"hits as (select t.q, t.c, t.rank, {NEAR} < {RADIUS} as hit from top t join v_posed a on a.idx = t.q join v_posed b on b.idx = t.c)"
 
 
@@ -85,43 +85,39 @@ def true_match_rank(spark: SparkSession, sf: str) -> DataFrame:
     return rt.match_rank(_top(df), _queries(df)).withColumn("place", F.col("place").cast("long"))
 
 
-HIST_SQL = "h as (select idx, x, y, z, list_transform(v, lambda e: abs(e)) as h, list_sum(list_transform(v, lambda e: abs(e))) as s from v_posed)"
-WASS_SQL = f"""{HIST_SQL}, cdf as (select idx, j, sum(e) over (partition by idx order by j) as f from (select idx, unnest(h) / s as e, generate_subscripts(h, 1) as j from h)),
-wp as (select a.idx as q, b.idx as c, sum(abs(a.f - b.f)) as d from cdf a join cdf b on a.j = b.j and b.idx <= a.idx - {GAP} and a.idx % 5 = 0 group by all)"""
+HIST_SQL = "h as (select seq_id, idx, x, y, z, list_transform(v, lambda e: abs(e)) as h, list_sum(list_transform(v, lambda e: abs(e))) as s from v_posed)"
+WASS_SQL = f"""{HIST_SQL}, cdf as materialized (select seq_id, idx, j, sum(e) over (partition by idx order by j) as f from (select seq_id, idx, unnest(h) / s as e, generate_subscripts(h, 1) as j from h)),
+wp as (select a.idx as q, b.idx as c, sum(abs(a.f - b.f)) as d from cdf a join cdf b on a.seq_id = b.seq_id and a.j = b.j and b.idx <= a.idx - {GAP} group by all)"""
 
 
-def _wasserstein(df: DataFrame) -> DataFrame:
-    """Distances of every fifth scan to all scans far enough in the past."""
-    h = df.select("seq_id", "idx", F.transform("v", F.abs).alias("h"))
-    a = h.where("idx % 5 = 0").select("seq_id", F.col("idx").alias("q"), F.col("h").alias("p"))
-    b = h.select("seq_id", F.col("idx").alias("c"), F.col("h").alias("r"))
-    met = a.join(b, "seq_id").where(F.col("c") <= F.col("q") - GAP)
-    return met.select("q", "c", rt.wasserstein(F.col("p"), F.col("r")).alias("d"))
+def _shares(df: DataFrame) -> DataFrame:
+    return df.withColumn("v", rt.running_shares(F.transform("v", F.abs)))
 
 
 @query(f"{D}, {WASS_SQL} select q, count(*) as n, round(min(d), 6) as least, round(max(d), 6) as most, round(avg(d), 6) as mean from wp group by q")
 def wasserstein_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    got = _wasserstein(_base(spark, sf)).groupBy("q")
-    return got.agg(F.count(F.lit(1)).alias("n"), r6(F.min("d")).alias("least"), r6(F.max("d")).alias("most"), r6(F.avg("d")).alias("mean"))
+    made = knn.distance_summary(_shares(_base(spark, sf)), "l1", gap=GAP, past_only=True)
+    return made.select("q", "n", *[r6(c).alias(c) for c in ("least", "most", "mean")])
 
 
-@query(f"{D}, {WASS_SQL} select q, c, rank, round(d, 6) as d from (select *, row_number() over (partition by q order by round(d, 9), c) as rank from wp) where rank <= 5")
+def _distances(found: DataFrame) -> DataFrame:
+    return found.select("q", "c", F.col("rank").cast("long").alias("rank"), r6(-F.col("score")).alias("d"))
+
+
+@query(f"{D}, {WASS_SQL} select q, c, rank, round(round(d, 9), 6) as d from (select *, row_number() over (partition by q order by round(d, 9), c) as rank from wp) where rank <= 5")
 def wasserstein_topk(spark: SparkSession, sf: str) -> DataFrame:
-    made = rt.ranked(_wasserstein(_base(spark, sf)), [F.round("d", 9), F.col("c")]).where("rank <= 5")
-    return made.select("q", "c", F.col("rank").cast("long").alias("rank"), r6("d").alias("d"))
+    df = _shares(_base(spark, sf))
+    return _distances(knn.nearest(df, df, 5, "l1", gap=GAP, past_only=True))
 
 
 @query(
     f"""{D}, {WASS_SQL}, far as (select wp.* from wp join v_posed a on a.idx = q join v_posed b on b.idx = c where {NEAR} >= 10.0)
-select q, c, rank, round(d, 6) as d from (select *, row_number() over (partition by q order by round(d, 9), c) as rank from far) where rank <= 5"""
+select q, c, rank, round(round(d, 9), 6) as d from (select *, row_number() over (partition by q order by round(d, 9), c) as rank from far) where rank <= 5"""
 )
 def two_stage_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """R-03: candidates at least ten metres off (the spatial predicate keeps the far ones), then the nearest histograms."""
-    df = _base(spark, sf)
-    pairs = _wasserstein(df).withColumns({"rank": F.lit(0), "score": F.lit(0.0)})
-    far = _hits(pairs, df).where("d >= 10.0").select("q", "c").join(_wasserstein(df), ["q", "c"])
-    made = rt.ranked(far, [F.round("d", 9), F.col("c")]).where("rank <= 5")
-    return made.select("q", "c", F.col("rank").cast("long").alias("rank"), r6("d").alias("d"))
+    df = _shares(_base(spark, sf))
+    return _distances(knn.nearest(df, df, 5, "l1", gap=GAP, past_only=True, at_least=10.0))
 
 
 KEYS_SQL = 'keys as (select idx, list_transform(range(4), lambda r: list_avg(v[r * 16 + 1 : r * 16 + 16])) as k from v_posed)'
@@ -174,13 +170,14 @@ def candidate_union(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""{D}, p as (select a.idx as q, b.idx as c, {COS} as s, {NEAR} as d from v_posed a join v_posed b on b.idx <= a.idx - {GAP})
-select q, c, round(s, 6) + 0.0 as score, case when d >= 20 then 'false' else 'true' end as kind from (select *, row_number() over (partition by q order by s desc, c) as rank from p) where rank <= 20 and s >= 0.25 and (d >= 20 or d < 5)"""
+    f"""{D}, p as (select a.idx as q, b.idx as c, {COS} as s, {NEAR} as d from v_posed a join v_posed b on a.seq_id = b.seq_id and b.idx <= a.idx - {GAP})
+select q, c, round(s, 6) + 0.0 as score, case when d >= 20 then 'false' else 'true' end as kind from p where s >= 0.25 and (d >= 20 or d < 5)"""
 )
 def false_positive_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """R-11: similar pairs that lie far apart (false) or close together (true)."""
     df = _base(spark, sf)
-    met = _hits(_top(df), df).where("score >= 0.25 and (d >= 20 or d < 5)")
+    found = knn.above(df, df, 0.25, gap=GAP, past_only=True).withColumn("rank", F.lit(0))
+    met = _hits(found, df).where("d >= 20 or d < 5")
     return met.select("q", "c", r6("score").alias("score"), F.when(F.col("d") >= 20, "false").otherwise("true").alias("kind"))
 
 

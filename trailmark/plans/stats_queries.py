@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from trailmark.operators import knn, retrieval as rt, stats, trajectory as tr
 from trailmark.plans.base import query, r6
-from trailmark.plans.retrieval_queries import HIT_SQL, NEAR, QUERY_SQL, TOP_SQL, D, _base, _hits, _queries, _top
+from trailmark.plans.retrieval_queries import COS, HIT_SQL, NEAR, QUERY_SQL, TOP_SQL, D, _base, _hits, _queries, _top
 from trailmark.plans.views import DESC_SQL, POSE_SQL, descriptors, posed, poses
 
 PAIRS = 20_000
 SIM = "list_inner_product(a.v, b.v) / (sqrt(list_inner_product(a.v, a.v)) * sqrt(list_inner_product(b.v, b.v)))"
-PAIR_SQL = f"pr as (select k, (k * 7919 + 13) % n as i, (k * 104729 + (k // 97) * 31 + 7) % n as j from range({PAIRS}) t(k), (select count(*) as n from v_posed) where i <> j)"
+PAIR_SQL = f"""sz as (select seq_id, count(*) as n, min(idx) as first, row_number() over (order by seq_id) - 1 as place, count(*) over () as every from v_posed group by seq_id),
+pr as (select k, first + (k * 7919 + 13) % n as i, first + (k * 104729 + (k // 97) * 31 + 7) % n as j from range({PAIRS}) t(k) join sz on place = k % every where i <> j)"""
 OBS_SQL = f"""ob as (select k, i, j, {SIM} as sim, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda x: pow(x[1] - x[2], 2)))) as l2, {NEAR} as geo,
   abs(degrees(atan2(sin(a.yaw - b.yaw), cos(a.yaw - b.yaw)))) as turn from pr join v_posed a on a.idx = i join v_posed b on b.idx = j)"""
 
@@ -141,30 +142,32 @@ def macro_average(spark: SparkSession, sf: str) -> DataFrame:
 
 
 LEVELS = [0.1, 0.2, 0.3, 0.4, 0.5]
-TRUE_SQL = f"tp as (select a.idx, b.idx as j from v_posed a join v_posed b on b.idx <= a.idx - 30 and {NEAR} < 5.0)"
+TRUE_SQL = f"tp as (select a.idx, b.idx as j from v_posed a join v_posed b on a.seq_id = b.seq_id and b.idx <= a.idx - 30 and {NEAR} < 5.0)"
 
 
 @query(
-    f"""{D}, {TOP_SQL}, {HIT_SQL}, {TRUE_SQL}, c as (select t.threshold::double as threshold, count(score) as n_edges, count(*) filter (where score is not null and hit) as n_true from (select unnest({LEVELS}) as threshold) t
-  left join (select top.score, hits.hit from top join hits using (q, c)) s on s.score >= t.threshold group by all), r as (select *, case when n_edges > 0 then n_true / n_edges else 0 end as p, n_true / (select count(*) from tp) as rc from c)
+    f"""{D}, {TRUE_SQL}, ap as materialized (select {COS} as score, {NEAR} < 5.0 as hit from v_posed a join v_posed b on a.seq_id = b.seq_id and b.idx <= a.idx - 30),
+  c as (select t.threshold::double as threshold, count(score) as n_edges, count(*) filter (where score is not null and hit) as n_true from (select unnest({LEVELS}) as threshold) t
+  left join ap on ap.score >= t.threshold group by all), r as (select *, case when n_edges > 0 then n_true / n_edges else 0 end as p, n_true / (select count(*) from tp) as rc from c)
 select threshold, n_edges, n_true, round(p, 6) as precision, round(rc, 6) as recall, round(case when p + rc > 0 then 2 * p * rc / (p + rc) else 0 end, 6) as f1 from r"""
 )
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """A-21 over all pairs: blocks count, no pair is listed."""
     df = _base(spark, sf)
     truths = tr.near_pairs(df, df, 5.0).where("j <= i - 30")
-    made = stats.sweep(_hits(_top(df), df), truths, LEVELS)
+    made = stats.rated(knn.level_counts(df, LEVELS, 5.0, gap=30, past_only=True), truths)
     return made.withColumns({c: r6(c) for c in ("precision", "recall", "f1")})
 
 
-BOOT = 500
+BOOT = 10_000
 
 
 @query(
-    f"""with {POSE_SQL}, s as (select row_number() over (order by seq_id) - 1 as p, x from (select seq_id, avg(y) as x from v_pose where idx % 3 = 0 group by seq_id)), n as (select count(*) as n from s),
+    f"""with {POSE_SQL}, s as (select row_number() over (order by seq_id) - 1 as p, x from (select seq_id, avg(y) as x from v_pose group by seq_id)), n as (select count(*) as n from s),
 m as (select b, avg(x) as m from (select b, (b * 7919 + t * 104729 + (b * (t + 3) * 31) % 1009) % n as p from range({BOOT}) r(b), n, range(100) q(t) where t < n) join s using (p) group by b)
 select round(quantile_cont(m, 0.025), 6) + 0.0 as low, round(quantile_cont(m, 0.975), 6) + 0.0 as high from m"""
 )
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    values = poses(spark, sf).where("idx % 3 = 0").groupBy("seq_id").agg(F.avg("y").alias("x"))
+    values = poses(spark, sf).groupBy("seq_id").agg(F.avg("y").alias("x"))
     made = stats.bootstrap_interval(values, "x", "seq_id", BOOT)
     return made.select(r6("low").alias("low"), r6("high").alias("high"))

@@ -83,15 +83,15 @@ def negative_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""with {P}, l as (select idx, ts from v_pose where seq_id = 1), r as (select idx, ts from v_pose where seq_id = 2),
-b as (select l.idx, l.ts, r.idx as bi, r.ts as bt from l asof left join r on l.ts >= r.ts), a as (select l.idx, r.idx as ai, r.ts as at_ from l asof left join r on l.ts <= r.ts)
-select idx, case when bi is not null and (ai is null or ts - bt < at_ - ts) then bi else ai end as match from b join a using (idx)"""
+    f"""with {P}, l as (select seq_id, idx, ts from v_pose), r as (select (seq_id + 7) % 8 as seq_id, idx, ts from v_pose),
+b as (select l.seq_id, l.idx, l.ts, r.idx as bi, r.ts as bt from l asof left join r on l.seq_id = r.seq_id and l.ts >= r.ts), a as (select l.seq_id, l.idx, r.idx as ai, r.ts as at_ from l asof left join r on l.seq_id = r.seq_id and l.ts <= r.ts)
+select seq_id, idx, case when bi is not null and (ai is null or ts - bt < at_ - ts) then bi else ai end as match from b join a using (seq_id, idx)"""
 )
 def nearest_timestamp(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sequence against the next one."""
     p = poses(spark, sf)
-    left = p.where("seq_id = 1").select(F.lit(0).alias("key"), "idx", "ts")
-    right = p.where("seq_id = 2").select(F.lit(0).alias("key"), F.col("idx").alias("gt"), "ts")
-    return tr.nearest_in_time(left, right, "key", "ts", "gt").select("idx", "match")
+    right = p.select(((F.col("seq_id") + 7) % 8).alias("seq_id"), F.col("idx").alias("gt"), "ts")
+    return tr.nearest_in_time(p.select("seq_id", "idx", "ts"), right, "seq_id", "ts", "gt").select("seq_id", "idx", "match")
 
 
 def _edges_sql(low: int, high: int) -> str:

@@ -71,9 +71,14 @@ def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 LAYOUT_SQL = DESC_SQL + ", v_layout as (select idx, r::int as row, v[r * 16 + 1 : r * 16 + 16] as vals from v_desc, range(4) t(r))"
 
 
+#: Rows of posed sequences are numbered through: sequence times this, plus the row's number.
+APART = 10_000_000
+
+
 def posed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequence 0 with its descriptors: poses joined to descriptors on ``idx``."""
-    return poses(spark, sf_dir).where("seq_id = 0").join(descriptors(spark, sf_dir), "idx")
+    """All sequences with descriptors: poses joined to descriptors on ``idx``, then numbered through as ``idx``."""
+    met = poses(spark, sf_dir).join(descriptors(spark, sf_dir), "idx")
+    return met.withColumn("idx", F.col("seq_id") * APART + F.col("idx"))
 
 
-POSED_SQL = POSE_SQL + ", " + DESC_SQL + ", v_posed as (select * from v_pose join v_desc using (idx) where seq_id = 0)"
+POSED_SQL = POSE_SQL + ", " + DESC_SQL + f", v_posed as (select seq_id * {APART} + idx as idx, v_pose.* exclude (idx), v, label from v_pose join v_desc using (idx))"

@@ -47,14 +47,23 @@ def posix_path(path: str) -> str:
     return parts.path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there,
-    so a lost executor costs a read and not a recomputation."""
-    path = new_path(df.sparkSession, label)
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to a folder and read again: lineage ends there, so a lost executor costs a read and not a recomputation."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to a new folder of the shared one and read again."""
+    return stored(df, new_path(df.sparkSession, label))
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``new_path`` that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row and bound to a lambda variable."""
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)

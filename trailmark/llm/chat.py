@@ -4,7 +4,8 @@
 legal turn order.  Each turn yields segments ``text, loss``; the segments of
 a conversation joined are its formatted text.  Inside texts every character that
 opens a control string, and the escape character itself, is followed by an
-escape character, so no text can spell a marker and ``unescape`` restores it.
+escape character, so no text can spell a marker and ``unescape`` restores it.  In roles, the character that ends
+a role is written as an opener without its escape and a letter, which no escaped text holds.
 
 A conversation becomes one output row, so its turns meet in one task; that row is
 the feature, and nothing larger than one conversation is gathered.
@@ -40,6 +41,8 @@ class Template:
     def __post_init__(self):
         if self.open[0] not in self.openers or self.close[0] not in self.openers or self.escape in self.openers:
             raise ValueError("markers must start with an opener, and the escape can't be one")
+        if any(m.startswith(self._end_code) for m in (self.open, self.after_role, self.close)):
+            raise ValueError(f"no marker may start with {self._end_code}")
 
     @property
     def _special(self) -> str:
@@ -51,6 +54,18 @@ class Template:
     def unescaped(self, text: Column) -> Column:
         return F.regexp_replace(text, F.lit(self._special + re.escape(self.escape)), F.lit("$1"))
 
+    @property
+    def _end_code(self) -> str:
+        return self.openers[-1] + "n"
+
+    def escaped_role(self, role: Column) -> Column:
+        """The role without the character that ends it; an opener is escaped anyway."""
+        end = self.after_role[0]
+        return self.escaped(role) if end in self.openers + self.escape else F.replace(self.escaped(role), F.lit(end), F.lit(self._end_code))
+
+    def unescaped_role(self, role: Column) -> Column:
+        return self.unescaped(F.replace(role, F.lit(self._end_code), F.lit(self.after_role[0])))
+
     @property
     def turn_pattern(self) -> str:
         """One formatted turn; groups: role and text, both still escaped."""
@@ -104,7 +119,7 @@ def format_chats(turns: DataFrame, template: Template = Template(), machine: Mac
         def segment(text: Column, loss: Column) -> Column:
             return F.struct(text.alias("text"), loss.alias("loss"))
 
-        head = F.concat(F.lit(t.open), t.escaped(x.role), F.lit(t.after_role))
+        head = F.concat(F.lit(t.open), t.escaped_role(x.role), F.lit(t.after_role))
         return F.array(
             segment(head, F.lit(False)),
             segment(t.escaped(x.text), x.role.isin(*t.loss_roles)),
@@ -136,7 +151,7 @@ def read_back(formatted: Column, template: Template = Template()) -> Column:
         return F.regexp_extract_all(formatted, F.lit(t.turn_pattern), F.lit(group))
 
     return F.arrays_zip(
-        F.transform(parts(1), t.unescaped).alias("role"), F.transform(parts(2), t.unescaped).alias("text")
+        F.transform(parts(1), t.unescaped_role).alias("role"), F.transform(parts(2), t.unescaped).alias("text")
     )
 
 

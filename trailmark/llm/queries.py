@@ -38,13 +38,14 @@ def crawl_records(pages: DataFrame) -> DataFrame:
         tag.alias("etag"),
         date.alias("last_modified"),
         F.array(
-            _header("Cache-Control", "max-age=600"),
-            _header("Content-Length", F.octet_length("html").cast("string")),
-            _header("Content-Type", "text/html; charset=utf-8"),
+            _header("Set-Cookie", F.concat(F.lit("sid="), n.cast("string"))),
             _header("Date", date),
+            _header("Content-Type", "text/html; charset=utf-8"),
+            _header("Content-Length", F.octet_length("html").cast("string")),
             _header("ETag", tag),
+            _header("Set-Cookie", "a=1"),
+            _header("Cache-Control", "max-age=600"),
             _header("Last-Modified", date),
-            _header("Set-Cookie", F.concat(F.lit("sid="), n.cast("string"))),
         ).alias("headers"),
         F.sha2("html", 256).alias("payload_digest"),
     )
@@ -56,7 +57,8 @@ def crawl_records(pages: DataFrame) -> DataFrame:
         F.when(n % 11 == 0, F.lit(None)).otherwise(date).alias("last_modified"),
         F.concat(
             F.array(
-                _header("Cache-Control", "max-age=60"),
+                _header("Vary", "Accept"),
+                _header("cache-control", "max-age=60"),
                 _header("Connection", "close"),
                 _header("Date", at.cast("string")),
                 _header("Set-Cookie", "sid=new"),

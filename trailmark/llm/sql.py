@@ -50,10 +50,9 @@ with p as (
 select 2 * page_id + 1 as record_id, canon as canonical_url, ts, outcome, 2 * ref_page as ref_id, ref_t as ref_ts,
        case when outcome = 'resolved' then digest end as payload_digest,
        case when outcome = 'resolved' then
-         'Cache-Control: max-age=60' || chr(10) || 'Content-Length: ' || ref_len || chr(10)
-         || 'Content-Type: text/html; charset=utf-8' || chr(10) || 'Date: ' || ts || chr(10)
-         || 'ETag: ' || coalesce(tag, ref_tag) || chr(10) || 'Last-Modified: ' || ref_lm || chr(10)
-         || 'Set-Cookie: sid=' || ref_page end as headers
+         'Set-Cookie: sid=' || ref_page || chr(10) || 'Date: ' || ts || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(10)
+         || 'Content-Length: ' || ref_len || chr(10) || 'ETag: ' || coalesce(tag, ref_tag) || chr(10) || 'Set-Cookie: a=1' || chr(10)
+         || 'cache-control: max-age=60' || chr(10) || 'Last-Modified: ' || ref_lm || chr(10) || 'Vary: Accept' end as headers
 from j
 """
 
@@ -106,7 +105,7 @@ with c as (
 ), g as (
   select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by n) as alltext,
          coalesce(string_agg(text, '' order by n) filter (where role = 'assistant'), '') as loss,
-         sum({fixed} + length({esc("role")}) + length({esc("text")})) as formatted_chars,
+         sum({fixed} + length(replace({esc("role")}, chr(10), '[n')) + length({esc("text")})) as formatted_chars,
          min(n) filter (where bad) as first_bad, arg_max(role, n) as final_role
   from m group by conv_id
 )

@@ -11,7 +11,7 @@ share of all captures is thereby split by time.
 
 Defined cases: records without a URL or a capture time match nothing; responses at
 the very same time don't count as earlier; of several responses at one time the largest
-``record_id`` wins; repeated revisits are resolved one by one; a revisit without
+``record_id`` wins; null headers are none, and a header without a name is no one's predecessor; repeated revisits are resolved one by one; a revisit without
 validators is ``unverified``; an empty table gives no rows.  Columns that aren't named in
 ``RECORD`` are ignored.
 """
@@ -42,13 +42,25 @@ def canonical_url(url: Column) -> Column:
 
 
 def merged_headers(stored: Column, fresh: Column) -> Column:
-    """Stored headers, with the permitted ones of the not-modified answer in their place, by name."""
+    """Stored headers in their order; where a name of the not-modified answer is permitted, its fields stand in the
+    place of the first stored one of that name, and those of names that aren't stored follow at the end."""
+
+    def named(x: Column, y: Column) -> Column:
+        return F.lower(x["name"]) == F.lower(y["name"])
+
+    old = F.coalesce(stored, F.array())
     allowed = F.filter(F.coalesce(fresh, F.array()), lambda h: F.lower(h["name"]).isin(*PERMITTED))
-    kept = F.filter(F.coalesce(stored, F.array()), lambda h: ~F.exists(allowed, lambda f: F.lower(f["name"]) == F.lower(h["name"])))
-    return F.array_sort(F.concat(kept, allowed))
+
+    def placed(h: Column, i: Column) -> Column:
+        updates = F.filter(allowed, lambda f: named(f, h))
+        again = F.exists(F.slice(old, F.lit(1), i), lambda x: named(x, h))
+        return F.when(F.size(updates) == 0, F.array(h)).when(again, F.slice(updates, 1, 0)).otherwise(updates)
+
+    added = F.filter(allowed, lambda f: ~F.exists(old, lambda h: named(f, h)))
+    return F.concat(F.flatten(F.transform(old, placed)), added)
 
 
-def resolve_revisits(records: DataFrame, bucket_seconds: int = 86_400) -> DataFrame:
+def resolve_revisits(records: DataFrame, bucket_seconds: int = 3_600) -> DataFrame:
     """One row a revisit: ``record_id, canonical_url, ts, outcome, ref_id, ref_ts,
     payload_digest, headers``.
 

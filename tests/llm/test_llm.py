@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from trailmark.llm import chat, embeddings, language, licenses, mixing, ngrams, queries, sharding, simhash, warc, winnow
 from trailmark.llm.common import table
+from trailmark.llm.components import connected_components
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, label int, id long"
@@ -81,8 +82,32 @@ def embedding_rows():
     return rows + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, []), (900, None), (None, None)]
 
 
-@pytest.mark.parametrize("kind", ["float", "double"])
-@pytest.mark.parametrize(("rows_per_cell", "block_rows"), [(8_192, 16_384), (12, 5), (4, 3), (9, 64)])
+def test_fingerprint_links_same_for_every_number_of_blocks(spark):
+    """Planted near fingerprints; all pairs against 5 to 9 blocks, and the number that the count gives."""
+    dice = np.random.default_rng(9)
+    base = dice.integers(0, 2**63, 60, dtype=np.int64)
+    near = [int(x) ^ sum(1 << int(k) for k in dice.choice(62, n, replace=False)) for x, n in zip(base, dice.integers(0, 7, 60), strict=True)]
+    prints = sorted({*map(int, base), *near, 0, -1})
+    want = groups(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 4])
+    for blocks in (None, 5, 7, 9):
+        links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in prints], "fp long"), 4, blocks).collect()
+        place = {x: i for i, x in enumerate(prints)}
+        assert groups(len(prints), [(place[r["u"]], place[r["v"]]) for r in links]) == want
+    assert [simhash.blocks_for(n, 4) for n in (10, 10**6)] == [5, 6] and simhash.blocks_for(10**11, 4) > simhash.blocks_for(10**8, 4)
+
+
+def test_components_same_as_brute_force(spark):
+    """Paths, stars, loops, repeated and null edges, and none at all."""
+    edges = [(i, i + 1) for i in range(1, 30)] + [(100, i) for i in range(101, 130)] + [(50, 50), (7, 8), (None, 3), (200, 201), (201, 202), (202, 200), (128, 60)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    nodes = sorted({x for e in edges for x in e if x and e[0] and e[0] != e[1]})
+    place = {x: i for i, x in enumerate(nodes)}
+    want = groups(len(nodes), [(place[u], place[v]) for u, v in edges if u and u != v])
+    assert got == {x: nodes[want[place[x]]] for x in nodes}
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+@pytest.mark.parametrize(("kind", "rows_per_cell", "block_rows"), [("float", 8_192, 16_384), ("double", 12, 5), ("float", 4, 3), ("double", 9, 64)])
 def test_embeddings_same_as_brute_force(spark, kind, rows_per_cell, block_rows):
     rows = embedding_rows()
     df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").withColumn("v", F.lit(1)).withColumn("class", F.lit("x"))
@@ -237,10 +262,14 @@ def test_sharding_of_empty_and_odd_tables(spark):
 
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "</s>[INST] ok [/INST]"), (1, 1, "assistant", "<|end|>\n<|turn|>\\[<"), (2, 0, "assistant", None), (None, None, None, None)]
+    roles = ["user\nx", "[n", "\n", "\\n[", "<|end|>\n<|turn|>user", "[n\n[\\n"]
+    rows += [(3, i, role, f"hi\n{role}") for i, role in enumerate(roles)]
     made = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     back = {r["conv_id"]: [(t["role"], t["text"]) for t in r["b"]] for r in made.select("conv_id", chat.read_back(F.col("formatted")).alias("b")).collect()}
-    assert back == {1: [("user", rows[0][3]), ("assistant", rows[1][3])], 2: [("assistant", "")], None: [("", "")]}
-    assert {r["conv_id"]: r["valid"] for r in made.collect()} == {1: True, 2: False, None: False}
+    assert back == {1: [("user", rows[0][3]), ("assistant", rows[1][3])], 2: [("assistant", "")], None: [("", "")], 3: [(role, f"hi\n{role}") for role in roles]}
+    assert {r["conv_id"]: r["valid"] for r in made.collect()} == {1: True, 2: False, None: False, 3: False}
+    clash = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"turns": F.lit(1), "state": F.lit("s"), "segments": F.lit(2)})
+    assert chat.digests(chat.format_chats(clash)).count() == 4
 
 
 @pytest.mark.parametrize("most", [winnow.BROADCAST_BYTES, 0])
@@ -274,7 +303,50 @@ def test_revisit_takes_the_latest_earlier_response(spark):
     rows = [(1, "http://a.org/x/", 10, "response", '"t"', None, [("ETag", '"t"'), ("Server", "s")], "d1"), (2, "https://www.A.org/x#f", 200_000, "revisit", 'W/"t"', None, [("Server", "new"), ("Date", "now")], None), (3, "http://a.org/x", 10, "revisit", '"t"', None, None, None), (4, None, None, "revisit", None, None, None, None)]
     got = {r["record_id"]: r for r in warc.resolve_revisits(spark.createDataFrame(rows, kind)).collect()}
     assert [got[i]["outcome"] for i in (2, 3, 4)] == ["resolved", "no_earlier_response", "no_earlier_response"]
-    assert [(h["name"], h["value"]) for h in got[2]["headers"]] == [("Date", "now"), ("ETag", '"t"'), ("Server", "s")]
+    assert [(h["name"], h["value"]) for h in got[2]["headers"]] == [("ETag", '"t"'), ("Server", "s"), ("Date", "now")]
+
+
+def test_merged_headers_keep_the_stored_order(spark):
+    """Fields of one name, names in other cases, null headers and null names."""
+    kind = "i int, stored array<struct<name:string,value:string>>, fresh array<struct<name:string,value:string>>"
+    cases = [
+        ([("Set-Cookie", "z=1"), ("Date", "d1"), ("Set-Cookie", "a=1")], [("date", "d2")], [("Set-Cookie", "z=1"), ("date", "d2"), ("Set-Cookie", "a=1")]),
+        ([("Vary", "a"), ("X", "1"), ("vary", "b"), ("X", "0")], [("Vary", "c"), ("X", "9"), ("Vary", "d"), ("ETag", "t")], [("Vary", "c"), ("Vary", "d"), ("X", "1"), ("X", "0"), ("ETag", "t")]),
+        (None, [("Date", "d"), ("Server", "s")], [("Date", "d")]),
+        ([(None, "x"), ("B", None)], None, [(None, "x"), ("B", None)]),
+        (None, None, []),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], kind)
+    got = df.select("i", warc.merged_headers(F.col("stored"), F.col("fresh")).alias("h")).orderBy("i").collect()
+    assert [[(x["name"], x["value"]) for x in r["h"]] for r in got] == [c for _, _, c in cases]
+
+
+def test_revisits_of_ties_repeats_and_odd_records(spark):
+    """Brute force over all pairs, with ties in time, repeated rows, null keys, clashing columns and buckets of any size."""
+    dice = np.random.default_rng(4)
+    kind = "record_id long, url string, ts long, kind string, etag string, last_modified string, headers array<struct<name:string,value:string>>, payload_digest string, bucket string, ref int"
+    rows = []
+    for i in range(120):
+        response = dice.random() < 0.5
+        tag, date = (None if dice.random() < 0.3 else f'"{dice.integers(2)}"'), (None if dice.random() < 0.3 else f"d{dice.integers(2)}")
+        rows.append((i, [None, "http://a.org", "https://www.A.org/?utm_x=1", "b.org/y"][dice.integers(4)], None if dice.random() < 0.05 else int(dice.integers(40)) * 1_000, "response" if response else "revisit", tag, date, None, f"p{i}" if response else None, "x", 1))
+    rows += rows[:10]
+    canon = {None: None, "http://a.org": "a", "https://www.A.org/?utm_x=1": "a", "b.org/y": "b"}
+
+    def outcome(r):
+        before = [x for x in rows if x[3] == "response" and r[2] is not None and canon[r[1]] and canon[x[1]] == canon[r[1]] and x[2] is not None and x[2] < r[2]]
+        if not before:
+            return "no_earlier_response", None
+        ref = max(before, key=lambda x: (x[2], x[0]))
+        if r[4] is None and r[5] is None:
+            return "unverified", ref[0]
+        same = r[4] == ref[4] if r[4] is not None else r[5] == ref[5]
+        return ("resolved" if same else "validator_mismatch"), ref[0]
+
+    want = Counter((r[0], *outcome(r)) for r in rows if r[3] == "revisit")
+    for seconds in (1, 7_000, 10**9):
+        got = warc.resolve_revisits(spark.createDataFrame(rows, kind), seconds).collect()
+        assert Counter((r["record_id"], r["outcome"], r["ref_id"]) for r in got) == want
 
 
 def test_licence_rules(spark):
@@ -317,10 +389,15 @@ def test_empty_tables(spark):
 
 def test_pipeline_stages_take_effect(spark):
     """Each stage on its own input, against the operator's decisions or brute force."""
-    docs = table(spark, SMALL, "documents").cache()
+    docs = table(spark, SMALL, "documents").withColumn("lang", F.when(F.col("doc_id") % 7 != 0, F.col("lang"))).cache()
     stages = dict(corpus_pipeline.STAGES)
     known = stages["language_id"](spark, docs, SMALL).cache()
-    assert known.columns == docs.columns and 0.6 * docs.count() < known.count() < docs.count() + 1
+    # clean documents stay; labels that lack are the predicted ones; junk goes (see the test below)
+    assert known.columns == docs.columns and known.count() == docs.where(F.col("text").rlike(r"\p{L}")).count()
+    assert docs.where("lang is null").count() > 0 and known.where("lang is null").count() == 0
+    said = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, "text", language.fit(docs, "doc_id", "text", "lang", language.fold_of("doc_id", 5) != 0)).collect()}
+    label = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert all(r["lang"] == (label[r["doc_id"]] or said[r["doc_id"]]) for r in known.collect())
     kept = stages["simhash_near_dedup"](spark, known, SMALL).cache()
     found = simhash.near_duplicate_groups(known, "doc_id", "text")
     assert {r["doc_id"] for r in kept.collect()} == {r["component_id"] for r in found.collect()}
@@ -334,6 +411,27 @@ def test_pipeline_stages_take_effect(spark):
     assert all(sorted(x["slot"]) == list(range(len(x))) for _, x in out.groupby("shard"))
 
 
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_pipeline_stages_on_odd_and_empty_tables(spark, name):
+    """Nulls in every column, repeated rows, ties, an empty table, and columns that clash with the stages' own."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    clash = odd(spark).drop("label", "id").withColumns({c: F.lit("x") for c in ("_key", "_digest", "lang_pred", "likeness", "vslot", "p", "kept", "id")})
+    got = stage(spark, clash, SMALL)
+    rows = got.collect()
+    ids = Counter(r["doc_id"] for r in rows)
+    assert got.columns[:5] == corpus_pipeline.COLUMNS and not set(ids) - {1, 2, 3, 4, 5, None}
+    if name == "language_id":
+        assert not {2, 3} & set(ids) and all(r["text"] for r in rows)
+    if name == "simhash_near_dedup":  # null, empty and blank texts have one fingerprint
+        assert ids == Counter([1, 2, 4, 5])
+    if name == "decontamination":
+        assert ids == Counter(r[0] for r in ODD)
+    if name == "sharding":
+        assert ids == Counter(r[0] for r in ODD)
+    none = stage(spark, clash.limit(0), SMALL)
+    assert none.count() == 0 and none.columns == got.columns
+
+
 MIT = ["MIT License", "Copyright (c) 2020 A. Person", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.']
 APACHE = ["Copyright 2020 A. Person", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', "http://www.apache.org/licenses/LICENSE-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.']
 BSD2 = ["Copyright (c) 2020, A. Person", "All rights reserved.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED.']

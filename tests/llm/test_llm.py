@@ -83,17 +83,16 @@ def embedding_rows():
 
 
 def test_fingerprint_links_same_for_every_number_of_blocks(spark):
-    """Planted near fingerprints; all pairs against 5 to 9 blocks, and the number that the count gives."""
+    """Planted near fingerprints; all pairs against 5 to 9 blocks."""
     dice = np.random.default_rng(9)
     base = dice.integers(0, 2**63, 60, dtype=np.int64)
     near = [int(x) ^ sum(1 << int(k) for k in dice.choice(62, n, replace=False)) for x, n in zip(base, dice.integers(0, 7, 60), strict=True)]
     prints = sorted({*map(int, base), *near, 0, -1})
     want = groups(len(prints), [(i, j) for i in range(len(prints)) for j in range(i) if ((prints[i] ^ prints[j]) & (2**64 - 1)).bit_count() <= 4])
-    for blocks in (None, 5, 7, 9):
+    for blocks in (5, 7, 9):
         links = simhash.fingerprint_links(spark.createDataFrame([(x,) for x in prints], "fp long"), 4, blocks).collect()
         place = {x: i for i, x in enumerate(prints)}
         assert groups(len(prints), [(place[r["u"]], place[r["v"]]) for r in links]) == want
-    assert [simhash.blocks_for(n, 4) for n in (10, 10**6)] == [5, 6] and simhash.blocks_for(10**11, 4) > simhash.blocks_for(10**8, 4)
 
 
 def test_components_same_as_brute_force(spark):

@@ -9,8 +9,8 @@ falls: in ``blocks - d`` of them at least.  One grid cell per choice of
 ``blocks - d`` blocks therefore meets every pair.  Within a cell the Manhattan
 bound filters, and the exact Hamming distance decides.
 
-The number of blocks follows the number of fingerprints: more blocks make more and smaller cells, so that cells
-stay small while the table grows.  Groups are the same for every number of blocks.
+More blocks make more rows per fingerprint and smaller cells; the number is a parameter, the same at every size, and
+groups are the same for every number of blocks.
 
 Defined cases: null or blank text has fingerprint 0, which links like any other;
 repeated rows and equal texts share a fingerprint; an empty table gives no rows;
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pandas as pd
@@ -168,31 +167,17 @@ def _links(distance: int):
     return run
 
 
-#: Two coordinates of unlike fingerprints are equal with a chance of 3/8: 1.4 bits; a comparison within a cell costs this share of a dealt row.
-_BITS_EACH, _COMPARED = 1.415, 0.005
-
-
-def blocks_for(n: int, distance: int) -> int:
-    """The number of blocks with the least rows and comparisons for ``n`` fingerprints."""
-
-    def cost(blocks: int) -> float:
-        return comb(blocks, distance) * (1 + _COMPARED * n / 2.0 ** (_BITS_EACH * 32 * (blocks - distance) / blocks))
-
-    return min(range(distance + 1, min(32, distance + 8) + 1), key=cost)
-
-
-def fingerprint_links(fingerprints: DataFrame, distance: int = 4, blocks: int | None = None) -> DataFrame:
-    """Edges ``u, v`` that connect the distinct fingerprints ``fp`` (a written table) just as all pairs
+def fingerprint_links(fingerprints: DataFrame, distance: int = 4, blocks: int = 7) -> DataFrame:
+    """Edges ``u, v`` that connect the distinct fingerprints ``fp`` just as all pairs
     within ``distance`` bits would.  The rows per fingerprint are the number of
     block choices, whatever the group sizes."""
-    blocks = blocks or blocks_for(fingerprints.count(), distance)
     spread = fingerprints.repartition(int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     cells = spread.mapInArrow(_cells(distance, blocks), "choice int, cell long, fp long")
     sorted_cells = cells.repartition("choice", "cell").sortWithinPartitions("choice", "cell")
     return sorted_cells.mapInArrow(_links(distance), "u long, v long")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str, text_col: str, distance: int = 4, blocks: int | None = None, shingle: int = 4) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str, text_col: str, distance: int = 4, blocks: int = 7, shingle: int = 4) -> DataFrame:
     """One row a document: ``id, fp, component_id``, the smallest id of its group.
 
     Texts are read once; after that only ids and fingerprints move.

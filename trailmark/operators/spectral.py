@@ -55,29 +55,27 @@ def _sum(xs: Column) -> Column:
 
 def bin_statistics(mags: Column, rows: int, n: int, edges: list[float], eps: float = 1e-8) -> Column:
     """A-08: per row and bin ``struct<row, bin, total, mean, std, most, least>``; an empty bin is 0 with deviation ``sqrt(eps)``."""
-    spans = bins_of(edges, n)
-    out = []
-    for r in range(rows):
-        for b, (i, j) in enumerate(spans):
-            part = F.slice(mags, r * n + i + 1, j - i)
-            count = float(max(1, j - i))
-            out.append(F.struct(F.lit(r).alias("row"), F.lit(b).alias("bin"), part.alias("part"), F.lit(count).alias("count")))
-    whole = F.array(*out)
-
-    def facts(x: Column) -> Column:
-        mean = _sum(x["part"]) / x["count"]
-        square = F.aggregate(x["part"], F.lit(0.0), lambda a, v: a + v * v) / x["count"]
+    spans = F.array(*[F.struct(F.lit(b).alias("bin"), F.lit(i).alias("at"), F.lit(j - i).alias("n")) for b, (i, j) in enumerate(bins_of(edges, n))])
+
+    def facts(r: Column, x: Column, part: Column) -> Column:
+        count = F.greatest(x["n"], F.lit(1)).cast("double")
+        mean = _sum(part) / count
+        square = F.aggregate(part, F.lit(0.0), lambda a, v: a + v * v) / count
         return F.struct(
-            x["row"].alias("row"),
+            r.alias("row"),
             x["bin"].alias("bin"),
-            _sum(x["part"]).alias("total"),
+            _sum(part).alias("total"),
             mean.alias("mean"),
             F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)) + eps).alias("std"),
-            F.coalesce(F.array_max(x["part"]), F.lit(0.0)).alias("most"),
-            F.coalesce(F.array_min(x["part"]), F.lit(0.0)).alias("least"),
+            F.coalesce(F.array_max(part), F.lit(0.0)).alias("most"),
+            F.coalesce(F.array_min(part), F.lit(0.0)).alias("least"),
         )
 
-    return F.transform(whole, facts)
+    def row(held: Column, r: Column) -> Column:
+        return F.transform(spans, lambda x: F.element_at(F.transform(F.array(F.slice(held, r * n + x["at"] + 1, x["n"])), lambda part: facts(r, x, part)), 1))
+
+    every = F.sequence(F.lit(0), F.lit(rows - 1))
+    return F.element_at(F.transform(F.array(mags), lambda held: F.flatten(F.transform(every, lambda r: row(held, r)))), 1)
 
 
 def inter_bin(stats: Column, name: str, bins: int, ratio: bool, eps: float = 1e-8) -> Column:

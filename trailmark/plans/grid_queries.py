@@ -121,7 +121,11 @@ def circular_gap_fill(spark: SparkSession, sf: str) -> DataFrame:
     return grids.fill_gaps(image, COLS).withColumn("val", r6("val"))
 
 
-@query()
+@query(
+    f"""{W}, {RANGE_SQL}, f as (select scan_id, "row", sum(range) as total, max(range) as most from v_range group by all),
+src as (select scan_id, i::int as i, coalesce(max("row") filter (where "row" <= i), min("row")) as "row" from f, range({ROWS}) t(i) group by scan_id, i)
+select scan_id, i as "row", round(total, 6) as total, round(most, 6) as most from src join f using (scan_id, "row")"""
+)
 def empty_row_fill(spark: SparkSession, sf: str) -> DataFrame:
     """Rows as sums of their cells, as one array a scan, with empty rows filled."""
     image = _range(spark, sf).groupBy("scan_id", "row").agg(F.array(F.sum("range"), F.max("range")).alias("r"))

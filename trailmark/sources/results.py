@@ -33,14 +33,24 @@ def read_best_block(spark: SparkSession, path: str) -> DataFrame:
     return last.withColumn("recall", F.col("recall").try_cast("double"))
 
 
+def numbers_in(tree: Any, names: tuple[str, ...], depth: int = 0) -> list[tuple[int, int, int, float]]:
+    """Every number under one of the names, as ``depth, place of its name, place in the file, value`` of the level that holds it."""
+    found: list[tuple[int, int, int, float]] = []
+    level, at = [tree], 0
+    while level:
+        below = []
+        for node in level:
+            at += 1
+            if isinstance(node, dict):
+                found += [(depth, k, at, float(node[n])) for k, n in enumerate(names) if isinstance(node.get(n), (int, float))]
+            below += list(node.values()) if isinstance(node, dict) else node if isinstance(node, list) else []
+        level, depth = below, depth + 1
+    return found
+
+
 def first_number(tree: Any, names: tuple[str, ...] = RECALL_NAMES) -> float | None:
-    """The first number under one of the names, a level's own names before what lies deeper."""
-    if isinstance(tree, dict):
-        own = next((tree[n] for n in names if isinstance(tree.get(n), (int, float))), None)
-        if own is not None:
-            return float(own)
-    below = tree.values() if isinstance(tree, dict) else tree if isinstance(tree, list) else ()
-    return next((x for x in (first_number(t, names) for t in below) if x is not None), None)
+    """The number under one of the names that lies least deep; of several, the first level's in file order, by the order of names."""
+    return min(((d, at, k, x) for d, k, at, x in numbers_in(tree, names)), default=(0, 0, 0, None))[3]
 
 
 def best_entry(tree: Any, blocks: tuple[str, ...]) -> tuple[str, float] | None:

@@ -132,7 +132,7 @@ def test_links_are_of_rows_and_not_of_ids(spark, rows):
 
 def brute_scores(train, texts):
     """Interpolated modified Kneser-Ney from its definition, by dictionaries."""
-    words = lambda t: (t or "").lower().split() + ["</s>"]
+    words = lambda t: (t or "").encode().lower().split() + ["</s>"]  # only ASCII is lowered and split at
     pair, one = Counter(), Counter()
     for t in train:
         w = words(t)
@@ -166,6 +166,35 @@ def test_ngrams_same_as_brute_force(spark):
     assert model.tokens == sum(len((t or "").split()) + 1 for t in train)
 
 
+def test_scores_of_the_query_same_as_brute_force(spark):
+    """Every column of op10 on the whole small table, among them a document of over 65,000 tokens that one type of counts can't hold."""
+    docs = table(spark, SMALL, "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    words = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ")
+    tokens = {i: [w for w in words(t) if w] + [None] for i, t in rows}
+    count = Counter(w for i, t in tokens.items() if not held(i) for w in t)
+    total, kinds = sum(count.values()), len(count)
+    got = {r["doc_id"]: r for r in queries.op10_kneser_ney_scores(spark, SMALL).collect()}
+    assert len(got) == len(rows)
+    for i, t in tokens.items():
+        r = got[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(t), sum(count[w] > 0 for w in t), total)
+        assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in t), rel=1e-9)
+    want = brute_scores([t for i, t in rows if not held(i)], [t for _, t in rows])
+    assert [got[i]["score"] for i, _ in rows] == pytest.approx(want, rel=1e-9)
+
+
+def test_counts_beyond_their_type_and_long_texts(spark):
+    """Pairs seen over 255 times go to a side array; a text of several chunks is one text."""
+    train = ["a b " * 400, "b a a"]
+    texts = [*train, "a b c " * 500_000]
+    model = ngrams.fit(spark.createDataFrame([(i, t) for i, t in enumerate(train)], "doc_id long, text string"), "text")
+    got = ngrams.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "doc_id", "text", model).orderBy("id").collect()
+    assert [r["score"] for r in got] == pytest.approx(brute_scores(train, texts), rel=1e-9)
+    assert got[2]["n_tokens"] == 1_500_001 and got[2]["n_known"] == 1_000_001
+
+
 def test_language_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op2_string_kernel_language(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")

@@ -14,6 +14,9 @@ with the usual three discounts per level from the counts of counts; where a coun
 zero, the discount is that of no smoothing data: 0.5, 1, 1.5.  Texts start after a start mark and close with
 an end token, which is a word like any other.  An unknown word has ``left`` 0; after an unknown word ``p(w | v)`` is ``p(w)``.
 
+The order is 2.  In the test documents 79 % of all trigrams are distinct (5,008,441 of 6,335,541 tokens in 12,000 documents), so a
+third order would add about twice the disk that the second takes, and break the limit on it; see the README.
+
 Hot contexts (over a quarter of a bucket's fair share of tokens) have their pairs dealt by both words.
 Their list is bounded by the number of buckets.
 
@@ -197,6 +200,9 @@ def _rows(buckets: list[int], blobs: list[bytes]) -> pa.RecordBatch:
 
 
 BLOB = "bucket int, blob binary"
+#: Counts of counts come as a row of their own, in a bucket that no word has, and are summed by Spark.
+TALLY = -1
+TALLIES = "t1 long, t2 long, t3 long, t4 long, more long, pairs long, p1 long, p2 long, p3 long, p4 long"
 
 
 def _word_counts(buckets: int):
@@ -320,9 +326,7 @@ def _save_pairs(shared):
             keys, counts = summed(np.concatenate(keys), np.concatenate(counts).astype(np.int64))
             save(tables.folder, "pair", bucket, keys)
             save(tables.folder, "times", bucket, counts)
-            with open(own := f"{tables.folder}/tally-{bucket}.{os.urandom(4).hex()}", "wb") as f:
-                np.save(f, np.array([(counts == k).sum() for k in (1, 2, 3, 4)] + [len(keys)]))
-            os.replace(own, f"{tables.folder}/tally-{bucket}.npy")
+            yield _rows([TALLY], [np.array([(counts == k).sum() for k in (1, 2, 3, 4)], np.int64).tobytes()])
             first, start = np.unique(keys >> np.uint64(32), return_index=True)
             by = [np.add.reduceat(c, start).astype(np.uint32) if len(start) else np.zeros(0, np.uint32) for c in (counts == 1, counts == 2, counts > 2)]
             second, lefts = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
@@ -339,6 +343,10 @@ def _save_facts(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = Tables(*shared.value)
         for bucket, blobs in _by_bucket(batches):
+            if bucket == TALLY:
+                pairs = sum(np.frombuffer(x, np.int64) for x in blobs)
+                yield from tally([0] * 6, pairs.tolist())
+                continue
             size = int(tables.offsets[bucket + 1] - tables.offsets[bucket])
             facts = {name: np.zeros(size, np.int64) for name in ("n1", "n2", "n3", "left")}
             for x in blobs:
@@ -349,7 +357,10 @@ def _save_facts(shared):
             for name, array in facts.items():
                 save(tables.folder, name, bucket, array)
             left = facts["left"]
-            yield pa.RecordBatch.from_arrays([pa.array([int((left == k).sum())]) for k in (1, 2, 3, 4)] + [pa.array([int((left > 2).sum())]), pa.array([int(left.sum())])], names=["t1", "t2", "t3", "t4", "more", "pairs"])
+            yield from tally([*(int((left == k).sum()) for k in (1, 2, 3, 4)), int((left > 2).sum()), int(left.sum())], [0] * 4)
+
+    def tally(words: list[int], pairs: list[int]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in words + pairs], names=[c.split()[0] for c in TALLIES.split(", ")])
 
     return run
 
@@ -393,7 +404,8 @@ def fit(texts: DataFrame, text_col: str) -> Model:
     os.makedirs(folder)
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+        """A task a bucket, with the rows of no word's bucket in one of them."""
+        return df.repartitionById(buckets, F.pmod("bucket", F.lit(buckets))).sortWithinPartitions("bucket")
 
     words = dealt(own.mapInArrow(_word_counts(buckets), BLOB))
     found = {r["bucket"]: r for r in words.mapInArrow(_save_words(folder), "bucket int, words long, tokens long").collect()}
@@ -413,13 +425,12 @@ def fit(texts: DataFrame, text_col: str) -> Model:
     shared = context.broadcast((folder, buckets, offsets, np.array(sorted(hot), np.uint64)))
     pairs = dealt(own.mapInArrow(_pair_counts(shared), BLOB))
     facts = dealt(pairs.mapInArrow(_save_pairs(shared), BLOB))
-    tallies = facts.mapInArrow(_save_facts(shared), "t1 long, t2 long, t3 long, t4 long, more long, pairs long").collect()
-    left = {k: sum(r[k] for r in tallies) for k in ("t1", "t2", "t3", "t4", "more", "pairs")}
-    files = [f"{folder}/tally-{b}.npy" for b in range(buckets)]
-    tally = sum((np.load(f) for f in files if os.path.exists(f)), np.zeros(5, np.int64))
+    made = facts.mapInArrow(_save_facts(shared), TALLIES)
+    # an aggregate of one row; it runs the job that writes the arrays
+    left = made.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in made.columns]).first()
     by_word = discounts(left["t1"], left["t2"], left["t3"], left["t4"])
     gap = (by_word[0] * left["t1"] + by_word[1] * left["t2"] + by_word[2] * left["more"]) / left["pairs"] if left["pairs"] else 1.0
-    return Model(shared.value, tokens, n_words, sums["texts"], discounts(*map(int, tally[:4])), by_word, gap, left["pairs"])
+    return Model(shared.value, tokens, n_words, sums["texts"], discounts(left["p1"], left["p2"], left["p3"], left["p4"]), by_word, gap, left["pairs"])
 
 
 def _scores(shared):

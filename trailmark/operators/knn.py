@@ -46,14 +46,15 @@ class Strip:
 
 
 def blocked(
-    queries: DataFrame, base: DataFrame, work: Callable[[Strip], pd.DataFrame], schema: str, metric: str = "cosine", gap: int | None = None, past_only: bool = False, exclusive: bool = False, extra: tuple[str, ...] = (), query_block: int = 2048, base_block: int = 16384
+    queries: DataFrame, base: DataFrame, work: Callable[[Strip], pd.DataFrame], schema: str, metric: str = "cosine", gap: int | None = None, past_only: bool = False, exclusive: bool = False, extra: tuple[str, ...] = (), query_block: int = 2048, base_block: int = 16384, counted: DataFrame | None = None
 ) -> DataFrame:
     """``seq_id`` and what ``work`` makes of each strip; both tables have ``seq_id, idx, v`` and the ``extra`` columns.
 
     Only rows of one sequence meet.  ``gap`` drops rows fewer than ``gap`` apart (``exclusive``: up to ``gap`` apart);
-    without it only the row itself is dropped.  ``past_only`` keeps earlier rows.
+    without it only the row itself is dropped.  ``past_only`` keeps earlier rows.  ``counted``, if given, has at least as many rows
+    a sequence as the queries and is counted in their place.
     """
-    sizes = queries.groupBy("seq_id").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("nq"))
+    sizes = (queries if counted is None else counted).groupBy("seq_id").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("nq"))
     bases = base.groupBy("seq_id").agg(F.ceil(F.count(F.lit(1)) / base_block).cast("int").alias("nb"))
     both = sizes.join(bases, "seq_id")  # a row a sequence
     q = queries.select("seq_id", "idx", "v", *extra).join(both, "seq_id").withColumn("qb", F.pmod(F.xxhash64("idx"), F.col("nq")).cast("int"))
@@ -72,7 +73,10 @@ def blocked(
         mine, theirs = ({c: t[f"{side}_{c}"].to_numpy() for c in extra} for side, t in (("q", left), ("b", right)))
         step, limit = max(1, STRIP // len(j)), 1 if gap is None else gap
         for s in range(0, len(i), step):
-            score = np.round(_scores(p[s : s + step], r, metric), 9)
+            if metric == "mixed":  # a fixed mixture of the two numbers that stands for a random order
+                score = -((i[s : s + step, None] * 7919 + j[None, :] * 104729) % 1000003).astype(float)
+            else:
+                score = np.round(_scores(p[s : s + step], r, metric), 9)
             apart = i[s : s + step, None] - j[None, :]
             away = apart if past_only else np.abs(apart)
             score[away <= limit if exclusive else away < limit] = -np.inf
@@ -95,15 +99,21 @@ def _pairs(s: Strip, rows: np.ndarray, cols: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"q": s.i[rows], "c": s.j[cols], "score": s.score[rows, cols]})
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", gap: int | None = None, past_only: bool = False, exclusive: bool = False, at_least: float | None = None, query_block: int = 2048, base_block: int = 16384) -> DataFrame:
+def _drop_near(s: Strip, at_least: float | None, strict: bool) -> None:
+    if at_least is not None:
+        d = s.distance()
+        s.score[d <= at_least if strict else d < at_least] = -np.inf
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", gap: int | None = None, past_only: bool = False, exclusive: bool = False, at_least: float | None = None, strict: bool = False, query_block: int = 2048, base_block: int = 16384, counted: bool = False) -> DataFrame:
     """The best ``k`` base rows of each query: ``seq_id, q, c, score, rank`` (from 1; ties by the smaller ``c``).
 
-    ``at_least`` keeps base rows whose positions ``x, y, z`` are so far away or farther.
+    ``at_least`` keeps base rows whose positions ``x, y, z`` are so far away or farther (``strict``: farther).
+    ``counted`` says that the queries are some of the base rows, which are counted in their place.
     """
 
     def best(s: Strip) -> pd.DataFrame:
-        if at_least is not None:
-            s.score[s.distance() < at_least] = -np.inf
+        _drop_near(s, at_least, strict)
         cut = min(k, len(s.j)) - 1
         bound = -np.partition(-s.score, cut, axis=1)[:, cut : cut + 1]
         rows, cols = np.nonzero((s.score >= bound) & np.isfinite(s.score))
@@ -113,7 +123,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine",
         kept = np.arange(len(rows)) - first < k
         return _pairs(s, rows[kept], cols[kept])
 
-    found = blocked(queries, base, best, PAIR, metric, gap, past_only, exclusive, () if at_least is None else ("x", "y", "z"), query_block, base_block)
+    found = blocked(queries, base, best, PAIR, metric, gap, past_only, exclusive, () if at_least is None else ("x", "y", "z"), query_block, base_block, base if counted else None)
     rank = F.row_number().over(Window.partitionBy("seq_id", "q").orderBy(F.desc("score"), "c"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -150,6 +160,52 @@ def distance_summary(nodes: DataFrame, metric: str, gap: int | None = None, past
     return made.groupBy("seq_id", "q").agg(F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), (F.sum("total") / F.sum("n")).alias("mean"))
 
 
+def by_rank(queries: DataFrame, base: DataFrame, place: Callable[[Column], Column], metric: str = "l2", gap: int | None = None, at_least: float | None = None, strict: bool = False, bins: int = 256) -> DataFrame:
+    """``seq_id, q, c, score``: of each query's ``n`` rows by distance (ties by the smaller ``c``), the one at ``place(n)`` from 0.
+
+    Three passes over the blocks: the range of distances, counts in ``bins`` bins of it, and the rows of the one bin that holds
+    the place; only those are listed.
+    """
+    where = ("x", "y", "z") if at_least is not None else ()
+
+    def facts(s: Strip) -> pd.DataFrame:
+        _drop_near(s, at_least, strict)
+        d, met = -s.score, np.isfinite(s.score)
+        return pd.DataFrame({"q": s.i, "n": met.sum(axis=1), "least": d.min(axis=1), "most": np.where(met, d, -np.inf).max(axis=1)})
+
+    spans = blocked(queries, base, facts, "q long, n long, least double, most double", metric, gap, extra=where, counted=base).where("n > 0")
+    spans = spans.groupBy("seq_id", "q").agg(F.sum("n").alias("n"), F.min("least").alias("lo"), F.max("most").alias("hi"))
+    spans = spans.select("seq_id", F.col("q").alias("idx"), place(F.col("n")).cast("long").alias("wanted"), "lo", F.greatest((F.col("hi") - F.col("lo")) / bins, F.lit(1e-12)).alias("width"))
+    plain = base.withColumns({"lo": F.lit(0.0), "width": F.lit(1.0), **{c: F.lit(0).cast("long") for c in ("wanted", "bin", "skip")}})
+
+    def binned(s: Strip) -> np.ndarray:
+        _drop_near(s, at_least, strict)
+        share = (-s.score - s.left["lo"][:, None]) / s.left["width"][:, None]
+        return np.where(np.isfinite(s.score), np.clip(np.floor(np.minimum(share, bins)), 0, bins - 1), -1).astype(np.int64)
+
+    def counts(s: Strip) -> pd.DataFrame:
+        b = binned(s)
+        rows, _ = np.nonzero(b >= 0)
+        n = np.bincount(rows * bins + b[b >= 0], minlength=len(s.i) * bins).reshape(-1, bins)
+        row, bin_ = np.nonzero(n)
+        return pd.DataFrame({"q": s.i[row], "bin": bin_, "n": n[row, bin_], **{c: s.left[c][row] for c in ("wanted", "lo", "width")}})
+
+    # what a later pass needs travels with the rows, so that no pass runs twice
+    held = blocked(queries.join(spans, ["seq_id", "idx"]), plain, counts, "q long, bin long, n long, wanted long, lo double, width double", metric, gap, extra=("lo", "width", "wanted", *where), counted=base)
+    held = held.groupBy("seq_id", "q", "bin").agg(F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("wanted", "lo", "width")])
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("seq_id", "q").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    skip = F.col("wanted") - F.col("before")
+    chosen = held.withColumn("before", before).where((skip >= 0) & (skip < F.col("n"))).select("seq_id", F.col("q").alias("idx"), "bin", "lo", "width", skip.alias("skip"))
+
+    def members(s: Strip) -> pd.DataFrame:
+        rows, cols = np.nonzero(binned(s) == s.left["bin"][:, None])
+        return _pairs(s, rows, cols).assign(skip=s.left["skip"][rows])
+
+    listed = blocked(queries.join(chosen, ["seq_id", "idx"]), plain, members, f"{PAIR}, skip long", metric, gap, extra=("lo", "width", "bin", "skip", *where), counted=base)
+    rank = F.row_number().over(Window.partitionBy("seq_id", "q").orderBy(F.desc("score"), "c")) - 1
+    return listed.withColumn("rank", rank).where(F.col("rank") == F.col("skip")).select("seq_id", "q", "c", "score")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 

@@ -194,7 +194,7 @@ def difference_attention(edges: DataFrame, nodes: DataFrame, logit: Column | Non
     scored = met.withColumn("score", score if logit is None else score + logit)
     w = Window.partitionBy("seq_id", "dst")
     lifted = scored.withColumn("e", F.exp(F.col("score") - F.max("score").over(w)))
-    return lifted.withColumn("attn", F.col("e") / F.sum("e").over(w)).select("seq_id", "src", "dst", "attn", "diff")
+    return lifted.withColumn("attn", F.col("e") / F.sum("e").over(w)).select("seq_id", "src", "dst", "etype", "attn", "diff")
 
 
 def attended(attention: DataFrame) -> DataFrame:
@@ -206,3 +206,10 @@ def attended(attention: DataFrame) -> DataFrame:
 def attention_entropy(attention: DataFrame) -> DataFrame:
     """A-15: entropy of the shares of each target."""
     return attention.groupBy("seq_id", "dst").agg(F.sum(-F.col("attn") * F.ln(F.col("attn") + 1e-10)).alias("entropy"))
+
+
+def twin(past: DataFrame, future: DataFrame, nodes: DataFrame) -> DataFrame:
+    """G-08: ``seq_id, dst, dim, val``: the mean of what two directed graphs over the same nodes say; a node that one of them leaves
+    alone has 0 there."""
+    both = attended(difference_attention(past, nodes)).unionByName(attended(difference_attention(future, nodes)))
+    return both.groupBy("seq_id", "dst", "dim").agg((F.sum("val") / 2).alias("val"))

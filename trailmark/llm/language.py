@@ -215,7 +215,8 @@ def predict(docs: DataFrame, text_col: str, model: Model | None) -> DataFrame:
 
     lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     said = free_name(kept, "said")
-    scored = kept.withColumn(said, of(F.when(lettered, F.col(text_col)).otherwise(F.lit(""))))
+    # so marked, it runs once a row wherever its columns are used, and no filter moves below it
+    scored = kept.withColumn(said, of.asNondeterministic()(F.when(lettered, F.col(text_col)).otherwise(F.lit(""))))
     und = {"lang_pred": F.lit(UND), "score": F.lit(0.0), "likeness": F.lit(0.0)}
     return scored.withColumns({c: F.when(lettered, F.col(said)[c]).otherwise(v) for c, v in und.items()}).drop(said)
 

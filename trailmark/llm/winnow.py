@@ -82,7 +82,7 @@ def _text_at(words: Column, start: Column, window: int) -> Column:
     return F.array_join(F.slice(words, start + 1, window), " ")
 
 
-def _sized(df: DataFrame, most: int) -> DataFrame:
+def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     """``df``, a written table or a projection of one, as a broadcast if its rows hold ``most`` bytes at most."""
     bytes_of = {"string": F.octet_length, "array<struct<len:int,fp:bigint>>": lambda c: F.size(c) * 16, "array<string>": lambda c: F.octet_length(F.array_join(c, ",")) + 16 * F.size(c)}
     row = sum((F.coalesce(bytes_of[t](c), F.lit(0)) if t in bytes_of else F.lit(8) for c, t in df.dtypes), F.lit(32))
@@ -140,11 +140,11 @@ def hit_windows(texts: DataFrame, windows: DataFrame, most: int = BROADCAST_BYTE
         return F.concat(*each) if each else F.expr(f"cast(array() as {none})")
 
     prints = texts.select("digest", F.explode(let(words, marks)).alias("m")).select("digest", "m.len", "m.fp")
-    known = _sized(windows.select("len", "fp").distinct(), most)
+    known = sized(windows.select("len", "fp").distinct(), most)
     struck = prints.join(known, ["len", "fp"], "left_semi").distinct().groupBy("digest").agg(F.collect_set(F.struct("len", "fp")).alias("struck"))
     struck = written(struck, "struck")
     # the few texts with a hit meet their words again, copies one by one; their equal rows are combined before the next shuffle
-    few = _sized(struck, most)
+    few = sized(struck, most)
     again = texts.join(few, "digest") if few is not struck else possibly(texts, struck).join(struck, "digest")
 
     def spots(tokens: Column) -> Column:
@@ -159,7 +159,7 @@ def hit_windows(texts: DataFrame, windows: DataFrame, most: int = BROADCAST_BYTE
         return F.concat(*each) if each else F.expr("cast(array() as array<struct<len:int,fp:bigint,start:int,window:string>>)")
 
     found = again.select("digest", F.explode(let(words, spots)).alias("s")).select("digest", "s.*")
-    return found.join(_sized(windows, most), ["len", "fp", "window"]).select("digest", "start", "len", "class").distinct()
+    return found.join(sized(windows, most), ["len", "fp", "window"]).select("digest", "start", "len", "class").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most: int = BROADCAST_BYTES) -> DataFrame:
@@ -188,7 +188,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.sha2(text_col, 256).alias("digest"),
         count_words(F.col(text_col)).alias("n_words"),
     )
-    joined = counted.join(_sized(summed, most), "digest", "left")
+    joined = counted.join(sized(summed, most), "digest", "left")
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
         "id",

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.operators import encoder, grids, knn, network as nw, poses as se, registration, registry, sensors, trajectory as tr
+from trailmark.operators import encoder, grids, knn, network as nw, poses as se, registration, registry, sensors, spectral, trajectory as tr
 from trailmark.sources import models
 from trailmark.streaming.store import DescriptorStore
 
@@ -134,6 +134,73 @@ def test_network_same_as_dense_computation(spark):
     assert np.array([r["embedding"] for r in got]) == pytest.approx(want, abs=1e-9)
 
 
+def test_policies_same_as_loops(spark):
+    """Filter bank, convolution, attention, gate and soft bins over two images of three rows and nine frequencies."""
+    dice = np.random.default_rng(2)
+    w = lambda *shape: dice.normal(size=shape)
+    x = np.abs(w(2, 3, 9))
+    norm = nw.Norm(w(12), w(12))
+    normed = lambda v: (v - v.mean()) / np.sqrt(v.var() + 1e-5) * norm.gain + norm.shift
+    banks = [nw.Linear(w(4, 9), w(4)) for _ in range(3)]
+    kernels, bias, project = w(3, 2, 5), w(3, 2), nw.Linear(w(12, 12), w(12))
+    q, key, value, out = w(2, 4), nw.Linear(w(4, 5), w(4)), nw.Linear(w(4, 5), w(4)), nw.Linear(w(4, 8), w(4))
+    first, last, wide = nw.Linear(w(6, 3), w(6)), nw.Linear(w(9, 6), w(9)), nw.Linear(w(12, 9), w(12))
+
+    def convolved(m):
+        padded = np.pad(m, ((0, 0), (2, 2)))
+        h = np.array([[[max(0, (padded[r, f : f + 5] * kernels[r, c]).sum() + bias[r, c]) for f in range(9)] for c in range(2)] for r in range(3)])
+        return np.concatenate([[h[r, c, 0:5].mean(), h[r, c, 4:9].mean()] for r in range(3) for c in range(2)])
+
+    def attended(m):
+        rows = []
+        for row in m:
+            code = np.array([[v for k in (0, 2) for v in (math.sin(f / 10_000 ** (k / 4)), math.cos(f / 10_000 ** (k / 4)))] for f in range(9)])
+            seen = np.hstack((row[:, None], code))
+            k, v, parts = key(seen), value(seen), []
+            for one in q:
+                for h in (slice(0, 2), slice(2, 4)):
+                    e = np.exp(k[:, h] @ one[h] / math.sqrt(2))
+                    parts.append((e / e.sum()) @ v[:, h])
+            rows.append(out(np.concatenate(parts)[None, :])[0])
+        return np.concatenate(rows)
+
+    def gated(m):
+        facts = lambda y: [y.mean(axis=1), y.std(axis=1, ddof=1), y.max(axis=1)]
+        g = 1 / (1 + np.exp(-last(np.maximum(first(np.stack(facts(m), axis=1)), 0))))
+        return wide(np.concatenate(facts(m * g))[None, :])[0]
+
+    soft = np.array(spectral.soft_bins(9, [0.0, 2.0, 9.0]))
+    cases = {
+        "linear": (registry.POLICIES["linear"](3, tuple(banks), norm), lambda m: normed(np.concatenate([banks[r](m[r : r + 1])[0] for r in range(3)]))),
+        "conv1d": (registry.POLICIES["conv1d"](3, kernels, bias, 2, project, norm), lambda m: normed(project(convolved(m)[None, :])[0])),
+        "attention": (registry.POLICIES["attention"](3, q, key, value, out, 2, 4, norm=norm), lambda m: normed(attended(m))),
+        "gated": (registry.POLICIES["gated"](3, first, last, wide, norm), lambda m: normed(gated(m))),
+        "soft_binning": (registry.POLICIES["soft_binning"](3, 9, [0.0, 2.0, 9.0]), lambda m: (m @ soft.T).ravel()),
+    }
+    df = spark.createDataFrame([(i, m.ravel().tolist()) for i, m in enumerate(x)], "i int, m array<double>")
+    got = nw.applied(df, {name: ("m", of) for name, (of, _) in cases.items()}).orderBy("i").collect()
+    for r in got:
+        for name, (_, want) in cases.items():
+            assert r[name] == pytest.approx(want(x[r["i"]]), abs=1e-9), name
+
+
+def test_dual_stream_mixes_both_contexts(spark):
+    dice = np.random.default_rng(4)
+    w = lambda *shape: dice.normal(size=shape) / 2
+    nodes, edges, ndf, edf = small_graph(spark)
+    net = lambda n: nw.Network(nw.Chain((nw.Linear(w(4, n), w(4)),)), ((nw.Attention(nw.Linear(w(4, 4)), nw.Linear(w(4, 4)), nw.Linear(w(4, 4)), 2), nw.Norm(np.ones(4), np.zeros(4), np.zeros(4), np.ones(4))),), nw.Linear(w(3, 4)), gate=nw.Chain((nw.Linear(w(1, 4)),)))
+    main, phase = net(6), net(5)
+    both = ndf.withColumn("phase", F.slice("v", 1, 5))
+    a = {r["idx"]: r for r in nw.forward(both, edf, main).collect()}
+    b = {r["idx"]: r for r in nw.forward(both.select("seq_id", "idx", F.col("phase").alias("v")), edf, phase).collect()}
+    gate = nw.Chain((nw.Linear(w(1, 6), w(1)),))
+    for fuse in (0.25, gate):
+        for r in nw.dual_stream(both, edf, main, phase, fuse).collect():
+            x, y = np.array(a[r["idx"]]["embedding"]), np.array(b[r["idx"]]["embedding"])[5:8] * a[r["idx"]]["alpha"]
+            share = fuse if isinstance(fuse, float) else 1 / (1 + np.exp(-gate(np.concatenate((x[6:9], y))[None, :])[0, 0]))
+            assert r["fused"] == pytest.approx(share) and r["embedding"] == pytest.approx([*x[:6], *((1 - share) * x[6:9] + share * y)], abs=1e-9)
+
+
 def test_registration_finds_planted_motions(spark):
     dice = np.random.default_rng(5)
     cloud = dice.uniform(-10, 10, (500, 3))
@@ -212,8 +279,7 @@ def test_registry_loaders_and_stored_fits(spark, points, tmp_path):
         assert {len(r["v"]) for r in made.encode(points).collect()} == {made.dim}
     with pytest.raises(ValueError):
         registry.register(registry.METHODS["planes"])
-    binned = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],)], "m array<double>").select(*[f(F.col("m"), 1, 4, w).alias(n) for n, f, w in (("soft_binning", registry.POLICIES["soft_binning"], [0.0, 2.0, 4.0]), ("hard_binning", registry.POLICIES["hard_binning"], [0.0, 2.0, 4.0]), ("filterbank", registry.POLICIES["filterbank"], [[1.0, 1.0, 0.0, 0.0], [0.0, 0.0, 1.0, 3.0]]))]).first()
-    assert binned["hard_binning"] == [1.5, 3.5] and binned["filterbank"] == pytest.approx([1.5, 3.75]) and len(binned["soft_binning"]) == 2
+    assert set(registry.POLICIES) == {"linear", "conv1d", "attention", "soft_binning", "gated"}
     fitted = spark.createDataFrame([(0.5, 0.1)], "mu double, sigma double")
     models.save_fitted(fitted, f"{tmp_path}/fit", "places")
     assert models.load_fitted(spark, f"{tmp_path}/fit", "places", ("mu", "sigma")).first() == fitted.first()

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailmark.operators import baselines, encoder, grids, spectral
+from trailmark.operators import baselines, encoder, grids, policies, spectral
 
 
 @dataclass(frozen=True)
@@ -21,7 +22,10 @@ class Method:
 
 
 METHODS: dict[str, Method] = {}
-POLICIES: dict[str, Callable[..., Column]] = {}
+#: X-03: spectral policies by name; each is made with its weights and works on batches of magnitudes.
+POLICIES: dict[str, Callable[..., Callable[[np.ndarray], np.ndarray]]] = {
+    "linear": policies.Filterbank, "conv1d": policies.ConvolutionPool, "attention": policies.QueryPool, "soft_binning": policies.soft_binning, "gated": policies.GatedPool
+}
 RERANKERS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
@@ -33,37 +37,6 @@ def register(method: Method) -> Method:
     return method
 
 
-def policy(name: str) -> Callable[[Callable[..., Column]], Callable[..., Column]]:
-    """X-03: register a way to bin magnitudes under a name."""
-
-    def add(f: Callable[..., Column]) -> Callable[..., Column]:
-        POLICIES[name] = f
-        return f
-
-    return add
-
-
-@policy("soft_binning")
-def soft_binning(mags: Column, rows: int, n: int, edges: list[float]) -> Column:
-    """N-09: Gaussian bins at the edges' centres."""
-    return spectral.soft_binned(mags, rows, n, spectral.soft_bins(n, edges))
-
-
-@policy("hard_binning")
-def hard_binning(mags: Column, rows: int, n: int, edges: list[float]) -> Column:
-    """Means of the bins between the edges."""
-    return spectral.bin_statistics(mags, rows, n, edges)["mean"]
-
-
-@policy("filterbank")
-def filterbank(mags: Column, rows: int, n: int, weights: list[list[float]]) -> Column:
-    """N-09: given filters over the frequencies, squared by softplus-free weights that must not be negative, each of sum 1."""
-    if any(w < 0 for one in weights for w in one):
-        raise ValueError("a filter's weights can't be negative")
-    scaled = [[w / max(sum(one), 1e-8) for w in one] for one in weights]
-    return spectral.soft_binned(mags, rows, n, scaled)
-
-
 def rerank(name: str, candidates: DataFrame) -> DataFrame:
     """X-02: order candidates by the named callback, which takes and returns ``q, c, ...``."""
     return RERANKERS[name](candidates)

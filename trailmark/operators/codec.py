@@ -53,7 +53,7 @@ def seven(x: Column, y: Column, z: Column, yaw: Column) -> Column:
 def g2o_line(src: Column, dst: Column, pose: Column, information: list[float]) -> Column:
     """IO-14: a pose-graph edge as text: quaternion with its real part last, and the upper triangle of a diagonal matrix."""
     order = [0, 1, 2, 4, 5, 6, 3]
-    parts = [F.format_string("%.6f", F.get(pose, F.lit(i)) + F.lit(0.0)) for i in order]
+    parts = [F.format_string("%.6f", F.round(F.get(pose, F.lit(i)), 6) + F.lit(0.0)) for i in order]
     upper = [f"{information[i] if i == j else 0.0:.1f}" for i in range(6) for j in range(i, 6)]
     return F.concat_ws(" ", F.lit("EDGE_SE3:QUAT"), src.cast("string"), dst.cast("string"), *parts, F.lit(" ".join(upper)))
 

@@ -32,9 +32,19 @@ def pose_7dof(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("seq_id", "idx", r6(F.get("s", F.lit(0))).alias("x"), r6(F.get("s", F.lit(1))).alias("y"), r6(F.get("s", F.lit(3))).alias("qw"), r6(F.abs(F.get("s", F.lit(6)))).alias("qz"))
 
 
-@query()
+INFORMATION = [100.0] * 3 + [1000.0] * 3
+UPPER = " ".join(f"{INFORMATION[i] if i == j else 0.0:.1f}" for i in range(6) for j in range(i, 6))
+HALF = "atan2(sin(p.yaw), cos(p.yaw)) / 2"
+
+
+@query(
+    f"""with {POSE_SQL.replace("v_pose as (", "v_pose as materialized (", 1)}, m as (select a.seq_id, a.idx, min(b.idx) as match from v_pose a join v_pose b on a.seq_id = b.seq_id and b.idx <= a.idx - 30
+  and sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) < 5.0 group by all)
+select seq_id, 'EDGE_SE3:QUAT ' || idx || ' ' || match || ' ' || {" || ' ' || ".join(f"printf('%.6f', round({c}, 6) + 0.0)" for c in ("p.x", "p.y", "p.z", "0.0::double", "0.0::double", f"sin({HALF})", f"cos({HALF})"))} || ' {UPPER}' as line
+from m join v_pose p using (seq_id, idx)"""
+)
 def g2o_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Revisits of all sequences as pose-graph edges, here with the pose of the revisit."""
     met = tr.revisit_queries(poses(spark, sf)).withColumnRenamed("i", "idx").join(poses(spark, sf), ["seq_id", "idx"])
     seven = codec.seven(F.col("x"), F.col("y"), F.col("z"), F.col("yaw"))
-    return met.select("seq_id", codec.g2o_line(F.col("idx"), F.col("match"), seven, [100.0] * 3 + [1000.0] * 3).alias("line"))
+    return met.select("seq_id", codec.g2o_line(F.col("idx"), F.col("match"), seven, INFORMATION).alias("line"))

@@ -74,10 +74,9 @@ COARSE, KEPT = 5, 3
 rk as (select scan_id, r, avg(val) as k from cell group by all), rv as materialized (select scan_id, list(k order by r) as v from rk group by scan_id),
 top as (select * from (select q, c, row_number() over (partition by q order by score desc, c) as rank from (select a.scan_id as q, b.scan_id as c,
   round(list_inner_product(a.v, b.v) / (greatest(sqrt(list_inner_product(a.v, a.v)), 1e-8) * greatest(sqrt(list_inner_product(b.v, b.v)), 1e-8)), 9) as score from rv a join rv b on a.scan_id <> b.scan_id)) where rank <= {COARSE}),
-nr as materialized (select scan_id, c, sqrt(sum(val * val)) as n from cell group by all),
-d as (select q, t.c as cand, x.c as col, s, sum(x.val * y.val) as dot from top t join cell x on x.scan_id = q, range({COLS}) u(s) join cell y on y.scan_id = t.c and y.r = x.r and y.c = (x.c - s + {COLS}) % {COLS} group by all),
-e as (select q, cand, s, sum(case when x.n > 1e-8 and y.n > 1e-8 then 1 - dot / (x.n * y.n + 1e-8) else 0 end) / greatest(sum(case when x.n > 1e-8 and y.n > 1e-8 then 1 else 0 end), 1) as dist
-  from d join nr x on x.scan_id = q and x.c = d.col join nr y on y.scan_id = cand and y.c = (d.col - s + {COLS}) % {COLS} group by all)
+cv as materialized (select scan_id, c, list(val order by r) as v, sqrt(sum(val * val)) as n from cell group by all),
+e as (select q, t.c as cand, s, sum(case when x.n > 1e-8 and y.n > 1e-8 then 1 - list_inner_product(x.v, y.v) / (x.n * y.n + 1e-8) else 0 end) / greatest(sum(case when x.n > 1e-8 and y.n > 1e-8 then 1 else 0 end), 1) as dist
+  from top t join cv x on x.scan_id = q, range({COLS}) u(s) join cv y on y.scan_id = t.c and y.c = (x.c - s + {COLS}) % {COLS} group by all)
 select q, cand as c, round(round(dist, 9), 6) as dist, rank from (select *, row_number() over (partition by q order by round(dist, 9), cand) as rank from (select q, cand, min(dist) as dist from e group by all)) where rank <= {KEPT}"""
 )
 def two_stage_context(spark: SparkSession, sf: str) -> DataFrame:

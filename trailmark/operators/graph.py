@@ -194,7 +194,7 @@ def difference_attention(edges: DataFrame, nodes: DataFrame, logit: Column | Non
     scored = met.withColumn("score", score if logit is None else score + logit)
     w = Window.partitionBy("seq_id", "dst")
     lifted = scored.withColumn("e", F.exp(F.col("score") - F.max("score").over(w)))
-    return lifted.withColumn("attn", F.col("e") / F.sum("e").over(w)).select("seq_id", "src", "dst", "etype", "attn", "diff")
+    return lifted.withColumn("attn", F.col("e") / F.sum("e").over(w)).select(*[c for c in ("seq_id", "src", "dst", "etype", "attn", "diff") if c in (*edges.columns, "attn", "diff")])
 
 
 def attended(attention: DataFrame) -> DataFrame:

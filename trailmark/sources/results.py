@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,24 +34,20 @@ def read_best_block(spark: SparkSession, path: str) -> DataFrame:
     return last.withColumn("recall", F.col("recall").try_cast("double"))
 
 
-def numbers_in(tree: Any, names: tuple[str, ...], depth: int = 0) -> list[tuple[int, int, int, float]]:
-    """Every number under one of the names, as ``depth, place of its name, place in the file, value`` of the level that holds it."""
-    found: list[tuple[int, int, int, float]] = []
-    level, at = [tree], 0
-    while level:
-        below = []
-        for node in level:
-            at += 1
-            if isinstance(node, dict):
-                found += [(depth, k, at, float(node[n])) for k, n in enumerate(names) if isinstance(node.get(n), (int, float))]
-            below += list(node.values()) if isinstance(node, dict) else node if isinstance(node, list) else []
-        level, depth = below, depth + 1
-    return found
+def objects_in(tree: Any) -> Iterator[dict]:
+    """The objects of a tree in file order, each before what it holds."""
+    waiting = [tree]
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, dict):
+            yield node
+        waiting += reversed(list(node.values()) if isinstance(node, dict) else node if isinstance(node, list) else [])
 
 
 def first_number(tree: Any, names: tuple[str, ...] = RECALL_NAMES) -> float | None:
-    """The number under one of the names that lies least deep; of several, the first level's in file order, by the order of names."""
-    return min(((d, at, k, x) for d, k, at, x in numbers_in(tree, names)), default=(0, 0, 0, None))[3]
+    """The number of the first object that has one of the names, by the order of names."""
+    pairs = ((o, n) for o in objects_in(tree) for n in names)
+    return next((float(o[n]) for o, n in pairs if isinstance(o.get(n), (int, float))), None)
 
 
 def best_entry(tree: Any, blocks: tuple[str, ...]) -> tuple[str, float] | None:

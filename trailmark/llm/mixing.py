@@ -131,7 +131,7 @@ def _loop(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int, toleranc
     return w.withColumn("residual", F.lit(residual))
 
 
-def rake(cells: DataFrame, marginals: dict[str, Marginal], sweeps: int = 25, tolerance: float = 1e-9, one_task: int = ONE_TASK_CELLS) -> DataFrame:
+def rake(cells: DataFrame, marginals: dict[str, Marginal], sweeps: int = 25, tolerance: float = 1e-13, one_task: int = ONE_TASK_CELLS) -> DataFrame:
     """``cells`` (labels, ``n``) with the raked share ``w``, whose sum is 1, and ``residual``."""
     cells = cells.where("n > 0")
     targets = {label: written(targets_of(cells, label, m), "targets") for label, m in marginals.items()}

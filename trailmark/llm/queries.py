@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import chat, embeddings, language, licenses, mixing, ngrams, sharding, simhash, sql, warc, winnow
+from trailmark.llm import bpe, chat, embeddings, language, licenses, mixing, ngrams, sharding, simhash, sql, warc, winnow
 from trailmark.llm.common import table, written
 
 # --- op1 -------------------------------------------------------------------
@@ -198,6 +198,20 @@ def op10_kneser_ney_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- op11 ------------------------------------------------------------------
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with digests of its token ids and of the bytes that they decode to."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    tokens = bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", path, public_tokenizers.PATTERN)
+    return bpe.decode(tokens, path).select(
+        F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_revisits": op1_warc_revisits,
@@ -210,6 +224,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licence_scan": op8_licence_scan,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_kneser_ney_scores": op10_kneser_ney_scores,
+        "op11_byte_bpe": op11_byte_bpe,
     }
 
 

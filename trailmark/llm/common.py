@@ -64,6 +64,11 @@ def forget(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def finite(v: Column) -> Column:
+    """Whether a vector is there and all its components are finite numbers."""
+    return F.coalesce(v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row and bound to a lambda variable."""
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)

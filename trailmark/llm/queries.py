@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailmark.llm import bpe, chat, embeddings, language, licenses, mixing, ngrams, sharding, simhash, sql, warc, winnow
+from trailmark.llm import bpe, chat, embeddings, language, licenses, mixing, negatives, ngrams, sharding, simhash, sql, warc, whitening, winnow
 from trailmark.llm.common import table, written
 
 # --- op1 -------------------------------------------------------------------
@@ -212,6 +212,24 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# --- op12 ------------------------------------------------------------------
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of each positive of each hundredth vector; labels of each seventh are shifted by one."""
+    n = F.col("vec_id")
+    shifted = table(spark, sf_dir, "embeddings").withColumn("label", F.when(n % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(shifted, "vec_id", "embedding", "label", n % 100 == 0)
+
+
+# --- op13 ------------------------------------------------------------------
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's first eight whitened components."""
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc_revisits": op1_warc_revisits,
@@ -225,6 +243,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_kneser_ney_scores": op10_kneser_ney_scores,
         "op11_byte_bpe": op11_byte_bpe,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_whitening": op13_whitening,
     }
 
 
@@ -236,4 +256,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_virtual_slots": sql.op5(SHARDS, sharding.SLOTS),
         "op6_source_mixing": sql.op6(MARGINALS, KEEP, TOPICS, "prose", SWEEPS, SALT),
         "op8_licence_scan": sql.op8(),
+        "op12_hard_negatives": sql.op12(),
     }

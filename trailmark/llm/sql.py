@@ -216,3 +216,13 @@ select doc_id, case when len(names) > 0 then array_to_string(list_sort(list_dist
        coalesce(len(list_filter(ids, lambda i: i = '?')), 0)::bigint as n_unknown
 from d left join l{len(licenses.RULES)} using (k)"""
     )
+
+
+def op12() -> str:
+    return """with r as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as materialized (select a.vec_id as anchor_id, a.label = r.label as same, r.vec_id as id, list_inner_product(a.v, r.v)::bigint as score from r a join r on a.vec_id <> r.vec_id where a.vec_id % 100 = 0),
+p as (select anchor_id, id, score from (select *, row_number() over (partition by anchor_id order by score desc, id) as k from s where same) where k <= 5),
+n as (select p.anchor_id, p.id as positive_id, s.id as negative_id, p.score as positive_score, s.score as negative_score, row_number() over (partition by p.anchor_id, p.id order by s.score desc, s.id) as rank
+  from p join s on s.anchor_id = p.anchor_id and not s.same and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 5"""

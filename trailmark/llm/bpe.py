@@ -28,6 +28,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -254,7 +255,7 @@ def _encoded(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
         coder = _coder(shared.value)
         for batch in batches:
             raw = batch.column(1)
-            sizes = np.array([len(v.as_buffer()) if v.is_valid else 0 for v in raw])
+            sizes = pc.binary_length(raw).fill_null(0).to_numpy()
             for a, b in _runs(sizes, _AT_ONCE):
                 texts = [(v or b"").decode("utf-8", "replace") for v in raw.slice(a, b - a).to_pylist()]
                 ids = _lists([coder.encode(t) for t in texts])
@@ -274,19 +275,26 @@ def encode(docs: DataFrame, id_col: str, text_col: str, path: str, pattern: str)
 def _decoded(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value
-
-        def one(ids: list[int] | None) -> bytes:
-            for i in ids or ():
-                if i is not None and not (0 <= i < len(tokens) and tokens[i]):
-                    raise ValueError(f"no token has the id {i}")
-            return b"".join([tokens[i] for i in ids or () if i is not None])
+        size = np.array([len(t) for t in tokens])
+
+        def texts(lists: pa.Array, counts: np.ndarray) -> pa.Array:
+            flat = lists.flatten()
+            there = flat.is_valid().to_numpy(zero_copy_only=False)
+            ids = flat.fill_null(0).to_numpy()
+            unknown = there & ((ids < 0) | (ids >= len(size)) | (size[np.clip(ids, 0, len(size) - 1)] == 0))
+            if unknown.any():
+                raise ValueError(f"no token has the id {ids[unknown][0]}")
+            ends = np.concatenate(([0], np.cumsum(np.where(there, size[ids], 0))))
+            offsets = ends[np.concatenate(([0], np.cumsum(counts)))].astype(np.int32)
+            data = b"".join(map(tokens.__getitem__, ids[there].tolist()))
+            return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
 
         for batch in batches:
             lists = batch.column(1)
-            sizes = np.array([len(v) if v.is_valid else 0 for v in lists])
-            for a, b in _runs(sizes, _AT_ONCE // 4):
-                texts = [one(v) for v in lists.slice(a, b - a).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists.slice(a, b - a), pa.array(texts, pa.binary())], names=["id", "ids", "decoded"])
+            counts = lists.value_lengths().fill_null(0).to_numpy()
+            for a, b in _runs(counts, _AT_ONCE // 4):
+                part = lists.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), part, texts(part, counts[a:b])], names=["id", "ids", "decoded"])
 
     return run
 

@@ -472,7 +472,7 @@ GPL2ONLY = ["This program is free software; you can redistribute it and/or modif
 LESSER = [x.replace("GNU General", "GNU Lesser General") for x in GPL3PLUS]
 MPL = ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."]
 GAPPED = [*MIT[:3], MIT[3] + " Some further permission that nobody knows.", MIT[4]]
-FULL = {"MIT": [MIT, GAPPED], "Apache-2.0": [APACHE], "BSD-2-Clause": [BSD2], "BSD-3-Clause": [BSD3], "BSD-4-Clause": [BSD4], "GPL-3.0-or-later": [GPL3PLUS], "GPL-2.0-or-later": [GPL2PLUS], "GPL-2.0": [GPL2ONLY], "LGPL": [LESSER], "MPL-2.0": [MPL]}
+FULL = {"MIT": [MIT, GAPPED], "Apache-2.0": [APACHE], "BSD-2-Clause": [BSD2], "BSD-3-Clause": [BSD3], "BSD-4-Clause": [BSD4], "GPL-3.0-or-later": [GPL3PLUS], "GPL-2.0-or-later": [GPL2PLUS], "GPL-2.0": [GPL2ONLY], "LGPL-3.0-or-later": [LESSER], "MPL-2.0": [MPL]}
 
 
 def laid_out(paragraphs):

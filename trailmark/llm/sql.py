@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from trailmark.llm import chat, licenses, mixing, warc, winnow
 from trailmark.llm.common import UPPER
 
@@ -196,26 +198,49 @@ def op6(marginals: dict[str, mixing.Marginal], keep: float, rules, default: str,
 
 
 def op8() -> str:
+    """Lines are joined and sentences cut as by the operator; rules are matched by patterns over the joined identifiers."""
     marks, gaps, head, hint = (quoted(x) for x in (licenses.MARKS, licenses.GAPS, licenses.HEAD, f"(?i){licenses.HINT}"))
-    case = " ".join(f"when regexp_full_match(s, {quoted(p)}) then {quoted(n)}" for n, p in licenses.SENTENCES)
-    out = [
-        f"d as (select row_number() over () as k, doc_id, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '[.!?](\\s|$)', chr(10), 'g'), '[\\r\\n]+'), lambda s: regexp_matches(s, {hint})) as ss from documents)",
-        "e as (select k, unnest(ss) as s, generate_subscripts(ss, 1) as i from d)",
-        f"n as (select k, i, regexp_replace(trim(regexp_replace(regexp_replace({lower_sql('s')}, {marks}, '', 'g'), {gaps}, ' ', 'g')), {head}, '') as s from e)",
-        f"m as (select k, list(case {case} else '?' end order by i) as ids from n group by k)",
-        "l0 as (select k, ids, array_to_string(list_transform(ids, lambda i: ',' || i || ','), '') as t, []::varchar[] as names from m)",
-    ]
-    for j, (name, run) in enumerate(licenses.RULES):
-        r = quoted("".join(f",{i}," for i in run))
-        out.append(f"l{j + 1} as (select k, ids, case when contains(t, {r}) then replace(t, {r}, ',-,') else t end as t, case when contains(t, {r}) then list_append(names, {quoted(name)}) else names end as names from l{j})")
-    return (
-        "with " + ",\n".join(out) + f"""
+    opening, closing = (quoted(re.sub(r"([+*?])\+", r"\1", x)) for x in (licenses.OPENING, licenses.CLOSING_BACKWARDS))
+
+    def normalised(x: str) -> str:
+        return f"regexp_replace(trim(regexp_replace(regexp_replace({lower_sql(x)}, {marks}, '', 'g'), {gaps}, ' ', 'g')), {head}, '')"
+
+    def covers(entries, more: str = "") -> str:
+        return " ".join(f"when regexp_full_match(s, {quoted(p)}){more} then {quoted(n)}" for n, p in entries)
+
+    case = " ".join((covers(licenses.TAGS), covers(licenses.GRANTS, f" and not regexp_matches(s, {quoted(licenses.DENIAL)})"), covers(licenses.SENTENCES)))
+    notice = f"(regexp_matches(s, {quoted(licenses.NOTICE)}) and not regexp_matches(s, {quoted(licenses.NO_NOTICE)}))"
+    hinted = f"regexp_matches(bare, {hint})"
+    opens = f"regexp_matches(s, {quoted(f'^(?:{licenses.OPENERS})')}) or ({hinted} and ({notice} or regexp_matches(s, {quoted(licenses.STARTS)})))"
+    closes = f"{hinted} and ({notice} or regexp_matches(s, {quoted(licenses.ENDS)}))"
+    line, held = "chr(10)", "chr(57599)"
+    version = "(^|[^0-9A-Za-z_])([A-Zv])\\."
+    cut = f"regexp_replace(regexp_replace(u, '{version}', '\\1\\2' || {held}, 'g'), '{version}', '\\1\\2' || {held}, 'g')"
+    cut = f"regexp_replace(regexp_replace({cut}, '[.!?](\\s|$)', {line}, 'g'), '(conditions|are met):\\s', '\\1' || {line}, 'g')"
+    cut = f"replace({cut}, {held}, '.')"
+    for _ in range(3):
+        cut = f"regexp_replace({cut}, {quoted(licenses.OPERATOR)}, '\\1 \\2' || {line} || '\\1 ', 'g')"
+    gap = f"(?:,(?:{'|'.join(map(re.escape, licenses.BETWEEN))}),)*"
+    rules = ", ".join(f"({k}, {quoted(name)}, {quoted(gap.join(f',{re.escape(i)},' for i in run))})" for k, (name, run) in enumerate(licenses.RULES))
+    return f"""with recursive d as materialized (select row_number() over () as k, doc_id, coalesce(text, '') as text from documents),
+a as (select k, unnest(ls) as raw, generate_subscripts(ls, 1) as i from (select k, regexp_split_to_array(text, '\\r\\n|\\r|\\n') as ls from d where regexp_matches(text, {hint}))),
+b as (select k, i, reverse(regexp_replace(reverse(regexp_replace(raw, {opening}, '')), {closing}, '')) as bare from a),
+c as (select k, i, bare, {normalised("regexp_replace(bare, '[.!?]\\s*$', '')")} as s from b),
+j as (select k, string_agg(case when not regexp_matches(bare, '[\\p{{L}}\\p{{N}}]') then {line}
+  else case when {opens} then {line} else '' end || bare || case when {closes} then {line} else ' ' end end, '' order by i) as u from c group by k),
+e as (select k, list_filter(regexp_split_to_array({cut}, '\\n+'), lambda s: regexp_matches(s, {hint})) as ss from j),
+f as (select k, unnest(ss) as s, generate_subscripts(ss, 1) as i from e),
+n as (select k, i, {normalised('s')} as s from f),
+m as materialized (select k, list(case {case} else '?' end order by i) as ids from n group by k),
+r(step, name, run) as (values {rules}),
+l(k, step, t, names) as (select k, 0, array_to_string(list_transform(ids, lambda i: ',' || i || ','), ''), []::varchar[] from m
+  union all select k, l.step + 1, case when regexp_matches(t, run) then regexp_replace(t, run, ',-,', 'g') else t end, case when regexp_matches(t, run) then list_append(names, name) else names end from l join r on r.step = l.step),
+z as (select k, names from l where step = {len(licenses.RULES)})
 select doc_id, case when len(names) > 0 then array_to_string(list_sort(list_distinct(names)), ',')
        when len(list_filter(ids, lambda i: i = '?')) > 0 then 'UNKNOWN' else 'NONE' end as licences,
        coalesce(array_to_string(ids, ','), '') as sentence_ids, coalesce(len(ids), 0)::bigint as n_licence_sentences,
        coalesce(len(list_filter(ids, lambda i: i = '?')), 0)::bigint as n_unknown
-from d left join l{len(licenses.RULES)} using (k)"""
-    )
+from d left join m using (k) left join z using (k)"""
 
 
 def op12() -> str:

@@ -261,14 +261,40 @@ def test_slots_are_gapless_and_shards_even(spark):
     assert all(text[r.doc_id] is None or zlib.crc32(text[r.doc_id].encode()) == r.text_crc32 for r in got.itertuples())
 
 
+def dealt(records, key, shards):
+    return sharding.deal(sharding.slot_pieces(sharding.key_counts(records, key), shards), shards)
+
+
+@pytest.mark.parametrize("case", ["one row often", "nothing but nulls", "one long text"])
+@pytest.mark.parametrize("at_once", [7, 1 << 16])
+def test_bytes_stay_even_where_rows_repeat(spark, monkeypatch, case, at_once):
+    """No two shards differ by more than the largest text; both ways of placing agree with plain counting."""
+    monkeypatch.setattr(sharding, "_AT_ONCE", at_once)
+    docs = {"one row often": [(1, "abcdefgh")] * 20_000 + [(i, "x" * (i % 30)) for i in range(2, 2_002)], "nothing but nulls": [(None, None)] * 20_000, "one long text": [(1, "y" * 5_000)] * 40 + [(2, None)] * 9}[case]
+    key = ["doc_id", "text_crc32", "size"]
+    records = sharding.sized(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text").select(*key, "vslot")
+    counts = sharding.key_counts(records, key)
+    slot_map = sharding.store_map(sharding.deal(sharding.slot_pieces(counts, 8), 8))
+    for placed in (sharding.place_counts(counts, slot_map), sharding.place(records, slot_map, key)):
+        rows = placed.select(*key, "shard", "slot").collect()
+        assert Counter((r["doc_id"], r["size"]) for r in rows) == Counter((i, len(t or "") + 1) for i, t in docs)
+        loads, places = Counter({s: 0 for s in range(8)}), defaultdict(list)
+        for r in rows:
+            loads[r["shard"]] += r["size"]
+            places[r["shard"]].append(r["slot"])
+        assert max(loads.values()) - min(loads.values()) <= max(r["size"] for r in rows)
+        assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
 def test_growing_moves_slots_into_the_new_shard_only(spark, tmp_path):
     """Version 2 is stored beside version 1 and read back; records of slots that stay don't move."""
     records = sharding.sized(table(spark, SMALL, "documents"), "doc_id", "text")
     path = f"{tmp_path}/map"
-    first = sharding.store_map(sharding.deal(sharding.slot_bytes(records), 4), path)
+    key = ["doc_id", "text_crc32", "size"]
+    first = sharding.store_map(dealt(records, key, 4), path)
     both = sharding.store_map(sharding.grow(first, 4), path)
-    assert {(r["version"], r["n"]) for r in both.groupBy("version").agg(F.count(F.lit(1)).alias("n")).collect()} == {(1, 4096), (2, 4096)}
-    old, new = (sharding.place(records, both.where(f"version = {v}").select("vslot", "shard", "rows"), ["doc_id", "text_crc32", "size"]).toPandas() for v in (1, 2))
+    assert {(r["version"], r["n"]) for r in both.groupBy("version").agg(F.countDistinct("vslot").alias("n")).collect()} == {(1, 4096), (2, 4096)}
+    old, new = (sharding.place(records, both.where(f"version = {v}"), key).toPandas() for v in (1, 2))
     met = old.merge(new, on=["doc_id", "text_crc32"], suffixes=("", "_new"))
     assert (met["shard_new"][met["shard"] != met["shard_new"]] == 4).all() and (met["shard"] != met["shard_new"]).any()
     for _, one in new.groupby("shard"):
@@ -282,7 +308,7 @@ def test_sharding_of_empty_and_odd_tables(spark):
     clash = odd(spark).withColumns({"start": F.lit("s"), "inside": F.lit("i"), "shard": F.lit(99)})
     for docs, n in ((clash, len(ODD)), (clash.limit(0), 0)):
         records = sharding.sized(docs, "doc_id", "text")
-        placed = sharding.place(records, sharding.deal(sharding.slot_bytes(records), 3).select("vslot", "shard", "rows"), ["doc_id", "size"])
+        placed = sharding.place(records, dealt(records, ["doc_id", "size"], 3), ["doc_id", "size"])
         rows = placed.collect()
         assert len(rows) == n and all((r["start"], r["inside"]) == ("s", "i") and r["shard"] < 3 for r in rows)
         assert Counter((r["shard"], r["slot"]) for r in rows) == Counter((s, k) for s in range(3) for k in range(sum(r["shard"] == s for r in rows)))
@@ -396,7 +422,7 @@ def test_odd_rows_keep_their_number(spark):
     mixed = mixing.mix(docs, "doc_id", "text", queries.MARGINALS, 0.5, queries.TOPICS)
     assert mixed.count() == n and mixed.where("p is null").count() == 0
     records = sharding.sized(docs, "doc_id", "text")
-    placed = sharding.place(records, sharding.deal(sharding.slot_bytes(records), 3).select("vslot", "shard", "rows"), ["doc_id", "size"])
+    placed = sharding.place(records, dealt(records, ["doc_id", "size"], 3), ["doc_id", "size"])
     assert placed.count() == n
     assert ngrams.score(docs, "doc_id", "text", ngrams.fit(docs, "text")).count() == n
 

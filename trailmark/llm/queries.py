@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailmark.llm import bpe, chat, embeddings, language, licenses, mixing, negatives, ngrams, sharding, simhash, sql, warc, whitening, winnow
-from trailmark.llm.common import table, written
+from trailmark.llm.common import new_path, table, written
 
 # --- op1 -------------------------------------------------------------------
 
@@ -118,14 +118,19 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARDS = 8
 
 
+KEY = ["doc_id", "text_crc32", "size"]
+
+
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its shard under the law of near-equal bytes."""
-    records = sharding.sized(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "size", "text_crc32", "vslot")
-    slot_map = sharding.store_map(sharding.deal(sharding.slot_bytes(records), SHARDS))
-    placed = sharding.place(records, slot_map.select("vslot", "shard", "rows"), ["doc_id", "text_crc32", "size"])
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot"
-    )
+    """Every document with its shard under the law of near-equal bytes, and its shard after the stored map's second version, which has
+    one shard more."""
+    records = sharding.sized(table(spark, sf_dir, "documents"), "doc_id", "text").select(*KEY, "vslot")
+    counts = written(sharding.key_counts(records, KEY), "slot-keys")
+    path = new_path(spark, "slot-map")
+    first = sharding.store_map(sharding.deal(sharding.slot_pieces(counts, SHARDS), SHARDS), path).where("version = 1")
+    second = sharding.store_map(sharding.grow(first, SHARDS), path).where("version = 2")
+    placed = sharding.place_counts(counts, first).join(F.broadcast(second.select("vslot", "piece", F.col("shard").alias("next_shard"))), ["vslot", "piece"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot", "piece", "next_shard")
 
 
 # --- op6 -------------------------------------------------------------------
@@ -253,7 +258,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc_revisits": sql.op1(CRAWL_START, RECRAWL_AFTER),
         "op3_winnowing_decontamination": sql.op3(),
         "op4_chat_formatting": sql.op4(),
-        "op5_virtual_slots": sql.op5(SHARDS, sharding.SLOTS),
+        "op5_virtual_slots": sql.op5(SHARDS, sharding.SLOTS, sharding.PARTS),
         "op6_source_mixing": sql.op6(MARGINALS, KEEP, TOPICS, "prose", SWEEPS, SALT),
         "op8_licence_scan": sql.op8(),
         "op12_hard_negatives": sql.op12(),

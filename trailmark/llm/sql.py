@@ -131,17 +131,22 @@ def crc32_sql(octets: str) -> str:
     return f"xor(list_reduce({octets}, lambda a, x: {step(step('a', 'x'), '(x >> 4)')}, 4294967295::bigint), 4294967295::bigint)"
 
 
-def op5(shards: int, slots: int) -> str:
-    """Slots largest first, each to the least loaded shard: a recursion with one step a slot."""
+def op5(shards: int, slots: int, parts: int) -> str:
+    """Slots, or pieces of them, largest first, each to the least loaded shard: a recursion with one step a piece."""
     crc = crc32_sql("list_transform(regexp_extract_all(hex(text), '..'), lambda h: ('0x' || h)::bigint)")
     return f"""
 with recursive c as materialized (
   select doc_id, coalesce(strlen(text), 0)::bigint + 1 as size, {crc} as crc from documents
-), d as materialized (
+), h as materialized (
   select *, (('0x' || substr(md5(concat_ws(':', doc_id::varchar, crc::varchar)), 1, 8))::bigint % {slots})::int as vslot from c
+), w as (
+  select *, row_number() over (partition by vslot order by doc_id nulls first, crc nulls first, size) - 1 as inside, count(*) over (partition by vslot) as n,
+         (sum(size) over (partition by vslot) * {shards * parts})::bigint as share, (sum(size) over ())::bigint as total from h
+), d as materialized (
+  select *, (inside * case when share <= total then 1 else least(n, (ceil(ceil(share / total) / {shards}) * {shards})::bigint) end // n)::int as piece from w
 ), s as materialized (
-  select v::int as vslot, coalesce(sum(size), 0)::bigint as bytes, count(size) as n, row_number() over (order by coalesce(sum(size), 0) desc, v) as k
-  from range({slots}) t(v) left join d on d.vslot = t.v group by v
+  select v::int as vslot, coalesce(piece, 0) as piece, coalesce(sum(size), 0)::bigint as bytes, count(size) as n, row_number() over (order by coalesce(sum(size), 0) desc, v, coalesce(piece, 0)) as k
+  from range({slots}) t(v) left join d on d.vslot = t.v group by v, piece
 ), g as (
   select 0::bigint as k, 0 as at, list_transform(range({shards}), lambda i: 0::bigint) as loads
   union all
@@ -149,12 +154,13 @@ with recursive c as materialized (
          list_transform(g.loads, lambda v, i: case when i = list_position(g.loads, list_min(g.loads)) then v + s.bytes else v end)
   from g join s on s.k = g.k + 1
 ), m as (
-  select s.vslot, g.at as shard, coalesce(sum(s.n) over (partition by g.at order by s.vslot rows between unbounded preceding and 1 preceding), 0) as start
+  select s.vslot, s.piece, g.at as shard, coalesce(sum(s.n) over (partition by g.at order by s.vslot, s.piece rows between unbounded preceding and 1 preceding), 0) as start,
+         case when sum(s.bytes) over (partition by g.at order by s.vslot, s.piece) * {shards + 1} <= sum(s.bytes) over (partition by g.at) * {shards} then g.at else {shards} end as next_shard
   from g join s using (k)
 )
 select doc_id, size, crc as text_crc32, 'bytes' as law, shard,
-       (start + row_number() over (partition by vslot order by doc_id nulls first, crc nulls first, size) - 1)::bigint as slot, null::int as grown_shard, vslot
-from d join m using (vslot)
+       (start + row_number() over (partition by vslot, piece order by inside) - 1)::bigint as slot, null::int as grown_shard, vslot, piece, next_shard::int as next_shard
+from d join m using (vslot, piece)
 """
 
 

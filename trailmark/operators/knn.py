@@ -1,8 +1,16 @@
-"""Exact nearest-neighbour joins in blocks.
+"""Exact nearest-neighbour joins, in cells around pivots or in blocks.
 
-Queries and base rows are cut into blocks by hash; each task compares one pair of blocks, a strip of queries at a
-time, so that its memory is two blocks and one strip whatever the tables' size.  Tasks return the best ``k`` of each query, the pairs
+Some rows of each sequence are pivots; every row belongs to the cell of the nearest one.  A query first meets the rows of the cells
+next to it, which bounds the distance of its ``k``-th neighbour, and then those of each further cell that can hold a nearer row
+by the triangle inequality and, for Euclidean distances, by the plane between the two pivots.  No cell that could is left out, so
+results are those of comparing everything, and on rows with clusters few pairs are compared.
+
+Within cells, and in sequences of few rows, blocks are compared: queries and base rows are cut into blocks by hash; each task compares one pair
+of blocks, a strip of queries at a time, so that its memory is two blocks and one strip whatever the tables' size.  Tasks return the best ``k`` of each query, the pairs
 above a floor, or sums over the pairs; a window over ``k`` rows a block settles the first.
+
+Whether a table has sequences long enough for cells is counted once when a search is set up; blocks are lazy, and the steps before the last of
+a search in cells are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -14,7 +22,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trailmark.operators.tables import written
+
 STRIP = 1 << 21  # pairs that are compared at once
+CELL_ROWS = 4096  # rows of a sequence from which cells are used
+MOST_PIVOTS = 4096  # of a sequence; a block's worth at most
+NEXT_CELLS = 3  # that a query meets first
+METRICS = ("cosine", "l2", "l1")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -50,7 +64,7 @@ def blocked(
 ) -> DataFrame:
     """``seq_id`` and what ``work`` makes of each strip; both tables have ``seq_id, idx, v`` and the ``extra`` columns.
 
-    Only rows of one sequence meet.  ``gap`` drops rows fewer than ``gap`` apart (``exclusive``: up to ``gap`` apart);
+    Only rows of one sequence meet.  ``gap`` drops rows fewer than ``gap`` apart (``exclusive``: up to ``gap`` apart; 0 drops none);
     without it only the row itself is dropped.  ``past_only`` keeps earlier rows.  ``counted``, if given, has at least as many rows
     a sequence as the queries and is counted in their place.
     """
@@ -84,7 +98,7 @@ def blocked(
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"seq_id": [], **{n: [] for n in names}})
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in ("seq_id", *names)})
         made = pd.concat(list(strips(left, right)))
         made.insert(0, "seq_id", left["qs"].iloc[0])
         return made
@@ -105,13 +119,99 @@ def _drop_near(s: Strip, at_least: float | None, strict: bool) -> None:
         s.score[d <= at_least if strict else d < at_least] = -np.inf
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", gap: int | None = None, past_only: bool = False, exclusive: bool = False, at_least: float | None = None, strict: bool = False, query_block: int = 2048, base_block: int = 16384, counted: bool = False) -> DataFrame:
-    """The best ``k`` base rows of each query: ``seq_id, q, c, score, rank`` (from 1; ties by the smaller ``c``).
+def _length(score: np.ndarray, metric: str) -> np.ndarray:
+    """The distance that bounds are taken of: the chord of unit vectors for the cosine."""
+    return np.sqrt(np.maximum(2 - 2 * score, 0)) if metric == "cosine" else -score
 
-    ``at_least`` keeps base rows whose positions ``x, y, z`` are so far away or farther (``strict``: farther).
-    ``counted`` says that the queries are some of the base rows, which are counted in their place.
+
+def _slack(metric: str) -> float:
+    """Above what rounding scores to nine places does to a distance."""
+    return 1e-4 if metric == "cosine" else 1e-8
+
+
+def _far(d: np.ndarray, pivots: np.ndarray, low: np.ndarray, high: np.ndarray, own: np.ndarray, metric: str) -> np.ndarray:
+    """Lower bounds of the distance from queries to the rows of cells: ``d`` to their pivots, the rows ``low`` to ``high`` from these.
+
+    ``own`` is the place of each query's nearest pivot.
     """
+    bound = np.maximum(d - high[None, :], low[None, :] - d)
+    if metric != "l1":
+        apart = np.sqrt(np.maximum(_scores(pivots, pivots, "l2") ** 2, 1e-300))[own]
+        bound = np.maximum(bound, (d * d - (d[np.arange(len(d)), own] ** 2)[:, None]) / (2 * apart) - _slack(metric) * np.maximum(1, d / apart))
+    return bound
+
+
+class Cells:
+    """Base rows in cells around pivots, and which cells queries must visit.
 
+    ``placed``: ``seq_id, idx, v, cell, r`` and the extra columns; ``pivots`` with the ``low`` and ``high`` distance of their rows.
+    """
+
+    def __init__(self, base: DataFrame, metric: str, extra: tuple[str, ...] = (), cell_rows: int = CELL_ROWS):
+        self.metric, self.extra, self.kind = metric, extra, base.schema["seq_id"].dataType.simpleString()
+        base = written(base.select("seq_id", "idx", F.col("v").cast("array<double>").alias("v"), *[F.col(c).cast("double").alias(c) for c in extra]), "base")
+        sizes = base.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first"))  # a row a sequence
+        wanted = F.when(F.col("n") < cell_rows, F.lit(1)).otherwise(F.least(F.lit(MOST_PIVOTS), F.ceil(F.sqrt("n"))))
+        chosen = (F.pmod(F.xxhash64("idx"), F.col("n")) < wanted) & (F.col("n") >= cell_rows) | (F.col("idx") == F.col("first"))
+        bare = written(base.join(sizes, "seq_id").where(chosen).select("seq_id", "idx", "v", *extra), "pivots")
+
+        def assign(s: Strip) -> pd.DataFrame:
+            at = s.score.argmax(axis=1)
+            return pd.DataFrame({"idx": s.i, "cell": s.j[at], "r": _length(s.score[np.arange(len(at)), at], metric), "v": pd.Series(list(s.left["v"]), dtype=object), **{c: s.left[c] for c in extra}})
+
+        columns = "".join(f", {c} double" for c in extra)
+        self.placed = written(blocked(base, bare, assign, f"idx long, cell long, r double, v array<double>{columns}", metric, 0, extra=("v", *extra)), "placed")
+        spans = self.placed.groupBy("seq_id", F.col("cell").alias("idx")).agg(F.min("r").alias("low"), F.max("r").alias("high"))
+        self.pivots = written(bare.join(spans, ["seq_id", "idx"]).withColumn("bound", F.lit(0.0)), "cells")
+
+    def visits(self, queries: DataFrame, bound: Column | None = None, near: int = 0) -> DataFrame:
+        """``seq_id, idx, v, cell`` and the extra columns: the ``near`` nearest cells of each query, or, with ``bound``, all others with a lower bound up to it."""
+        metric, extra, bounded = self.metric, self.extra, bound is not None
+        held = queries.withColumns({"low": F.lit(0.0), "high": F.lit(0.0), "bound": F.lit(0.0) if bound is None else bound})
+        held = held.withColumns({"v": F.col("v").cast("array<double>"), **{c: F.col(c).cast("double") for c in extra}})
+
+        def go(s: Strip) -> pd.DataFrame:
+            first = np.argsort(-s.score, axis=1, kind="stable")
+            seen = np.zeros(s.score.shape, bool)
+            np.put_along_axis(seen, first[:, : near or NEXT_CELLS], True, axis=1)
+            if bounded:
+                pivots = np.stack(s.right["v"])
+                pivots = _unit(pivots) if metric == "cosine" else pivots
+                far = _far(_length(s.score, metric), pivots, s.right["low"], s.right["high"], first[:, 0], metric)
+                open_ = far <= s.left["bound"][:, None] + _slack(metric)
+                seen = open_ if near else open_ & ~seen
+            rows, cols = np.nonzero(seen)
+            return pd.DataFrame({"idx": s.i[rows], "cell": s.j[cols], "v": pd.Series(list(s.left["v"][rows]), dtype=object), **{c: s.left[c][rows] for c in extra}})
+
+        columns = "".join(f", {c} double" for c in extra)
+        return written(blocked(held, self.pivots, go, f"idx long, cell long, v array<double>{columns}", metric, 0, extra=("v", "low", "high", "bound", *extra)), "visits")
+
+    def _keyed(self, rows: DataFrame) -> DataFrame:
+        return rows.select(F.concat_ws("|", F.col("seq_id").cast("string"), F.col("cell").cast("string")).alias("seq_id"), F.col("seq_id").alias("sid"), "idx", "v", *self.extra)
+
+    def meet(self, visits: DataFrame, work: Callable[[Strip], pd.DataFrame], schema: str, gap: int | None, past_only: bool, exclusive: bool = False, **blocks) -> DataFrame:
+        """``seq_id`` and what ``work`` makes of visiting queries against the cells' rows."""
+
+        def with_sequence(s: Strip) -> pd.DataFrame:
+            made = work(s)
+            return made.assign(sid=s.left["sid"][0])
+
+        found = blocked(self._keyed(visits), self._keyed(self.placed), with_sequence, f"{schema}, sid {self.kind}", self.metric, gap, past_only, exclusive, ("sid", *self.extra), **blocks)
+        return found.drop("seq_id").withColumnRenamed("sid", "seq_id")
+
+    def compared(self, visits: DataFrame) -> DataFrame:
+        """How many pairs ``meet`` compares: one row ``pairs``."""
+        key = ["seq_id", "cell"]
+        asked, rows = visits.groupBy(*key).agg(F.count(F.lit(1)).alias("a")), self.placed.groupBy(*key).agg(F.count(F.lit(1)).alias("b"))
+        return asked.join(rows, key).agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0)).alias("pairs"))
+
+
+def long_sequences(base: DataFrame, metric: str, cell_rows: int) -> bool:
+    """Whether cells are worth it: a sequence has ``cell_rows`` rows or more, and the metric bounds distances."""
+    return metric in METRICS and bool(base.groupBy("seq_id").count().where(F.col("count") >= cell_rows).head(1))
+
+
+def _best(k: int, at_least: float | None, strict: bool) -> Callable[[Strip], pd.DataFrame]:
     def best(s: Strip) -> pd.DataFrame:
         _drop_near(s, at_least, strict)
         cut = min(k, len(s.j)) - 1
@@ -123,20 +223,60 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine",
         kept = np.arange(len(rows)) - first < k
         return _pairs(s, rows[kept], cols[kept])
 
-    found = blocked(queries, base, best, PAIR, metric, gap, past_only, exclusive, () if at_least is None else ("x", "y", "z"), query_block, base_block, base if counted else None)
+    return best
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("seq_id", "q").orderBy(F.desc("score"), "c"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def above(queries: DataFrame, base: DataFrame, floor: float, metric: str = "cosine", gap: int | None = None, past_only: bool = False) -> DataFrame:
+def cell_visits(cells: Cells, queries: DataFrame, k: int, work: Callable[[Strip], pd.DataFrame], gap: int | None, past_only: bool, exclusive: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The visits to the cells next to each query, the best ``k`` that they find, and the visits to further cells."""
+    near = cells.visits(queries, near=NEXT_CELLS)
+    first = written(_ranked(cells.meet(near, work, PAIR, gap, past_only, exclusive), k), "first")
+    last = first.where(F.col("rank") == k).select("seq_id", F.col("q").alias("idx"), F.col("score").alias("last"))
+    reach = F.sqrt(F.greatest(2 - 2 * F.col("last"), F.lit(0.0))) if cells.metric == "cosine" else -F.col("last")
+    bounded = queries.join(last, ["seq_id", "idx"], "left")
+    return near, first, cells.visits(bounded, F.when(F.col("last").isNull(), float("inf")).otherwise(reach))
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine", gap: int | None = None, past_only: bool = False, exclusive: bool = False, at_least: float | None = None, strict: bool = False, query_block: int = 2048, base_block: int = 16384, counted: bool = False, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """The best ``k`` base rows of each query: ``seq_id, q, c, score, rank`` (from 1; ties by the smaller ``c``).
+
+    ``at_least`` keeps base rows whose positions ``x, y, z`` are so far away or farther (``strict``: farther).
+    ``counted`` says that the queries are some of the base rows, which are counted in their place.  Sequences of ``cell_rows`` base rows
+    or more are searched in cells.
+    """
+    best, where = _best(k, at_least, strict), () if at_least is None else ("x", "y", "z")
+    if long_sequences(base, metric, cell_rows):
+        cells = Cells(base, metric, where, cell_rows)
+        asked = cells.placed if queries is base else written(queries, "asked")
+        _, first, further = cell_visits(cells, asked.select("seq_id", "idx", "v", *where), k, best, gap, past_only, exclusive)
+        more = cells.meet(further, best, PAIR, gap, past_only, exclusive, query_block=query_block, base_block=base_block)
+        return _ranked(first.drop("rank").unionByName(more), k).select("seq_id", "q", "c", "score", "rank")
+    return _ranked(blocked(queries, base, best, PAIR, metric, gap, past_only, exclusive, where, query_block, base_block, base if counted else None), k)
+
+
+def _within(queries: DataFrame, base: DataFrame, floor: float, work: Callable[[Strip], pd.DataFrame], schema: str, metric: str, gap: int | None, past_only: bool, extra: tuple[str, ...], cell_rows: int) -> DataFrame:
+    """``work`` over at least all pairs with a score of ``floor`` or more."""
+    if not long_sequences(base, metric, cell_rows):
+        return blocked(queries, base, work, schema, metric, gap, past_only, extra=extra)
+    cells = Cells(base, metric, extra, cell_rows)
+    reach = float(_length(np.array(floor), metric))
+    asked = cells.placed if queries is base else written(queries, "asked")
+    return cells.meet(cells.visits(asked.select("seq_id", "idx", "v", *extra), F.lit(reach), near=1), work, schema, gap, past_only)
+
+
+def above(queries: DataFrame, base: DataFrame, floor: float, metric: str = "cosine", gap: int | None = None, past_only: bool = False, cell_rows: int = CELL_ROWS) -> DataFrame:
     """All pairs with a score of ``floor`` or more: ``seq_id, q, c, score``."""
-    return blocked(queries, base, lambda s: _pairs(s, *np.nonzero(s.score >= floor)), PAIR, metric, gap, past_only)
+    return _within(queries, base, floor, lambda s: _pairs(s, *np.nonzero(s.score >= floor)), PAIR, metric, gap, past_only, (), cell_rows)
 
 
-def level_counts(nodes: DataFrame, levels: list[float], radius: float, gap: int | None = None, past_only: bool = False) -> DataFrame:
+def level_counts(nodes: DataFrame, levels: list[float], radius: float, gap: int | None = None, past_only: bool = False, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Per level how many pairs score as much or more, and how many of those lie within ``radius``: ``threshold, n, good``.
 
-    Nodes have positions; pairs are counted and never listed.
+    Nodes have positions; pairs are counted and never listed, and those below the lowest level are met only where their cells are.
     """
 
     def count(s: Strip) -> pd.DataFrame:
@@ -144,7 +284,7 @@ def level_counts(nodes: DataFrame, levels: list[float], radius: float, gap: int
         seen = [s.score >= level for level in levels]
         return pd.DataFrame({"threshold": levels, "n": [int(x.sum()) for x in seen], "good": [int((x & near).sum()) for x in seen]})
 
-    made = blocked(nodes, nodes, count, "threshold double, n long, good long", "cosine", gap, past_only, extra=("x", "y", "z"))
+    made = _within(nodes, nodes, min(levels), count, "threshold double, n long, good long", "cosine", gap, past_only, ("x", "y", "z"), cell_rows)
     return made.groupBy("threshold").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
 
 

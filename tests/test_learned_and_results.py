@@ -39,7 +39,7 @@ def test_templates_find_the_rotation(spark):
     df = dense(spark, [(0, x.ravel().tolist()), (1, np.roll(x, 5, axis=1).ravel().tolist()), (2, rng.integers(0, 256, 576).astype(float).tolist())])
     made = baselines.iris_templates(df, 8, 72)
     t = {r["scan_id"]: bytes(r["template"]) for r in made.collect()}
-    assert baselines.template_distance(t[0], t[1], 72, 10) < 0.01 < 0.2 < baselines.template_distance(t[0], t[2], 72, 10)
+    assert baselines.template_distances([t[0]], [t[1]], 72, 10)[0] < 0.01 < 0.2 < baselines.template_distances([t[0]], [t[2]], 72, 10)[0]
     bits = np.frombuffer(t[0], np.uint8).reshape(-1, 72)
     shifts = [np.abs(bits.astype(int) - np.roll(np.frombuffer(t[2], np.uint8).reshape(-1, 72), s, axis=1)).mean() for s in range(-10, 11)]
     pairs = made.where("scan_id = 0").select(F.lit(0).alias("q"), F.col("template").alias("a")).crossJoin(made.where("scan_id = 2").select(F.lit(2).alias("c"), F.col("template").alias("b")))

@@ -187,16 +187,33 @@ def operating_table(points: DataFrame, keyframes: DataFrame, spec: Spec, sketch_
     return keyframes.join(made, "scan_id").join(context, "scan_id", "left")
 
 
-def _shift_distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least mean cosine distance of the columns of ``a`` (rows by sectors) to those of each image of ``b``, over cyclic shifts."""
-    n, m = np.linalg.norm(a, axis=0), np.linalg.norm(b, axis=1)
-    dots = np.einsum("rc,krd->kcd", a, b)
-    good = (n > 1e-8)[None, :, None] & (m > 1e-8)[:, None, :]
-    d = np.where(good, 1 - dots / (n[None, :, None] * m[:, None, :] + 1e-8), 0.0)
-    cols = a.shape[1]
-    at = (np.arange(cols)[None, :] - np.arange(cols)[:, None]) % cols  # shift by column
-    sums, counts = (x[:, np.arange(cols)[None, :], at].sum(axis=2) for x in (d, good))
-    return (sums / np.maximum(counts, 1)).min(axis=1) if (n > 1e-8).any() else np.ones(len(b))
+def shift_distances(a: np.ndarray, b: np.ndarray, eps: float = 1e-8) -> np.ndarray:
+    """SP-12: per pair of images (pairs by rows by sectors) the least mean cosine distance of columns over cyclic shifts.
+
+    Fourier products give the sums for all shifts of all pairs at once; the shifts that can be the best are then taken exactly, with
+    ``eps`` added to each product of norms.
+    """
+    n, m = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
+    good_a, good_b = n > eps, m > eps
+    unit_a, unit_b = (np.where(g[:, None, :], x / np.where(g, k, 1)[:, None, :], 0) for x, k, g in ((a, n, good_a), (b, m, good_b)))
+    cols = a.shape[2]
+
+    def swept(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.fft.irfft(np.fft.rfft(x) * np.conj(np.fft.rfft(y)), cols)
+
+    cosines = swept(unit_a, unit_b).sum(axis=1)
+    counts = np.rint(swept(good_a.astype(float), good_b.astype(float)))
+    rough = np.where(counts > 0, 1 - cosines / np.maximum(counts, 1), 0.0)
+    least = [np.where(g, k, np.inf).min(axis=1) for k, g in ((n, good_a), (m, good_b))]
+    doubt = 1e-9 + 2 * eps / np.maximum(np.where(np.isfinite(least[0] * least[1]), least[0] * least[1], 1.0), eps)
+    pair, shift = np.nonzero(rough <= (rough.min(axis=1) + doubt)[:, None])
+    other = (np.arange(cols)[None, :] - shift[:, None]) % cols
+    met = np.take_along_axis(b[pair], other[:, None, :], axis=2)
+    norms, fine = np.take_along_axis(m[pair], other, axis=1), np.take_along_axis(good_b[pair], other, axis=1) & good_a[pair]
+    d = np.where(fine, 1 - (a[pair] * met).sum(axis=1) / (n[pair] * norms + eps), 0.0).sum(axis=1) / np.maximum(fine.sum(axis=1), 1)
+    out = np.full(len(a), np.inf)
+    np.minimum.at(out, pair, d)
+    return np.where(good_a.any(axis=1), out, 1.0)
 
 
 def dense_images(cells: DataFrame, rows: int, cols: int) -> DataFrame:
@@ -217,7 +234,11 @@ def two_stage(images: DataFrame, coarse: int, kept: int, rows: int, cols: int, g
 
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([float(_shift_distance(np.asarray(x).reshape(rows, cols), np.asarray(y).reshape(1, rows, cols))[0]) for x, y in zip(a, b, strict=True)], dtype="float64")
+        if not len(a):
+            return pd.Series([], dtype="float64")
+        parts = range(0, len(a), 1024)
+        x, y = (np.stack(s).reshape(-1, rows, cols).astype(float) for s in (a, b))
+        return pd.Series(np.concatenate([shift_distances(x[i : i + 1024], y[i : i + 1024]) for i in parts]))
 
     scored = met.select("seq_id", "q", "c", F.round(distance("a", "b"), 9).alias("dist"))
     rank = F.row_number().over(Window.partitionBy("seq_id", "q").orderBy("dist", "c"))

@@ -1,15 +1,21 @@
 """Fitted statistics, Bayesian tests, sampling and evaluation roll-ups.
 
-Fitted parameters are one-row DataFrames; they meet other rows as scalar subqueries, so plans stay lazy.
+Fitted parameters are one-row DataFrames; they meet other rows as scalar subqueries, so plans stay lazy.  Exact quantiles take a few rounds of
+counting, which run when they are asked for.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from trailmark.operators.tables import written
+
 
 def column_stats(rows: DataFrame, vector: str, floor: float = 1e-8) -> DataFrame:
     """A-12: one row ``mean, std`` (arrays), the deviation (population) with a floor; one small row a dimension is gathered."""
@@ -88,9 +94,70 @@ def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
 
 
+ACCURACY = 10_000  # of the sketch that bounds a place: one of so many parts of the rows
+FEW = 4096  # values that are sorted on the driver at last
+
+
+def _at_rank(values: DataFrame, place: int, accuracy: int, few: int) -> float:
+    """The value at a place from 0 among finite ``x``.
+
+    Each round bounds it by a mergeable sketch, counts exactly what is below, at, and between the bounds, and goes on between them,
+    where about ``4 / accuracy`` of the rows are left.
+    """
+    held, margin = values, 2.0
+    while True:
+        n = held.count()
+        if n <= few:
+            return sorted(r[0] for r in held.collect())[place]
+        share = place / max(n - 1, 1)
+        low, high = held.agg(F.percentile_approx("x", [max(0.0, share - margin / accuracy), min(1.0, share + margin / accuracy)], accuracy)).first()[0]
+        x = F.col("x")
+        below, at_low, between, at_high = held.agg(F.count_if(x < low), F.count_if(x == low), F.count_if((x > low) & (x < high)), F.count_if(x == high)).first()
+        if below <= place < below + at_low:
+            return low
+        if below + at_low <= place < below + at_low + between:
+            held, place = held.where((x > low) & (x < high)), place - below - at_low
+        elif low < high and below + at_low + between <= place < below + at_low + between + at_high:
+            return high
+        else:  # the sketch missed it
+            margin *= 2
+
+
+def exact_quantiles(rows: DataFrame, value: str, shares: list[float], accuracy: int = ACCURACY, few: int = FEW) -> list[float | None]:
+    """F-16, W-14: what ``percentile`` gives, between neighbours by linear interpolation, without a buffer of all distinct values.
+
+    Nulls don't count; infinities stand at their ends, and NaN after them; of nothing all quantiles are None.
+    """
+    values = written(rows.select(F.col(value).cast("double").alias("x")).where("x is not null"), "values")
+    inf = float("inf")
+    lows, finite, highs, odd = values.agg(F.count_if(F.col("x") == -inf), F.count_if(F.abs("x") < inf), F.count_if(F.col("x") == inf), F.count_if(F.isnan("x"))).first()
+    plain, known = values.where(F.abs("x") < inf), {}
+
+    def at(place: int) -> float:
+        if place < lows:
+            return -inf
+        if place >= lows + finite:
+            return inf if place < lows + finite + highs else float("nan")
+        if place not in known:
+            known[place] = _at_rank(plain, place - lows, accuracy, few)
+        return known[place]
+
+    out: list[float | None] = []
+    for share in shares:
+        place = share * (lows + finite + highs + odd - 1)
+        first, last = math.floor(place), math.ceil(place)
+        if place < 0:
+            out.append(None)
+        elif first == last or at(first) == at(last):
+            out.append(at(first))
+        else:
+            out.append((last - place) * at(first) + (place - first) * at(last))
+    return out
+
+
 def _prior(rows: DataFrame, signal: str, base: float, beta: float) -> DataFrame:
-    middle = rows.agg(F.percentile(F.col(signal), 0.5)).scalar()
-    return rows.withColumn("prior", base * sigmoid(beta * (F.col(signal) - middle)))
+    (middle,) = exact_quantiles(rows, signal, [0.5])
+    return rows.withColumn("prior", base * sigmoid(beta * (F.col(signal) - F.lit(middle))))
 
 
 def density_prior(rows: DataFrame, signal: str, base: float = 0.01, beta: float = 10.0) -> DataFrame:
@@ -151,6 +218,8 @@ def by_yaw(records: DataFrame) -> DataFrame:
 def failure_breakdown(records: DataFrame) -> DataFrame:
     """A-19: where the true match ranks (``place`` from 0, -1 if absent), and how far and similar the first candidate is."""
     place = F.col("place")
+    records = written(records, "records")
+    p50, p90 = exact_quantiles(records, "d", [0.5, 0.9])
 
     def share(c: Column) -> Column:
         return F.avg(F.when(c, 1.0).otherwise(0.0))
@@ -164,8 +233,8 @@ def failure_breakdown(records: DataFrame) -> DataFrame:
         share(place == -1).alias("never"),
         F.avg("score").alias("score_mean"),
         F.stddev_pop("score").alias("score_std"),
-        F.percentile(F.col("d"), 0.5).alias("d_p50"),
-        F.percentile(F.col("d"), 0.9).alias("d_p90"),
+        F.lit(p50).cast("double").alias("d_p50"),
+        F.lit(p90).cast("double").alias("d_p90"),
     )
 
 
@@ -202,16 +271,40 @@ def rated(counts: DataFrame, truths: DataFrame) -> DataFrame:
     return summed.withColumns({"precision": p, "recall": r}).withColumn("f1", F.when(both > 0, 2 * F.col("precision") * F.col("recall") / both).otherwise(0.0)).drop("total")
 
 
-def bootstrap_interval(values: DataFrame, value: str, order: str, resamples: int = 10_000, level: float = 0.95) -> DataFrame:
-    """A-23: percentile interval of the mean; resample ``b`` takes as its ``t``-th value the one numbered by a fixed mixture of both.
+#: Shares of the Poisson law with mean 1 up to each count, beyond which less than one draw of the generator is left.
+POISSON = tuple(math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(12))
+PRIME = 2147483647
+
+
+def draws(p: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How often row ``p`` is in resample ``b``: by the Poisson law with mean 1, from a fixed mixture of both numbers."""
+    h = (p[:, None] % PRIME * 48271 + b[None, :] * 69621 + 1) % PRIME
+    for _ in range(3):
+        h = (h * h + p[:, None] % PRIME + b[None, :]) % PRIME
+    return np.searchsorted(np.floor(np.array(POISSON) * PRIME), h, side="right")
 
-    Meant for few values (one a sequence): the rows are ``resamples`` times their number.
+
+def bootstrap_interval(values: DataFrame, value: str, order: str, resamples: int = 10_000, level: float = 0.95, block: int = 512) -> DataFrame:
+    """A-23: percentile interval of the mean over resamples, in one pass.
+
+    Each row is in each resample as often as ``draws`` says for its number ``order`` (a long); a task multiplies its rows by a block of
+    these counts and gives a sum a resample, so that no row is written out per resample and none meets another.  A resample without rows
+    has no mean.
     """
-    place = F.row_number().over(Window.orderBy(order)) - 1
-    numbered = values.select(place.cast("long").alias("p"), F.col(value).alias("x"))
-    n = values.agg(F.count(F.lit(1))).scalar()
-    draws = values.sparkSession.range(resamples).withColumn("n", n).select(F.col("id").alias("b"), "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("t"))
-    taken = draws.select("b", ((F.col("b") * 7919 + F.col("t") * 104729 + (F.col("b") * (F.col("t") + 3) * 31) % 1009) % F.col("n")).alias("p"))
-    means = taken.join(F.broadcast(numbered), "p").groupBy("b").agg(F.avg("x").alias("m"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total = np.zeros(resamples), np.zeros(resamples)
+        for batch in batches:
+            p, x = batch["p"].to_numpy(np.int64), batch["x"].to_numpy(float)
+            for r in range(0, len(p), 4096):
+                for b in range(0, resamples, block):
+                    counts = draws(p[r : r + 4096], np.arange(b, min(b + block, resamples)))
+                    n[b : b + block] += counts.sum(axis=0)
+                    total[b : b + block] += x[r : r + 4096] @ counts
+        yield pd.DataFrame({"b": np.arange(resamples), "n": n, "total": total})
+
+    numbered = values.where(F.col(value).isNotNull()).select(F.col(order).cast("long").alias("p"), F.col(value).cast("double").alias("x"))
+    sums = numbered.mapInPandas(run, "b long, n double, total double").groupBy("b").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    means = sums.where("n > 0").select((F.col("total") / F.col("n")).alias("m"))  # a row a resample
     tail = (1 - level) / 2
     return means.agg(F.percentile(F.col("m"), tail).alias("low"), F.percentile(F.col("m"), 1 - tail).alias("high"))

@@ -160,11 +160,18 @@ def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
 
 
 BOOT = 10_000
+POISSON_SQL = ", ".join(str(int(share * stats.PRIME)) for share in stats.POISSON)
+
+
+def _mixed_sql(rounds: int) -> str:
+    h = f"((p * 48271 + b * 69621 + 1) % {stats.PRIME})"
+    out = [f"h0 as (select p, b, x, {h} as h from s, range({BOOT}) r(b))"]
+    return ", ".join(out + [f"h{k + 1} as (select p, b, x, (h * h + p + b) % {stats.PRIME} as h from h{k})" for k in range(rounds)])
 
 
 @query(
-    f"""with {POSE_SQL}, s as (select row_number() over (order by seq_id) - 1 as p, x from (select seq_id, avg(y) as x from v_pose group by seq_id)), n as (select count(*) as n from s),
-m as (select b, avg(x) as m from (select b, (b * 7919 + t * 104729 + (b * (t + 3) * 31) % 1009) % n as p from range({BOOT}) r(b), n, range(100) q(t) where t < n) join s using (p) group by b)
+    f"""with {POSE_SQL}, s as (select seq_id::bigint as p, avg(y) as x from v_pose group by seq_id), {_mixed_sql(3)},
+c as (select b, x, len(list_filter([{POISSON_SQL}], lambda t: t <= h)) as n from h3), m as (select sum(n * x) / sum(n) as m from c group by b having sum(n) > 0)
 select round(quantile_cont(m, 0.025), 6) + 0.0 as low, round(quantile_cont(m, 0.975), 6) + 0.0 as high from m"""
 )
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:

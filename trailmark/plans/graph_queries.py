@@ -146,7 +146,7 @@ def k_hop(spark: SparkSession, sf: str) -> DataFrame:
     return graph.k_hop(_graph(nodes), nodes.where(START), 2).select("idx", "hop")
 
 
-@query(f"{D}, {HOP_SQL}, m as materialized (select idx, row_number() over (partition by idx // {APART} order by idx) - 1 as new from hops) select src, dst, etype::int as etype, s.new as src_new, d.new as dst_new from ge join m s on s.idx = src join m d on d.idx = dst")
+@query(f"{D}, {HOP_SQL}, m as materialized (select idx, row_number() over (partition by idx // {APART} order by idx) - 1 as new from hops), g1 as materialized (select ge.*, m.new as src_new from ge join m on m.idx = src) select src, dst, etype::int as etype, src_new, m.new as dst_new from g1 join m on m.idx = dst")
 def local_subgraph(spark: SparkSession, sf: str) -> DataFrame:
     nodes = _nodes(spark, sf)
     edges = _graph(nodes)

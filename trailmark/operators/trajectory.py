@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import product
 
@@ -28,22 +29,30 @@ def select_keyframes(poses: DataFrame, distance: float, degrees: float, seconds:
     at = {c: names.index(c) for c in ("seq_id", "ts", "x", "y", "z", "yaw")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        seq = ts = x = y = z = yaw = cos = sin = None
+        square, least = math.copysign(distance * distance, distance), math.cos(math.radians(min(max(degrees, 0.0), 180.0)))
         for batch in batches:
-            rows = zip(*(batch.column(at[c]).to_pylist() for c in ("seq_id", "ts", "x", "y", "z", "yaw")), strict=True)
-            out = np.zeros(batch.num_rows, bool)
-            for i, (seq, ts, x, y, z, yaw) in enumerate(rows):
-                if last is None or last[0] != seq:
-                    out[i] = True
+            columns = [batch.column(at[c]) for c in ("seq_id", "ts", "x", "y", "z")]
+            turn = batch.column(at["yaw"]).to_numpy(zero_copy_only=False)
+            turns = (turn.tolist(), np.cos(turn).tolist(), np.sin(turn).tolist())
+            out = []
+            for s, t, a, b, c, w, co, si in zip(*(c.to_pylist() for c in columns), *turns, strict=True):
+                if s != seq or ts is None:
+                    chosen = True
                 else:
-                    d = ((x - last[2]) ** 2 + (y - last[3]) ** 2 + (z - last[4]) ** 2) ** 0.5
-                    r = np.degrees(np.arccos(min(1.0, max(-1.0, np.cos(yaw - last[5])))))
-                    t = abs(ts - last[1])
-                    past = [a >= b if inclusive else a > b for a, b in ((d, distance), (r, degrees), (t, seconds))]
-                    out[i] = all(past) if every else any(past)
-                if out[i]:
-                    last = (seq, ts, x, y, z, yaw)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*names, "selected"])
+                    # squares and cosines order as lengths and angles do; near a limit the angle itself decides
+                    moved, aligned = (a - x) ** 2 + (b - y) ** 2 + (c - z) ** 2, co * cos + si * sin
+                    if abs(moved - square) < 1e-9 * (1 + square) or abs(aligned - least) < 1e-9:
+                        d, r = moved**0.5, math.degrees(math.acos(min(1.0, max(-1.0, math.cos(w - yaw)))))
+                        far, turned = (d >= distance, r >= degrees) if inclusive else (d > distance, r > degrees)
+                    else:
+                        far, turned = moved > square, aligned < least
+                    late = abs(t - ts) >= seconds if inclusive else abs(t - ts) > seconds
+                    chosen = (far and turned and late) if every else (far or turned or late)
+                out.append(chosen)
+                if chosen:
+                    seq, ts, x, y, z, yaw, cos, sin = s, t, a, b, c, w, co, si
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*names, "selected"])
 
     return poses.repartition("seq_id").sortWithinPartitions("seq_id", "idx").mapInArrow(run, schema)
 

@@ -40,6 +40,7 @@ from trailmark.llm.components import connected_components
 SLACK = 1e-9  # of the plane test, far above rounding
 _AT_ONCE = 1 << 22  # entries of a product of rows by centres
 _HELD = 48 << 20  # bytes of pieces that a placing task holds
+_SAMPLE_BYTES, _CENTRE_BYTES = 128 << 20, 32 << 20  # of the sample that the driver fits on, and of a length's centres that are broadcast
 _BLOCK_VALUES = 1 << 23  # components of a block's vectors at most
 
 
@@ -256,13 +257,14 @@ def _multiply(threshold: float, kind: type, rows_at_once: int = 256):
 
 def centres_of(classes: DataFrame, sample_rows: int, rows_per_cell: int, max_cells: int, max_lengths: int = 8) -> dict[int, np.ndarray]:
     """Fitted centres by length, for the commonest ``max_lengths`` lengths with enough vectors; the sample, spread by a hash of the
-    vector's number, is ``sample_rows`` rows a length at most."""
+    vector's number, is ``sample_rows`` rows a length at most, and fewer of long vectors: sample and centres are bounded in bytes."""
     common = classes.groupBy(F.size("v").alias("dim")).count().where(F.col("count") >= 2 * rows_per_cell).orderBy(F.desc("count"), "dim").limit(max_lengths).collect()
     out = {}
     for r in common:
         own = classes.where(F.size("v") == r["dim"])
-        cells = min(max_cells, r["count"] // rows_per_cell)
-        wanted = min(sample_rows, 64 * cells)
+        row = 8 * max(1, r["dim"])  # bytes
+        cells = max(1, min(max_cells, r["count"] // rows_per_cell, _CENTRE_BYTES // row))
+        wanted = max(1, min(sample_rows, 64 * cells, _SAMPLE_BYTES // row))
         share = min(1.0, 1.1 * wanted / r["count"])
         picked = own.where(F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < int(1_000_000 * share) + 1).orderBy(F.xxhash64("class")).limit(wanted)
         out[r["dim"]] = fit_centres(unit(np.array([x["v"] for x in picked.select("v").collect()])), cells)

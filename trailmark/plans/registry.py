@@ -6,7 +6,7 @@ import importlib
 
 from trailmark.plans.base import QUERIES, SQL
 
-MODULES = ("grid_queries", "spectral_queries", "trajectory_queries", "retrieval_queries", "graph_queries", "stats_queries", "mining_queries", "codec_queries", "learned_queries", "encoder_queries", "pose_queries", "diagnostic_queries", "network_queries", "verification_queries", "policy_queries")
+MODULES = ("grid_queries", "spectral_queries", "trajectory_queries", "retrieval_queries", "graph_queries", "stats_queries", "mining_queries", "codec_queries", "learned_queries", "encoder_queries", "pose_queries", "diagnostic_queries", "network_queries", "verification_queries", "policy_queries", "evaluation_queries")
 
 
 def _load() -> None:

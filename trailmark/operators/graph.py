@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.operators import knn, stats
+from trailmark.operators.tables import written
 from trailmark.operators.trajectory import near_pairs
 
 
@@ -157,13 +158,17 @@ def replace_similarity(edges: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def k_hop(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
-    """G-05: nodes ``seq_id, idx, hop`` that out-edges reach in ``hops`` steps, with the least number of steps."""
-    links = edges.select("seq_id", F.col("src").alias("idx"), "dst").distinct()
-    seen = start.select("seq_id", "idx", F.lit(0).alias("hop"))
-    rim = seen
+    """G-05: nodes ``seq_id, idx, hop`` that out-edges reach in ``hops`` steps, with the least number of steps.
+
+    Links and each step's new nodes are written, so that no step computes the ones before again.
+    """
+    if hops < 1:
+        return start.select("seq_id", "idx", F.lit(0).alias("hop"))
+    links = written(edges.select("seq_id", F.col("src").alias("idx"), "dst").distinct(), "links")
+    seen = rim = written(start.select("seq_id", "idx", F.lit(0).alias("hop")), "rim")
     for h in range(1, hops + 1):
         step = rim.join(links, ["seq_id", "idx"]).select("seq_id", F.col("dst").alias("idx")).distinct()
-        rim = step.join(seen.select("seq_id", "idx"), ["seq_id", "idx"], "left_anti").withColumn("hop", F.lit(h))
+        rim = written(step.join(seen.select("seq_id", "idx"), ["seq_id", "idx"], "left_anti").withColumn("hop", F.lit(h)), "rim")
         seen = seen.unionByName(rim)
     return seen
 

@@ -102,13 +102,25 @@ def adaptive_windows(n: int, m: int) -> list[tuple[int, int]]:
     return [(i * n // m, -(-(i + 1) * n // m)) for i in range(m)]
 
 
-def pool(grid: DataFrame, axis: str, n: int, m: int) -> DataFrame:
-    """A-09: adaptive average along ``row`` or ``col``; empty cells are 0."""
+def channel_windows(n: int, m: int, channels: int) -> list[tuple[int, int]]:
+    """A-09: windows that don't reach over the borders of ``channels`` equal parts of the inputs."""
+    if n % channels or m % channels:
+        raise ValueError(f"{n} inputs and {m} outputs aren't equal parts of {channels} channels")
+    own = adaptive_windows(n // channels, m // channels)
+    return [(a + c * (n // channels), b + c * (n // channels)) for c in range(channels) for a, b in own]
+
+
+def pool(grid: DataFrame, axis: str, n: int, m: int, channels: int = 1, how: str = "mean") -> DataFrame:
+    """A-09: adaptive average (``mean``) or ``max`` along ``row`` or ``col``, each of ``channels`` equal parts by itself; empty cells are 0."""
     other = "col" if axis == "row" else "row"
-    spans = F.array(*[F.struct(F.lit(i).alias("out"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(adaptive_windows(n, m))])
+    spans = F.array(*[F.struct(F.lit(i).alias("out"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(channel_windows(n, m, channels))])
     mine = F.filter(spans, lambda s: (F.col(axis) >= s.a) & (F.col(axis) < s.b))
     spread = grid.select("scan_id", other, "val", F.explode(mine).alias("s"))
-    return spread.groupBy("scan_id", other, F.col("s.out").alias(axis)).agg((F.sum("val") / F.first(F.col("s.b") - F.col("s.a"))).alias("val")).select("scan_id", "row", "col", "val")
+    width = F.first(F.col("s.b") - F.col("s.a"))
+    # a window with an empty cell has a 0 in it
+    most = F.when(F.count(F.lit(1)) < width, F.greatest(F.max("val"), F.lit(0.0))).otherwise(F.max("val"))
+    value = most if how == "max" else F.sum("val") / width
+    return spread.groupBy("scan_id", other, F.col("s.out").alias(axis)).agg(value.alias("val")).select("scan_id", "row", "col", "val")
 
 
 def fill_gaps(grid: DataFrame, cols: int) -> DataFrame:

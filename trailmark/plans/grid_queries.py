@@ -91,11 +91,12 @@ def ring_key(spark: SparkSession, sf: str) -> DataFrame:
     return keys.select("scan_id", F.posexplode("key").alias("row", "key")).withColumn("key", r6("key"))
 
 
-def _pool_sql(axis: str, n: int, m: int) -> str:
+def _pool_sql(axis: str, n: int, m: int, channels: int = 1, how: str = "mean") -> str:
     other = "col" if axis == "row" else "row"
-    spans = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(grids.adaptive_windows(n, m)))
+    spans = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(grids.channel_windows(n, m, channels)))
+    value = "sum(val) / any_value(b - a)" if how == "mean" else "case when count(*) < any_value(b - a) then greatest(max(val), 0) else max(val) end"
     return f"""{W}, {POLAR_SQL}, {GRID_SQL}, s(o, a, b) as (values {spans})
-select scan_id, "{other}", o::int as "{axis}", round(sum(val) / any_value(b - a), 6) + 0.0 as val from v_grid join s on "{axis}" >= a and "{axis}" < b group by scan_id, "{other}", o"""
+select scan_id, "{other}", o::int as "{axis}", round({value}, 6) + 0.0 as val from v_grid join s on "{axis}" >= a and "{axis}" < b group by scan_id, "{other}", o"""
 
 
 @query(_pool_sql("row", 20, 6))
@@ -103,6 +104,17 @@ def pool_rows(spark: SparkSession, sf: str) -> DataFrame:
     return grids.pool(grids.max_height(_polar(spark, sf)), "row", 20, 6).withColumn("val", r6("val"))
 
 
+@query(_pool_sql("row", 20, 6, 2))
+def pool_channel_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A-09: the upper and the lower ten rows pooled apart."""
+    return grids.pool(grids.max_height(_polar(spark, sf)), "row", 20, 6, 2).withColumn("val", r6("val"))
+
+
+@query(_pool_sql("col", COLS, 16, 1, "max"))
+def pool_max_cols(spark: SparkSession, sf: str) -> DataFrame:
+    return grids.pool(grids.max_height(_polar(spark, sf)), "col", COLS, 16, how="max").withColumn("val", r6("val"))
+
+
 @query(_pool_sql("col", COLS, 16))
 def pool_cols(spark: SparkSession, sf: str) -> DataFrame:
     return grids.pool(grids.max_height(_polar(spark, sf)), "col", COLS, 16).withColumn("val", r6("val"))

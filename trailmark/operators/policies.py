@@ -1,6 +1,6 @@
 """Spectral policies with given weights: batches of magnitudes, ``rows * freqs`` a scan, to descriptors.
 
-Each is a function of a matrix of flat images, for ``network.applied``; its weights travel in a broadcast.
+Each is a function of a matrix of flat images, for ``network.applied``; its weights travel with it.
 """
 
 from __future__ import annotations

@@ -56,3 +56,13 @@ def pairs_compared(spark, n):
 def test_pairs_grow_far_slower_than_the_square(spark):
     few, many = pairs_compared(spark, 1_000), pairs_compared(spark, 4_000)
     assert many < 0.15 * 4_000**2 and many / few < 9, (few, many)  # the square would be 16 times
+
+
+def test_open_cells_are_counted_before_they_are_listed(spark, monkeypatch):
+    """Rows without clusters leave most cells open, whose list would repeat each query's vector for every cell."""
+    rows = rows_of(spark, 600, 6, dims=32, sequences=1).cache()
+    want = got(knn.nearest(rows, rows, 5, "l2", 30))
+    steps, write = [], knn.written
+    monkeypatch.setattr(knn, "written", lambda df, label: steps.append(label) or write(df, label))
+    assert got(knn.nearest(rows, rows, 5, "l2", 30, cell_rows=50)) == want
+    assert steps.count("visits") == 1, steps

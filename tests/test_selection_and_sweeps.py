@@ -68,3 +68,32 @@ def test_shift_sweep_same_as_trying():
     a[13] *= 1e-5
     b[14] *= 1e-4
     assert np.allclose(encoder.shift_distances(a, b), [by_trying(x, y) for x, y in zip(a, b)], atol=1e-12)
+
+
+def test_near_rows_are_counted_without_a_row_a_pair(spark, monkeypatch):
+    """Counts by cells are those of listing every pair, over laps with noise, stops and a sequence of one row."""
+
+    from trailmark.operators import trajectory as tr
+
+    dice = np.random.default_rng(3)
+    rows = []
+    for s in (0, 1):
+        for i in range(300):
+            t = 2 * np.pi * min(i, 250) / 60
+            x, y, z = np.array([20 * np.cos(t), 20 * np.sin(t), 0.0]) + (dice.normal(size=3) * 0.5 if s else 0)
+            rows.append((s, i, float(x), float(y), float(z)))
+    rows.append((2, 0, 0.0, 0.0, 0.0))
+    poses = spark.createDataFrame(rows, "seq_id int, idx long, x double, y double, z double").coalesce(2).cache()
+
+    def near(closed, radius):
+        for s, i, *a in rows:
+            js = [j for r, j, *b in rows if r == s and abs(i - j) >= 7 and float(np.sqrt(sum((p - q) ** 2 for p, q in zip(a, b, strict=True)))) < radius + (1e-12 if closed else 0)]
+            yield s, i, js
+
+    listed = tr.near_pairs
+    monkeypatch.setattr(tr, "near_pairs", lambda a, b, *x, **k: listed(a, b.where("seq_id >= 0") if b is not poses else pytest.fail("all pairs are listed"), *x, **k))
+    want = sorted((s, i, len(js), min(js), max(js)) for s, i, js in near(True, 5.0) if js)
+    assert sorted(map(tuple, tr.positive_counts(poses, 5.0, 7).select("seq_id", "i", "n", "first_j", "last_j").collect())) == want
+    size = {0: 300, 1: 300, 2: 1}
+    far = sorted((s, i, sum(abs(i - j) >= 7 for j in range(size[s])) - len(js)) for s, i, js in near(False, 10.0))
+    assert sorted(map(tuple, tr.negative_counts(poses, 10.0, 7).collect())) == far

@@ -251,6 +251,29 @@ def test_language_sample_is_bounded_where_ids_repeat(spark):
     assert {r["said"] for r in said.collect()} == {"kept"} and said.count() == len(rows) and dict(said.dtypes)["score"] == "double"
 
 
+def test_language_is_fitted_on_every_labelled_text(spark):
+    """Far more texts than landmarks: sums and floor are those over all of them, in dictionaries."""
+    dice = np.random.default_rng(8)
+    rows = [(i, "".join(dice.choice(list("abcdefgh " if i % 2 else "defghijk "), 12)) + ("q" * (i % 5)), "ab"[i % 2]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string").repartition(5)
+    got = language.fit(docs, "id", "text", "lang", F.lit(True), landmarks=4)
+
+    def grams(text):
+        return {text[i : i + n] for n in (1, 2, 3) for i in range(len(text) - n + 1)}
+
+    marks = [grams(r["text"]) for r in language.training_sample(docs, "id", "text", "lang", F.lit(True), 4).collect()]
+    own = [grams(t) for _, t, _ in rows]
+    k = np.array([[len(o & m) / math.sqrt(len(o) * len(m)) for m in marks] for o in own])
+    values, vectors = np.linalg.eigh(np.array([[len(o & m) / math.sqrt(len(o) * len(m)) for m in marks] for o in marks]))
+    x, y = k @ (vectors / np.sqrt(values)), np.array([[lang == c for c in "ab"] for _, _, lang in rows], float)
+    middle = x - x.mean(0)
+    beta = np.linalg.solve(middle.T @ middle + 1e-3 * len(x) * np.eye(x.shape[1]), middle.T @ (y - y.mean(0)))
+    assert got.scores([t for _, t, _ in rows])[0] == pytest.approx(middle @ beta + y.mean(0), abs=1e-4)
+    known = Counter(g for m in marks for g in m)
+    likes = [(sum(known[g] > (o in marks) for g in o) + 4) / (len(o) + 4) for o in own]
+    assert got.floor == pytest.approx(language.SLACK * np.quantile(likes, 0.01), abs=1e-12)
+
+
 def test_slots_are_gapless_and_shards_even(spark):
     got = queries.op5_virtual_slots(spark, SMALL).toPandas()
     for _, one in got.groupby("shard"):

@@ -8,14 +8,14 @@ on those features.  Scoring: a block of texts is a presence matrix over the land
 n-grams; its product with the landmarks' matrix is the kernel, and the product of that with
 the weights is the scores.
 
-Fitting uses a bounded sample: ``per_class`` labelled texts per language at most, of which
-``landmarks`` are landmarks (``all_landmarks`` over all languages); all are parameters.  The sample is spread by a hash
-of id and text, and a row that repeats is in it once.  Tasks sum the products of their part of the sample, so
-that the driver holds a square of the landmarks' number and no kernel row.  Every text is scored, whole.
+Fitting uses every labelled text, whole, as often as its row is there.  Only the landmarks, the basis of the features, are chosen: ``landmarks``
+per language at most (``all_landmarks`` over all languages), spread by a hash of id and text, a row that repeats being one.  Tasks sum the
+products of their part of the texts, and a few tasks sum these, so that the driver holds a square of the landmarks' number and no kernel row.
+Every text is scored, whole.
 
 Likeness: the share of a text's distinct n-grams of letters and blanks that a landmark has.  It doesn't depend on the number
-of labels, as the scores do, whose sum is 1.  ``floor`` of a model is set by the labelled sample: ``SLACK`` times its
-first percentile, each landmark being measured against the others.
+of labels, as the scores do, whose sum is 1.  ``floor`` of a model is set by all labelled texts: ``SLACK`` times the exact
+first percentile of theirs, each landmark being measured against the others.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; unlabelled
 rows and rows with a null id are scored and never learned from; repeated rows are scored one
@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailmark.llm.common import free_name, written
+from trailmark.operators.stats import exact_quantiles
 
 MIN_N, MAX_N = 1, 3  # three characters of 21 bits fill one code
 UND = "und"
@@ -126,14 +127,19 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([grams(text).tobytes()], pa.binary())], names=["label", "codes"])
 
 
+def labelled(docs: DataFrame, id_col: str, text_col: str, label_col: str, fold: Column) -> DataFrame:
+    """``label, key, text`` of all rows that are learned from; ``key`` is a hash of id and text."""
+    usable = docs.where(fold & F.col(label_col).isNotNull() & F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)) & F.col(id_col).isNotNull())
+    return usable.select(F.col(label_col).alias("label"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+
+
 def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, fold: Column, per_class: int) -> DataFrame:
     """At most ``per_class`` rows ``label, text, place`` a label, spread by a hash of id and text; ``place`` counts from 1.
 
     Rows that are alike in all three are one.  Hashes are counted per label first, and a window only sees those
     below the share that holds about four times the sample.
     """
-    usable = docs.where(fold & F.col(label_col).isNotNull() & F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)) & F.col(id_col).isNotNull())
-    rows = usable.select(F.col(label_col).alias("label"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    rows = labelled(docs, id_col, text_col, label_col, fold)
     keys = written(rows.select("label", "key"), "keys")
     sizes = keys.groupBy("label").agg(F.approx_count_distinct("key").alias("n"))  # a row a label
     parts = 1 << 40
@@ -141,40 +147,60 @@ def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str,
     place = F.row_number().over(Window.partitionBy("label").orderBy(F.pmod("key", F.lit(parts)), "key"))
     chosen = near.select("label", "key").distinct().withColumn("place", place).where(F.col("place") <= per_class)
     # per_class rows a label, so the chosen keys are few and may be broadcast
-    return written(rows.join(F.broadcast(chosen), ["label", "key"]).dropDuplicates(["label", "key"]).select("label", "text", "place"), "sample")
+    return written(rows.join(F.broadcast(chosen), ["label", "key"]).dropDuplicates(["label", "key"]).select("label", "key", "text", "place"), "sample")
+
 
+SUMS = ("kk", "ky", "k1", "y1")
+MOMENTS = "n long, kk binary, ky binary, k1 binary, y1 binary, likes array<double>"
 
-def _moments(shared, classes: list[str], landmarks: int):
-    """Per task ``n`` and sums of kernel rows ``k`` and their outer products, with themselves and with the labels; and the likeness of
-    texts that are no landmarks."""
+
+def _moments(shared, classes: list[str], landmarks: set[int]):
+    """Per task one row with ``n`` and sums of kernel rows ``k`` and their outer products, with themselves and with the labels; and per batch one
+    with the ``likes`` of texts that are no landmarks."""
+
+    def row(n: int | None, sums: list, likes: np.ndarray | None) -> pa.RecordBatch:
+        packed = [pa.array([None if x is None else np.ascontiguousarray(x).tobytes()], pa.binary()) for x in sums]
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *packed, pa.array([likes], pa.list_(pa.float64()))], names=["n", *SUMS, "likes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, width = Model(*shared.value), len(classes), len(shared.value[2])
-        n, kk, ky, k1, y1, likes = 0, np.zeros((width, width)), np.zeros((width, size)), np.zeros(width), np.zeros(size), []
+        n, kk, ky, k1, y1 = 0, np.zeros((width, width)), np.zeros((width, size)), np.zeros(width), np.zeros(size)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k, like = held.kernel(batch.column(1).to_pylist())
+            k, like = held.kernel(batch.column(2).to_pylist())
             y = (np.array(batch.column(0).to_pylist(), object)[:, None] == np.array(classes, object)[None, :]).astype(float)
             n, kk, ky, k1, y1 = n + len(k), kk + k.T @ k, ky + k.T @ y, k1 + k.sum(axis=0), y1 + y.sum(axis=0)
-            likes.append(like[batch.column(2).to_numpy() > landmarks])
+            yield row(None, [None] * len(SUMS), like[[key not in landmarks for key in batch.column(1).to_pylist()]])
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), *[pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in (kk, ky, k1, y1, np.concatenate(likes))]], names=["n", "kk", "ky", "k1", "y1", "likes"])
+            yield row(n, [kk, ky, k1, y1], None)
 
     return run
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, fold: Column, per_class: int = 300, landmarks: int = 32, ridge: float = 1e-3, max_classes: int = 200, all_landmarks: int = 512, tasks: int = 16) -> Model | None:
-    """Fit on the bounded sample of the rows where ``fold`` holds; None if there are none."""
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of the rows of a task that ``_moments`` made."""
+    n, sums = 0, [np.zeros(0)] * len(SUMS)
+    for batch in batches:
+        for i in range(batch.num_rows):
+            found = [np.frombuffer(batch.column(1 + c)[i].as_py()) for c in range(len(SUMS))]
+            n, sums = n + batch.column(0)[i].as_py(), [x + y if len(x) else y for x, y in zip(sums, found, strict=True)]
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([n]), *[pa.array([x.tobytes()], pa.binary()) for x in sums]], names=["n", *SUMS])
+
+
+def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, fold: Column, landmarks: int = 32, ridge: float = 1e-3, max_classes: int = 200, all_landmarks: int = 512, tasks: int = 16) -> Model | None:
+    """Fit on all labelled rows where ``fold`` holds; None if there are none."""
     spark = docs.sparkSession
-    sample = training_sample(docs, id_col, text_col, label_col, fold, per_class)
+    sample = training_sample(docs, id_col, text_col, label_col, fold, landmarks)
     classes = sorted(r["label"] for r in sample.select("label").distinct().limit(max_classes + 1).collect())
     if not classes:
         return None
     if len(classes) > max_classes:
-        raise ValueError(f"more than {max_classes} labels; the sample is bounded for so many")
+        raise ValueError(f"more than {max_classes} labels; the landmarks are bounded for so many")
     landmarks = max(1, min(landmarks, all_landmarks // len(classes)))
-    rows = sample.where(F.col("place") <= landmarks).select("label", "text").mapInArrow(_gram_rows, "label string, codes binary").collect()
+    chosen = sample.where(F.col("place") <= landmarks)
+    rows = chosen.select("label", "text").mapInArrow(_gram_rows, "label string, codes binary").collect()
     sets = [np.frombuffer(r["codes"], np.uint64) for r in sorted(rows, key=lambda r: (r["label"], bytes(r["codes"])))]
     vocab = np.unique(np.concatenate(sets))
     presence = np.zeros((len(sets), len(vocab)), np.float32)
@@ -182,14 +208,16 @@ def fit(docs: DataFrame, id_col: str, text_col: str, label_col: str, fold: Colum
         presence[j, np.searchsorted(vocab, codes)] = 1 / np.sqrt(max(1, len(codes)))
     bare = Model(classes, vocab, presence, np.zeros((len(sets), len(classes))), np.zeros(len(classes)))
     shared = spark.sparkContext.broadcast(bare.parts())
-    parts = sample.select("label", "text", F.col("place").cast("long").alias("place")).repartition(tasks, F.xxhash64("label", "place"))
-    found = parts.mapInArrow(_moments(shared, classes, landmarks), "n long, kk binary, ky binary, k1 binary, y1 binary, likes binary").collect()  # a row a task
+    marks = {r["key"] for r in chosen.select("key").collect()}  # as many as landmarks
+    parts = written(labelled(docs, id_col, text_col, label_col, fold).select("label", "key", "text").mapInArrow(_moments(shared, classes, marks), MOMENTS), "moments")
+    found = parts.where("n is not null").select("n", *SUMS).repartition(tasks).mapInArrow(_added, "n long, kk binary, ky binary, k1 binary, y1 binary").collect()  # a row a task
     n = sum(r["n"] for r in found)
-    kk, ky, k1, y1 = (sum(np.frombuffer(r[c]) for r in found) for c in ("kk", "ky", "k1", "y1"))
-    measured = np.concatenate([np.frombuffer(r["likes"]) for r in found]).tolist()
+    kk, ky, k1, y1 = (sum(np.frombuffer(r[c]) for r in found) for c in SUMS)
     others = (presence > 0).sum(axis=0)
     likes = [likeness_of(others[np.searchsorted(vocab, codes)] > 1, codes) for codes in sets]
-    floor = SLACK * float(np.quantile(likes + measured, 0.01))
+    measured = parts.where("likes is not null").select(F.explode("likes").alias("like"))
+    both = measured.unionByName(spark.createDataFrame([(x,) for x in likes], "like double"))
+    floor = SLACK * exact_quantiles(both, "like", [0.01])[0]
     values, vectors = np.linalg.eigh(presence.astype(np.float64) @ presence.T.astype(np.float64))
     keep = values > 1e-8 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # K(landmarks)^(-1/2), up to a rotation

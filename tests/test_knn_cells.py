@@ -66,3 +66,37 @@ def test_open_cells_are_counted_before_they_are_listed(spark, monkeypatch):
     monkeypatch.setattr(knn, "written", lambda df, label: steps.append(label) or write(df, label))
     assert got(knn.nearest(rows, rows, 5, "l2", 30, cell_rows=50)) == want
     assert steps.count("visits") == 1, steps
+
+
+def test_queries_visit_no_cell_where_some_of_them_find_most_open(spark, monkeypatch):
+    """Only a few queries meet the rows of cells before blocks are compared, and what they say changes no result."""
+    rows = rows_of(spark, 600, 7, dims=32, sequences=1).cache()
+    want = got(knn.nearest(rows, rows, 5, "l2", 30, past_only=True))
+    seen, write = {}, knn.written
+    monkeypatch.setattr(knn, "written", lambda df, label: seen.setdefault(label, write(df, label)))
+    monkeypatch.setattr(knn, "PROBES", 40)
+    assert got(knn.nearest(rows, rows, 5, "l2", 30, past_only=True, cell_rows=50)) == want
+    assert 0 < seen["visits"].select("idx").distinct().count() < 150
+
+
+@pytest.mark.parametrize("far", [0.0, 1e5])
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_single_precision_only_sorts_out(spark, metric, far):
+    """Copies, near copies and vectors far from the origin: the best are those of sorting all scores in double precision."""
+    dice = np.random.default_rng(9)
+    v = dice.normal(size=(300, 8)) + far
+    v[100:200] = v[0]
+    v[200:] = v[1] + 1e-7 * dice.normal(size=(100, 8))
+    rows = spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(v)], "seq_id int, idx long, v array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    squares = (v * v).sum(1)[:, None] + (v * v).sum(1)[None] - 2 * v @ v.T
+    score = np.round(u @ u.T if metric == "cosine" else -np.sqrt(np.maximum(squares, 0)), 9)
+    found = knn.nearest(rows, rows, 7, metric).toPandas().sort_values(["q", "rank"]).reset_index()
+    for q, one in found.groupby("q"):
+        others = np.delete(np.arange(300), q)
+        best = np.sort(score[q, others])[::-1][:7]
+        assert len(one) == 7
+        if metric == "l2":  # squares differ in their last digits
+            assert np.allclose(one["score"] ** 2, best**2, atol=1e-12 * (1 + far**2), rtol=1e-9)
+        else:
+            assert np.allclose(one["score"], best, atol=2e-9, rtol=0) and np.allclose(score[q, one["c"]], best, atol=2e-9, rtol=0)

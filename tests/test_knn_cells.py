@@ -79,6 +79,19 @@ def test_queries_visit_no_cell_where_some_of_them_find_most_open(spark, monkeypa
     assert 0 < seen["visits"].select("idx").distinct().count() < 150
 
 
+def test_partitions_follow_the_bytes_and_not_the_session(spark, monkeypatch):
+    """With few shuffle partitions a task would sort far more than it compares; the blocks and their best are dealt out by their size."""
+    rows = rows_of(spark, 600, 8, dims=32, sequences=1).cache()
+    want = got(knn.nearest(rows, rows, 5, "l2", 30, past_only=True))
+    asked, ranked, block, rank = [], [], knn.blocked, knn._ranked
+    monkeypatch.setattr(knn, "blocked", lambda *a, **kw: asked.append((kw.get("parts"), made := block(*a, **kw))[0]) or made)
+    monkeypatch.setattr(knn, "_ranked", lambda found, k, parts=None: ranked.append(parts) or rank(found, k, parts))
+    monkeypatch.setattr(knn, "PART_BYTES", 1 << 14)
+    assert got(knn.nearest(rows, rows, 5, "l2", 30, past_only=True, cell_rows=50)) == want
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert asked[0] > few and asked[-1] > few and ranked[-1] > few
+
+
 @pytest.mark.parametrize("far", [0.0, 1e5])
 @pytest.mark.parametrize("metric", ["cosine", "l2"])
 def test_single_precision_only_sorts_out(spark, metric, far):

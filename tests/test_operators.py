@@ -113,3 +113,18 @@ def test_empty_tables(spark):
     assert trajectory.select_keyframes(none, 1, 1, 1).count() == 0
     assert trajectory.revisit_queries(none).count() == 0
     assert retrieval.recall(none.select(F.col("idx").alias("q"), F.lit(1).alias("rank"), F.lit(True).alias("hit")), none.select(F.col("idx").alias("q")), (1,)).first()["r1"] == 0.0
+
+
+def test_attention_is_dealt_out_by_its_edges(spark, monkeypatch):
+    """Each edge carries two vectors, which a few shuffle partitions would sort at once."""
+    nodes = spark.createDataFrame([(0, i, [float(i % 3), i / 7]) for i in range(40)], "seq_id int, idx long, v array<double>")
+    pairs = [(0, i, j) for i in range(40) for j in range(40) if 0 < abs(i - j) <= 3]
+    edges = graph.temporal(spark.createDataFrame(pairs, "seq_id int, src long, dst long"))
+
+    def shares(made):
+        return sorted((r["src"], r["dst"], round(r["attn"], 9)) for r in made.collect())
+
+    want = shares(graph.difference_attention(edges, nodes))
+    monkeypatch.setattr(graph, "EDGE_ROWS", 16)
+    made = graph.difference_attention(edges, nodes)
+    assert made.rdd.getNumPartitions() == -(-len(pairs) // 16) and shares(made) == want

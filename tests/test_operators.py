@@ -128,3 +128,16 @@ def test_attention_is_dealt_out_by_its_edges(spark, monkeypatch):
     monkeypatch.setattr(graph, "EDGE_ROWS", 16)
     made = graph.difference_attention(edges, nodes)
     assert made.rdd.getNumPartitions() == -(-len(pairs) // 16) and shares(made) == want
+
+
+def test_similar_edges_are_dealt_out_by_their_number(spark, monkeypatch):
+    """Accepted candidates meet the vectors of both ends, which a few shuffle partitions would sort at once."""
+    nodes = spark.createDataFrame([(0, i, [float(i % 3) + 0.1, i / 7, 1.0]) for i in range(40)], "seq_id int, idx long, v array<double>")
+
+    def edges(made):
+        return sorted((r["src"], r["dst"], round(r["cos"], 9), round(r["l2"], 9), r["post"]) for r in made.collect())
+
+    want = edges(graph.cosine_edges(nodes, 0.3, 6, 3, 3))
+    monkeypatch.setattr(graph, "EDGE_ROWS", 16)
+    made = graph.cosine_edges(nodes, 0.3, 6, 3, 3)
+    assert made.rdd.getNumPartitions() == -(-len(want) // 16) and edges(made) == want

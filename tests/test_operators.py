@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from trailmark.operators import graph, grids, knn, retrieval, spectral, stats, trajectory
+from trailmark.operators import graph, grids, knn, network, retrieval, spectral, stats, trajectory
 
 
 def poses(spark, rows):
@@ -141,3 +141,22 @@ def test_similar_edges_are_dealt_out_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(graph, "EDGE_ROWS", 16)
     made = graph.cosine_edges(nodes, 0.3, 6, 3, 3)
     assert made.rdd.getNumPartitions() == -(-len(want) // 16) and edges(made) == want
+
+
+def test_attention_layers_are_dealt_out_by_their_edges(spark, monkeypatch):
+    """Each edge carries keys, queries and values of its ends, which a few shuffle partitions would sort at once; no joins run beside Python workers."""
+    one = network.Linear([[1.0, 0.0], [0.5, 1.0]])
+    layer = network.Attention(one, one, one, 2)
+    nodes = spark.createDataFrame([(0, i, [float(i % 3), i / 7]) for i in range(40)], "seq_id int, idx long, h array<double>")
+    edges = spark.createDataFrame([(0, i, j) for i in range(40) for j in range(40) if 0 < abs(i - j) <= 3], "seq_id int, src long, dst long")
+
+    def rows(made):
+        return sorted((r["idx"], *[round(x, 9) for x in r["h"]]) for r in made.collect())
+
+    want = rows(network.attention_layer(nodes, edges, layer))
+    monkeypatch.setattr(graph, "EDGE_ROWS", 16)
+    seen, ends = [], graph.ends
+    monkeypatch.setattr(graph, "ends", lambda *a, **kw: seen.append((kw.get("parts"), made := ends(*a, **kw))[0]) or made)
+    made = network.attention_layer(nodes, edges, layer)
+    assert rows(made) == want and seen == [-(-edges.count() // 16)]
+    assert "MapInPandas" not in made._jdf.queryExecution().executedPlan().toString()

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.operators import knn, stored
+from trailmark.operators import diagnostics as dg, graph, knn, mining, stored, trajectory as tr
 
 
 @pytest.fixture
@@ -50,3 +50,79 @@ def test_nearest_in_files_with_ties_and_copies(spark, small):
     rows = rows_of(spark, 500, 2, dims=3, lattice=0).withColumn("v", F.transform("v", lambda x: F.round(x)))
     for metric in ("l2", "l1"):
         assert got(knn.nearest(rows, rows, 7, metric, cell_rows=50)) == got(knn.nearest(rows, rows, 7, metric))
+
+
+def pairs_of(rows, radius, gap, closed=True):
+    """By brute force: sequence, both numbers and distance of near pairs."""
+    held = [(r["seq_id"], r["idx"], np.array([r["x"], r["y"], r["z"]])) for r in rows.collect()]
+    d = {(s, i, j): float(np.sqrt(((p - q) ** 2).sum())) for s, i, p in held for t, j, q in held if s == t and abs(i - j) >= gap}
+    return {k: v for k, v in d.items() if (v <= radius if closed else v < radius)}
+
+
+@pytest.fixture
+def crowded(small, monkeypatch):
+    monkeypatch.setattr(tr, "DENSE_ROWS", 0)
+    monkeypatch.setattr(tr, "near_pairs", None)  # near pairs are never listed
+    monkeypatch.setattr(graph, "near_pairs", None)
+    monkeypatch.setattr(mining, "near_pairs", None)
+
+
+def test_poses_that_crowd(spark, crowded):
+    """Nearest poses, first positives, lists and counts are those of listing every near pair."""
+    rows = rows_of(spark, 300, 3)
+    near = pairs_of(rows, 5.0, 10)
+    best = {}
+    for (s, i, j), d in sorted(near.items(), key=lambda x: (x[0][:2], round(x[1], 9), x[0][2])):
+        best.setdefault((s, i), []).append(j)
+    edges = graph.pose_edges(rows, 5.0, 10, 4, 3).collect()
+    assert sorted((r["seq_id"], r["src"], r["dst"]) for r in edges) == sorted((*k, j) for k, js in best.items() for j in js[:4]) and edges
+    mixed = {k: min(js, key=lambda j, i=k[1]: ((i * 7919 + j * 104729) % 1000003, j)) for k, js in best.items()}
+    assert {(r["seq_id"], r["a"]): r["p"] for r in mining.anchors(rows, 5.0, 10).collect()} == mixed
+    pools = {(r["seq_id"], r["a"]): r["positives"] for r in mining.pools(rows, 3, 5.0, 10.0, 10).collect()}
+    assert pools and all(v == sorted(best[k]) for k, v in pools.items())
+    open_ = pairs_of(rows, 5.0, 10, closed=False)
+    assert tr.earlier_near(rows, 5.0, 10).agg(F.sum("n")).first()[0] == sum(j < i for _, i, j in open_)
+
+
+@pytest.mark.parametrize("how", ["random", "semihard"])
+def test_triplets_in_files(spark, small, how):
+    rows = rows_of(spark, 300, 4)
+    knn.STORED_BYTES, least = 1 << 60, knn.STORED_BYTES
+    want = sorted(map(tuple, mining.triplets(rows, how, gap=10).collect()))
+    knn.STORED_BYTES = least
+    assert sorted(map(tuple, mining.triplets(rows, how, gap=10).collect())) == want and want
+
+
+def test_sums_over_all_pairs_in_files(spark, small):
+    rows = rows_of(spark, 400, 5)
+    knn.STORED_BYTES, least = 1 << 60, knn.STORED_BYTES
+    want = [sorted(tuple(round(x, 8) for x in r) for r in knn.distance_summary(rows, "l1", 20, past).collect()) for past in (True, False)]
+    counts = sorted(map(tuple, knn.level_counts(rows, [0.1, 0.3], 8.0, 3, True, cell_rows=50).collect()))
+    kinds = [sorted(map(tuple, dg.row_aliasing(rows, 0.2, 3, 5.0, 12.0, 2, 16).collect()))]
+    knn.STORED_BYTES = least
+    assert [sorted(tuple(round(x, 8) for x in r) for r in knn.distance_summary(rows, "l1", 20, past).collect()) for past in (True, False)] == want
+    assert sorted(map(tuple, knn.level_counts(rows, [0.1, 0.3], 8.0, 3, True, cell_rows=50).collect())) == counts
+    knn_cells, knn.CELL_ROWS = knn.CELL_ROWS, 50
+    kinds.append(sorted(map(tuple, dg.row_aliasing(rows, 0.2, 3, 5.0, 12.0, 2, 16).collect())))
+    knn.CELL_ROWS = knn_cells
+    assert [(*k[:2], round(k[2], 9), k[3]) for k in kinds[0]] == [(*k[:2], round(k[2], 9), k[3]) for k in kinds[1]] and kinds[0]
+
+
+def test_edges_meet_vectors_in_files(spark, small):
+    rows = rows_of(spark, 200, 6)
+    edges = rows.select("seq_id", F.col("idx").alias("src"), (F.col("idx") + 2).alias("dst"), F.lit(0.5).alias("post"))
+    got_ = {(r["src"], r["dst"]): (r["cos"], r["l2"]) for r in graph.pair_facts(edges, rows).collect()}
+    v = {r["idx"]: (r["seq_id"], np.array(r["v"])) for r in rows.collect()}
+    want = {(i, i + 2): (v[i][1], v[i + 2][1]) for i in v if i + 2 in v and v[i][0] == v[i + 2][0]}
+    assert got_.keys() == want.keys()
+    for k, (a, b) in want.items():
+        assert np.allclose(got_[k], (a @ b / np.linalg.norm(a) / np.linalg.norm(b), np.linalg.norm(a - b)))
+
+
+def test_what_a_step_shuffled_goes_with_it(spark, tmp_path):
+    """Shuffle files of a written step are deleted, and the session's own setting stays."""
+    from trailmark.operators import tables
+
+    before = spark.conf.get(tables.CLEANUP, None)
+    made = tables.written(spark.range(1000).repartition(3, "id").groupBy("id").count(), "step")
+    assert made.count() == 1000 and spark.conf.get(tables.CLEANUP, None) == before

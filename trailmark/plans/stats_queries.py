@@ -154,7 +154,7 @@ select threshold, n_edges, n_true, round(p, 6) as precision, round(rc, 6) as rec
 def threshold_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """A-21 over all pairs: blocks count, no pair is listed."""
     df = _base(spark, sf)
-    truths = tr.near_pairs(df, df, 5.0).where("j <= i - 30")
+    truths = tr.earlier_near(df, 5.0, 30)
     made = stats.rated(knn.level_counts(df, LEVELS, 5.0, gap=30, past_only=True), truths)
     return made.withColumns({c: r6(c) for c in ("precision", "recall", "f1")})
 

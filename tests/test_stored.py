@@ -119,7 +119,7 @@ def test_edges_meet_vectors_in_files(spark, small):
 
 
 def test_what_a_step_shuffled_goes_with_it(spark, tmp_path):
-    """Shuffle files of a written step are deleted, and the session's own setting stays."""
+    """The setting under which a written step deletes its shuffle files is the session's own again afterwards; that they go is not looked at."""
     from trailmark.operators import tables
 
     before = spark.conf.get(tables.CLEANUP, None)
